@@ -1,0 +1,85 @@
+"""Stand-ins for the evidence tables, as SQL that Spark and DuckDB both run over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.session import table
+
+VIEWS: dict[str, str] = {
+    "nodes": """
+SELECT concat('region:', r_regionkey) AS node_id, 'repository' AS node_type, r_name AS label, concat('geo.', r_name) AS qualified_name, 'geo' AS repo_id, 'snap:0' AS snapshot_id, 'src/geo/regions.py' AS file_path, CAST(r_regionkey * 10 + 1 AS INT) AS start_line, CAST(r_regionkey * 10 + 9 AS INT) AS end_line FROM region
+UNION ALL SELECT concat('nation:', n_nationkey), 'module', n_name, concat('geo.', n_name), 'geo', concat('snap:', n_nationkey % 2), concat('src/geo/n', n_nationkey % 5, '.py'), CAST(n_nationkey AS INT), CAST(n_nationkey + 12 AS INT) FROM nation
+UNION ALL SELECT concat('customer:', c_custkey), 'class', c_name, concat(c_mktsegment, '.', c_name), 'crm', concat('snap:', c_custkey % 2), concat('src/crm/c', c_custkey % 40, '.py'), CAST(c_custkey % 200 + 1 AS INT), CAST(c_custkey % 200 + 1 + c_custkey % 17 AS INT) FROM customer
+UNION ALL SELECT concat('supplier:', s_suppkey), 'interface', s_name, concat('supply.', s_name), 'supply', 'snap:0', concat('src/supply/s', s_suppkey % 10, '.py'), CAST(s_suppkey % 90 + 1 AS INT), CAST(s_suppkey % 90 + 6 AS INT) FROM supplier
+UNION ALL SELECT concat('part:', p_partkey), 'function', p_name, concat(p_brand, '.', p_type), 'catalog', concat('snap:', p_partkey % 3), CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE concat('src/catalog/p', p_partkey % 60, '.py') END, CAST(p_partkey % 300 + 1 AS INT), CAST(p_partkey % 300 + 1 + p_size AS INT) FROM part
+UNION ALL SELECT concat('order:', o_orderkey), 'test', concat('order ', o_orderkey), concat('tests.o', o_orderkey), 'sales', concat('snap:', o_orderkey % 2), concat('tests/o', o_orderkey % 80, '.py'), CAST(o_orderkey % 500 + 1 AS INT), CAST(o_orderkey % 500 + 1 + o_orderkey % 23 AS INT) FROM orders""",
+    "edges": """
+SELECT concat('contains|', n_regionkey, '|', n_nationkey) AS edge_id, 'contains' AS edge_type, concat('region:', n_regionkey) AS source_id, concat('nation:', n_nationkey) AS target_id, 'geo' AS repo_id, 'snap:0' AS snapshot_id, CAST(1 AS DOUBLE) AS confidence FROM nation
+UNION ALL SELECT concat('imports|', c_custkey), 'imports', concat('customer:', c_custkey), concat('nation:', c_nationkey), 'crm', concat('snap:', c_custkey % 2), CAST(9 AS DOUBLE) / 10 FROM customer
+UNION ALL SELECT concat('exposes|', s_suppkey), 'exposes', concat('nation:', s_nationkey), concat('supplier:', s_suppkey), 'supply', 'snap:0', CAST(95 AS DOUBLE) / 100 FROM supplier
+UNION ALL SELECT concat('calls|', o_orderkey), 'calls', concat('order:', o_orderkey), concat('customer:', o_custkey), 'sales', concat('snap:', o_orderkey % 2), CAST(6 + o_orderkey % 5 AS DOUBLE) / 10 FROM orders
+UNION ALL SELECT concat('tests|', l_orderkey, '|', l_linenumber), 'tests', concat('order:', l_orderkey), concat('part:', l_partkey), 'sales', concat('snap:', l_orderkey % 2), 1 - l_discount * 4 FROM lineitem
+UNION ALL SELECT concat('consumes|', l_orderkey, '|', l_linenumber), 'consumes', concat('part:', l_partkey), concat('supplier:', l_suppkey), 'catalog', concat('snap:', l_partkey % 3), 1 - l_tax * 4 FROM lineitem""",
+    "run_events": """
+SELECT concat('run:', user_id) AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, concat('e', event_id) AS event_id,
+CASE WHEN event_type = 'view' THEN 'context_load' WHEN event_type = 'click' THEN 'tool_call' WHEN event_type = 'purchase' THEN 'gate_failed' WHEN event_type = 'error' THEN 'policy_decision' WHEN event_id % 7 = 0 THEN 'budget_hard_stop' WHEN event_id % 7 = 1 THEN 'out_of_scope_write' WHEN event_id % 7 = 2 THEN 'stale_index_evidence' WHEN event_id % 7 = 3 THEN 'gate_passed' ELSE 'tool_result' END AS type,
+CASE WHEN event_id % 9 = 0 THEN '' ELSE concat('stage', event_id % 4) END AS stage, CASE WHEN event_type = 'error' THEN 'deny' ELSE 'allow' END AS policy_action, CAST(event_id % 900 AS BIGINT) AS token_count, CAST(event_id % 5000 AS BIGINT) AS wall_ms, ts, value FROM events""",
+    "alerts": """
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'after' ELSE 'before' END AS side, * FROM alert_rows WHERE k = 0 OR k = 1""",
+    "alert_rows": """
+SELECT CAST(l_orderkey % 3 AS INT) AS k, 'semgrep' AS analyser_id, concat('rule.', l_returnflag, l_linestatus) AS rule_id, concat('src/catalog/p', l_partkey % 60, '.py') AS file_path, CAST(l_orderkey % 300 AS INT) AS start_line, concat('issue  ', l_suppkey % 7, ' found') AS message, CASE WHEN l_quantity >= 45 THEN 'critical' WHEN l_quantity >= 35 THEN 'high' WHEN l_quantity >= 15 THEN 'medium' ELSE 'low' END AS severity, l_linenumber = 6 AS suppressed, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 4 = 0""",
+    "alerts_before": "SELECT analyser_id, rule_id, file_path, start_line, message, severity, suppressed FROM alert_rows WHERE k <> 0",
+    "alerts_after": "SELECT analyser_id, rule_id, file_path, CASE WHEN k = 0 AND l_linenumber = 3 THEN start_line + 3 ELSE start_line END AS start_line, message, severity, suppressed FROM alert_rows WHERE k <> 1",
+    "samples": """
+SELECT d.doc_id AS sample_id, d.lang AS family, CASE WHEN d.n_chars >= 5000 THEN CAST(1 AS DOUBLE) ELSE CAST(d.n_chars AS DOUBLE) / 5000 END AS predicted_probability, CASE WHEN d.n_chars > 700 THEN 'good' WHEN d.n_chars > 400 THEN 'fair' ELSE 'bad' END AS predicted_label, CASE WHEN l.quality = 1 THEN 'good' ELSE 'bad' END AS gold_label FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+    "signals": """
+SELECT repo_id, file_path, signal_type, raw_score, is_generated FROM (
+SELECT 'catalog' AS repo_id, concat('src/catalog/p', l_partkey % 60, '.py') AS file_path, CASE WHEN l_linenumber = 1 THEN 'keyword' WHEN l_linenumber = 2 THEN 'sarif' WHEN l_linenumber = 3 THEN 'blame' ELSE 'graph_neighbour' END AS signal_type, l_discount * 10 AS raw_score, l_partkey % 60 = 7 AS is_generated FROM lineitem WHERE l_orderkey % 40 = 0) s""",
+    "runs": """
+SELECT concat('run:', o_orderkey) AS run_id, concat('run:', o_orderkey % 1000) AS parent_id, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'running' ELSE 'failed' END AS status, o_orderpriority AS workflow, o_orderdate AS start_ts, o_totalprice AS cost, concat('repo:', o_custkey % 20) AS repo_id FROM orders""",
+    "links": "SELECT DISTINCT concat('run:', l_orderkey) AS run_id, concat('inc:', l_suppkey % 50) AS incident_id FROM lineitem WHERE l_linenumber <= 2",
+    "incidents": "SELECT concat('inc:', s_suppkey % 50) AS incident_id, max(CASE WHEN s_acctbal > 5000 THEN 'P0' WHEN s_acctbal > 0 THEN 'P1' ELSE 'P2' END) AS severity, max(CASE WHEN s_suppkey % 3 = 0 THEN 'open' ELSE 'closed' END) AS state, count(*) AS n_suppliers FROM supplier GROUP BY concat('inc:', s_suppkey % 50)",
+}
+
+#: Views that another view reads.
+NEEDS = {"alerts": ["alert_rows"], "alerts_before": ["alert_rows"], "alerts_after": ["alert_rows"]}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def _closure(names: tuple[str, ...]) -> list[str]:
+    out: list[str] = []
+    for n in names:
+        for m in (*NEEDS.get(n, ()), n):
+            if m not in out:
+                out.append(m)
+    return out
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stand-in, or a driver table, as a DataFrame."""
+    if name in TABLES:
+        return table(spark, sf_dir, name)
+    sql = VIEWS[name]
+    words = set("".join(c if c.isalnum() or c == "_" else " " for c in sql).split())
+    args = {t: table(spark, sf_dir, t) for t in TABLES if t in words} | {v: view(spark, sf_dir, v) for v in NEEDS.get(name, ())}
+    for t in args:
+        for lead in ("FROM ", "JOIN "):
+            for end in (" ", "\n", ")"):
+                sql = sql.replace(f"{lead}{t}{end}", f"{lead}{{{t}}}{end}")
+            if sql.endswith(lead + t):
+                sql = sql[: -len(t)] + "{" + t + "}"
+    return spark.sql(sql, **args)
+
+
+def with_views(sql: str, *names: str) -> str:
+    """DuckDB SQL with the stand-ins as leading CTEs."""
+    ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in _closure(names) if n in VIEWS)
+    body = sql.strip()
+    if not ctes:
+        return body
+    if body[:5].upper() == "WITH ":
+        rest = body[5:]
+        recursive = rest[:10].upper() == "RECURSIVE "
+        return f"WITH {'RECURSIVE ' if recursive else ''}{ctes},\n{rest[10:] if recursive else rest}"
+    return f"WITH {ctes}\n{body}"
