@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +49,6 @@ def has_secret(text: Column) -> Column:
 
 def secret_paths(json: Column) -> Column:
     """Paths of strings in a JSON document that hold a secret; [] for invalid JSON."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def walk(docs: pd.Series) -> pd.Series:
         import json as j
@@ -182,7 +181,7 @@ def table_clauses(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("island", F.sum(F.when(F.col("line").startswith("|"), 0).otherwise(1)).over(w)).where(F.col("line").startswith("|"))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = rows.withColumn("cells", cells).withColumn("sep", F.forall("cells", lambda c: (c == "") | c.rlike("^[-:]+$")))
     v = Window.partitionBy("doc_id", "island").orderBy("line_no")
     rows = rows.withColumn("after", F.max(F.col("sep").cast("int")).over(v.rowsBetween(Window.unboundedPreceding, -1)))

@@ -28,6 +28,7 @@ def python_facts(files: DataFrame) -> DataFrame:
                 except (SyntaxError, ValueError) as e:
                     out.append((repo, path, "error", type(e).__name__, module, None, getattr(e, "lineno", None) or 0, 0, 0))
                     continue
+                out.append((repo, path, "module", module.rsplit(".", 1)[-1], module, None, 1, (text or "").count("\n") + 1, 0))
                 order = 0
 
                 def walk(node, scope: list[str], owner: str):
@@ -76,7 +77,7 @@ def imports(facts: DataFrame, stdlib: list[str]) -> DataFrame:
     name = F.split_part(rest, F.lit(":"), F.lit(1))
     item = F.split_part(rest, F.lit(":"), F.lit(2))
     full = F.when(dots > 0, F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(name, F.lit("")))).otherwise(name)
-    j = i.withColumn("dots", dots).withColumn("m1", full).withColumn("m2", F.concat_ws(".", full, F.nullif(item, F.lit(""))))
+    j = i.withColumn("dots", dots).withColumn("m1", full).withColumn("m2", F.concat_ws(".", F.nullif(full, F.lit("")), F.nullif(item, F.lit(""))))
     hit = j.join(mods.select("repo_id", F.col("module").alias("m1"), F.lit(1).alias("h1")), ["repo_id", "m1"], "left").join(mods.select("repo_id", F.col("module").alias("m2"), F.lit(1).alias("h2")), ["repo_id", "m2"], "left")
     top = F.substring_index("m1", ".", 1)
     status = F.when(F.col("h2").isNotNull() | F.col("h1").isNotNull(), "internal").when(F.col("dots") > 0, "unresolved").when(top.isin(*stdlib), "stdlib").otherwise("external")

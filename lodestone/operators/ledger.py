@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY_SEQ = Window.partitionBy("run_id").orderBy("seq")
+
+def _by_seq():
+    return Window.partitionBy("run_id").orderBy("seq")
 
 
 def repeated_calls(events: DataFrame, least: int = 5) -> DataFrame:
@@ -21,7 +23,7 @@ def repeated_calls(events: DataFrame, least: int = 5) -> DataFrame:
 def denial_storms(events: DataFrame, least: int = 3) -> DataFrame:
     """One finding for every whole group of least denials in an unbroken row of them."""
     deny = F.col("policy_action") == "deny"
-    island = events.withColumn("_i", F.sum(F.when(deny, 0).otherwise(1)).over(_BY_SEQ)).where(deny)
+    island = events.withColumn("_i", F.sum(F.when(deny, 0).otherwise(1)).over(_by_seq())).where(deny)
     k = island.withColumn("_k", F.row_number().over(Window.partitionBy("run_id", "_i").orderBy("seq")) - 1)
     g = k.withColumn("_g", F.floor(F.col("_k") / least)).groupBy("run_id", "_i", "_g").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.array_sort(F.collect_list(F.struct("seq", "event_id"))).alias("e"))
     return g.where(F.col("n") == least).select("run_id", "first_seq", F.transform("e", lambda x: x["event_id"]).alias("evidence"))
@@ -72,8 +74,8 @@ def cumulative_risk(counts: DataFrame) -> DataFrame:
 
 def stages(events: DataFrame) -> DataFrame:
     """Named stages in order, without immediate repeats."""
-    named = events.where("stage <> ''").withColumn("_p", F.lag("stage").over(_BY_SEQ)).where("_p is null or _p <> stage")
-    return named.select("run_id", F.row_number().over(_BY_SEQ).cast("long").alias("pos"), "stage")
+    named = events.where("stage <> ''").withColumn("_p", F.lag("stage").over(_by_seq())).where("_p is null or _p <> stage")
+    return named.select("run_id", F.row_number().over(_by_seq()).cast("long").alias("pos"), "stage")
 
 
 def next_sequence(events: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def retained(records: DataFrame, kind: str, ts: str, as_of: Column, days: Mappin
 
 def running_budget(events: DataFrame, tokens: int | None, calls: int | None, soft: float = 0.8) -> DataFrame:
     """Status after each event: hard_stop at a limit, soft_warning at soft of one, else ok; None is no limit."""
-    run = _BY_SEQ.rowsBetween(Window.unboundedPreceding, 0)
+    run = _by_seq().rowsBetween(Window.unboundedPreceding, 0)
     used = events.withColumn("tokens_used", F.sum("token_count").over(run)).withColumn("calls_used", F.sum(F.when(F.col("type") == "tool_call", 1).otherwise(0)).over(run))
     ratio = F.greatest(F.lit(0.0), *([F.col("tokens_used") / tokens] if tokens else []), *([F.col("calls_used") / calls] if calls else [])) if tokens or calls else F.lit(0.0)
     return used.withColumn("status", F.when(ratio >= 1, "hard_stop").when(ratio >= soft, "soft_warning").otherwise("ok"))

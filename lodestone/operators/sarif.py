@@ -177,7 +177,7 @@ def normalize(logs: DataFrame) -> DataFrame:
     rows = run.select("log_id", F.lower(F.col("run.tool.driver.name")).alias("analyser_id"), F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
     rule = F.get(F.filter("rules", lambda x: x["id"] == F.col("r.ruleId")), F.lit(0))
     place = F.get("r.locations", F.lit(0))["physicalLocation"]
-    flat = rows.select("log_id", "analyser_id", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("message"), place["artifactLocation"]["uri"].alias("file_path"), place["region"]["startLine"].alias("start_line"), place["region"]["startColumn"].alias("start_column"), place["region"]["snippet"]["text"].alias("snippet"), F.size(F.coalesce("r.suppressions", F.array().cast("array<string>"))).alias("n_suppressions"), rule["properties"]["tags"].alias("tags"), F.coalesce("r.properties", F.create_map().cast("map<string,string>")).alias("props"))
+    flat = rows.select("log_id", "analyser_id", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("message"), place["artifactLocation"]["uri"].alias("file_path"), place["region"]["startLine"].alias("start_line"), place["region"]["startColumn"].alias("start_column"), place["region"]["snippet"]["text"].alias("snippet"), F.coalesce(F.size("r.suppressions"), F.lit(0)).alias("n_suppressions"), rule["properties"]["tags"].alias("tags"), F.coalesce(F.col("r.properties"), F.create_map().cast("map<string,string>")).alias("props"))
     flat = flat.withColumn("severity", severity(F.col("analyser_id"), F.col("level"), F.col("props"))).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("cwe_ids", cwe_ids(F.array_join("tags", " ")))
     flat = flat.withColumn("family", rule_family(F.col("rule_id"), F.col("cwe_ids"), F.array_join("tags", " "))).withColumn("suppressed", F.col("n_suppressions") > 0).drop("n_suppressions")
     fp = fingerprint(F.col("analyser_id"), F.col("rule_id"), F.col("file_path"), F.col("start_line"), F.col("message"), F.col("snippet"))

@@ -31,7 +31,17 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root if "://" in root or root.startswith("file:") else "file:" + root
     rel = F.regexp_replace(F.expr("regexp_replace(path, '^file:/+', '/')"), "^" + base.replace("file:", "").rstrip("/").replace("\\", "\\\\").replace(".", r"\.") + "/", "")
-    return raw.select(rel.alias("path"), "content", "length", F.sha2("content", 256).alias("sha256"))
+    # The scan plans no split for a file without bytes; those come from the listing.
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(base)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    bare = []
+    while found.hasNext():
+        s = found.next()
+        if s.getLen() == 0:
+            bare.append((s.getPath().toString(), bytearray(), 0))
+    blank = spark.createDataFrame(bare, "path string, content binary, length long")
+    return raw.select("path", "content", "length").unionByName(blank).select(rel.alias("path"), "content", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def folder_nodes(files: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "6g")
+        .config("spark.driver.memory", "5g")
+        .config("spark.default.parallelism", "2")
+        .config("spark.sql.files.minPartitionNum", "1")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
