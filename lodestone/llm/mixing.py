@@ -1,8 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact token length (words parted by white space). A source's
-budget is its weight times the total. Of each length the same share of its documents is taken, as
-many as stay within the budget; the rest is fitted by a bounded knapsack over what remains
+budget is its weight times the total. Of each length the same share of its documents is taken,
+rounded by a seeded draw, within the budget; the rest is fitted by a bounded knapsack over what remains
 of each length, so a source ends exactly on its budget if any choice of its documents does,
 else just below it. Which documents of a length are taken goes by a seeded hash.
 
@@ -18,6 +18,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +29,8 @@ from lodestone.session import materialise
 
 TEMPERATURE = 0.5
 SEED = 17
-#: Token lengths above which the knapsack works on the remainder only, see fit().
-TABLE = 1 << 16
+#: Tokens of a remainder that the knapsack's bit set holds, see fit().
+TABLE = 1 << 13
 
 
 def token_length(column: str = "text") -> Column:
@@ -67,32 +68,42 @@ def subset_sum(items: Mapping[int, int], budget: int) -> dict[int, int]:
     return out
 
 
-def fit(counts: Mapping[int, int], budget: int) -> dict[int, int]:
+def _draw(seed: int, size: int) -> float:
+    """A reproducible number in [0, 1) for a length."""
+    return zlib.crc32(f"{seed}|{size}".encode()) / 2**32
+
+
+def fit(counts: Mapping[int, int], budget: int, seed: int = SEED) -> dict[int, int]:
     """How many documents of each length to take: the same share of each, then a knapsack over the rest.
 
-    Should the rest exceed TABLE, whole documents are first taken, longest first, until it does
-    not, so the bit set stays small. The remainder is then met exactly or, if no choice of the
-    remaining documents meets it, from below; in that case share is lowered once and all is
-    fitted again with more documents left to choose from.
+    Shares are rounded up or down by a seeded draw for each length, so rare lengths are neither always
+    nor never taken. Lengths in the order of their draws fill what is left down to TABLE tokens, and
+    the knapsack meets that remainder exactly if any choice of the remaining documents does, else
+    from below; in that case the share is lowered and all is fitted again with more documents left.
     """
     total = sum(size * n for size, n in counts.items())
     if total <= budget:
         return dict(counts)
+    order = sorted((s for s in counts if s > 0), key=lambda s: (_draw(seed, s), s))
     best: dict[int, int] = {}
     best_sum = -1
     for slack in (0.0, 0.02, 0.2, 1.0):
         share = budget / total * (1 - slack)
-        take = {size: int(n * share) for size, n in counts.items()}
-        rest = {size: n - take[size] for size, n in counts.items() if n > take[size] and size > 0}
+        take = {size: int(counts[size] * share) for size in order}
         left = budget - sum(size * n for size, n in take.items())
-        for size in sorted(rest, reverse=True):
+        for size in order:
+            up = counts[size] * share - take[size] > 1 - _draw(seed + 1, size)
+            if up and take[size] < counts[size] and size <= left:
+                take[size] += 1
+                left -= size
+        for size in order:
             if left <= TABLE:
                 break
-            k = min(rest[size], (left - TABLE) // size)
+            k = min(counts[size] - take[size], (left - TABLE) // size)
             take[size] += k
-            rest[size] -= k
             left -= k * size
-        for size, k in subset_sum({s: n for s, n in rest.items() if n}, left).items():
+        rest = {size: counts[size] - take[size] for size in order if counts[size] > take[size]}
+        for size, k in subset_sum(rest, left).items():
             take[size] += k
         got = sum(size * n for size, n in take.items())
         if got > best_sum:
@@ -106,21 +117,20 @@ def budgets(tokens: Mapping, weights: Mapping | None = None, total: int | None =
     """Token budget of each source."""
     w = {s: (weights.get(s, 0.0) if weights is not None else float(n) ** TEMPERATURE) for s, n in tokens.items()}
     whole = sum(w.values()) + (sum(v for s, v in weights.items() if s not in tokens) if weights is not None else 0)
-    if whole <= 0:
+    if not any(v > 0 for v in w.values()):
         return {s: 0 for s in tokens}
-    if total is None:
-        total = int(min(tokens[s] * whole / w[s] for s in tokens if w[s] > 0))
-    return {s: min(int(total * w[s] / whole + 1e-6), tokens[s]) for s in tokens}
+    unit = min(tokens[s] / w[s] for s in tokens if w[s] > 0) if total is None else total / whole
+    return {s: min(int(unit * w[s] + 1e-6), tokens[s]) for s in tokens}
 
 
-def _plan(docs: DataFrame, weights: Mapping | None, total: int | None) -> DataFrame:
+def _plan(docs: DataFrame, weights: Mapping | None, total: int | None, seed: int) -> DataFrame:
     """(source, n_tokens, have, take) for every source and length."""
     counts = docs.groupBy("_mx_source", "_mx_len").agg(F.count("*").alias("have")).collect()
     by: dict = {}
     for r in counts:
         by.setdefault(r[0], {})[r[1]] = r[2]
     want = budgets({s: sum(k * n for k, n in c.items()) for s, c in by.items()}, weights, total)
-    rows = [(s, size, by[s][size], n) for s in by for size, n in fit(by[s], want[s]).items()]
+    rows = [(s, size, by[s][size], n) for s in by for size, n in fit(by[s], want[s], seed).items()]
     return docs.sparkSession.createDataFrame(rows, "_mx_source string, _mx_len long, _mx_have long, _mx_take long")
 
 
@@ -136,7 +146,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, total: int | None = Non
     hash straddle the cut are these rows ranked.
     """
     light = materialise(_keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "_mx_source", "_mx_len", "_mx_order"), "lengths")
-    plan = _plan(light, weights, total)
+    plan = _plan(light, weights, total, seed)
     n = plan.count()
     plan = F.broadcast(plan) if n * 48 <= 64 << 20 else plan
     part = light.join(plan.where("_mx_take > 0 and _mx_take < _mx_have"), (light._mx_source.eqNullSafe(plan._mx_source)) & (light._mx_len == plan._mx_len)).select(light._mx_source, light._mx_len, "_mx_order", "_mx_take")
