@@ -19,7 +19,7 @@ def make(spark):
 def odd(spark):
     """Null ids, null and blank texts, repeated rows and an extra column whose name clashes with outputs."""
     data = [(1, "a b c d e f g", "en", "s", 1, "x"), (1, "a b c d e f g", "en", "s", 1, "x"), (2, None, None, None, None, None), (None, "a b c d e f g", "en", None, 1, "x"), (3, "", "en", "s", 0, "x"), (4, "  \n ", "en", "s", 0, "x"), (5, "word " * 50_000, "en", "t", 1, "x"), (6, "ñ ü 漢字 🙂", "es", "t", 1, "x")]
-    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, n_tokens string").withColumnsRenamed({})
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, n_tokens string")
 
 
 @pytest.fixture(scope="session")

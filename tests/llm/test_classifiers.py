@@ -73,13 +73,13 @@ def test_rules_odd_rows(odd, empty, labels, documents, spark):
 
 
 def test_toxicity_on_planted_words(spark, make):
-    good = [f"alpha beta gamma delta{i} epsilon zeta" for i in range(120)]
-    bad = [f"alpha you idiot delta{i} epsilon what a moron" for i in range(60)] + [f"alpha grumpf{i % 7} delta{i} grumpfig zeta" for i in range(60)]
+    good = [f"alpha beta{i} gamma delta{i} epsilon{i} zeta" for i in range(120)]
+    bad = [f"alpha you idiot delta{i} epsilon{i} what a moron{i}" for i in range(60)] + [f"alpha{i} grumpf{chr(97 + i % 7)} delta{i} grumpfig zeta" for i in range(60)]
     docs = make(good + bad)
     labels = spark.createDataFrame([(i, 1, int(i >= 120)) for i in range(240) if i % 5], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.toxic for r in toxicity.detect(docs, labels).collect()}
     assert sum(got[i] == (i >= 120) for i in range(240)) >= 236
-    assert any(b.startswith("grum") for b in toxicity.fit(docs, labels)[1])
+    assert any(b.startswith("grum") for b in toxicity.fit(docs, labels)[0][1])
 
 
 def test_toxicity_obfuscation(make):
