@@ -41,7 +41,9 @@ K = 5
 UNK, START, END = 0, 1, 2
 SHIFT = np.uint64(20)
 #: Token positions that a task gathers before it sorts and packs them.
-FLUSH = 1 << 22
+FLUSH = 1 << 20
+#: Distinct words that a task counts before it hands them on.
+HELD = 300_000
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -66,7 +68,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = t.as_py()
             if text:
                 seen.update(WORD.findall(text.lower()))
-            if len(seen) > 1_000_000:
+            if len(seen) > HELD:
                 yield flush()
     if seen:
         yield flush()
