@@ -40,39 +40,39 @@ CUTS = 64
 STATS = ["n_chars", "n_words", "word_length", "distinct_share", "mark_share", "capital_share", "digit_share", "lines", "line_share", "repeat_share"]
 
 
-def statistics(text: str = "text") -> dict[str, Column]:
-    """The statistics by name; each is 0 for texts without words."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
-    n = F.length(t).cast("double")
+def with_statistics(df: DataFrame, *keep: str) -> DataFrame:
+    """keep and all statistics; each is 0 for texts without words.
+
+    The arrays are columns of a projection of their own: inside a lambda, an expression would be
+    made again for every element.
+    """
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    body, words, lines = F.col("_t"), F.col("_w"), F.col("_l")
+    base = df.select(*keep, t.alias("_t"))
+    base = base.select(*keep, "_t", F.filter(F.split(body, r"\s+"), lambda w: w != "").alias("_w"), F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "").alias("_l"))
+    n = F.length(body).cast("double")
     k = F.size(words).cast("double")
 
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(0.0)
 
     def without(pattern: str) -> Column:
-        return n - F.length(F.regexp_replace(t, pattern, ""))
-
-    pairs = F.transform(words, lambda w, i: F.when(i > 0, w == F.get(words, i - 1)).otherwise(False))
-    return {
-        "n_chars": n,
-        "n_words": k,
-        "word_length": share(F.length(F.regexp_replace(t, r"\s+", "")).cast("double"), k),
-        "distinct_share": share(F.size(F.array_distinct(words)).cast("double"), k),
-        "mark_share": share(without(r"[^\p{L}\p{N}\s]+"), n),
-        "capital_share": share(without(r"\p{Lu}+"), n),
-        "digit_share": share(without(r"\p{N}+"), n),
-        "lines": F.size(lines).cast("double"),
-        "line_share": share(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")),
-        "repeat_share": share(F.size(F.filter(pairs, lambda x: x)).cast("double"), k),
-    }
-
-
-def with_statistics(df: DataFrame, *keep: str) -> DataFrame:
-    """keep and all statistics; the word array is made once, by a projection of its own."""
-    s = statistics()
-    return df.select(*keep, *(e.alias(k) for k, e in s.items()))
+        return n - F.length(F.regexp_replace(body, pattern, ""))
+
+    pairs = F.zip_with(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: a == b)
+    return base.select(
+        *keep,
+        n.alias("n_chars"),
+        k.alias("n_words"),
+        share(F.length(F.array_join(words, "")).cast("double"), k).alias("word_length"),
+        share(F.size(F.array_distinct(words)).cast("double"), k).alias("distinct_share"),
+        share(without(r"[^\p{L}\p{N}\s]+"), n).alias("mark_share"),
+        share(without(r"\p{Lu}+"), n).alias("capital_share"),
+        share(without(r"\p{N}+"), n).alias("digit_share"),
+        F.size(lines).cast("double").alias("lines"),
+        share(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")).alias("line_share"),
+        share(F.size(F.filter(pairs, lambda x: x)).cast("double"), k).alias("repeat_share"),
+    )
 
 
 @dataclass(frozen=True)
