@@ -1,10 +1,12 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The lexicon is SEEDS plus what labels teach: words and word beginnings whose share of the
-toxic training documents is LIFT times that of the others. Features, all JVM-side: hits of the
-lexicon in a thousand words and in all, hits with a second-person pronoun within three words, obfuscated
-hits (letters swapped for look-alikes or parted by marks), swapped look-alikes inside any
-word, capitals, exclamation and question marks, other marks, and words.
+The lexicon is SEEDS plus what labels teach: words and word beginnings that are far more frequent in
+toxic training documents than in others (share LIFT times as large, log-likelihood ratio LEAST_G);
+those STRONG times as frequent form the strong lexicon, all of them the wide one. Near copies in the
+sample count once, so that a much-copied document teaches nothing. Features, all JVM-side:
+strong and wide hits in all and in a thousand words, hits with a second-person pronoun
+within three words, obfuscated hits (letters swapped for look-alikes or parted by marks), swapped
+look-alikes inside any word, capitals, exclamation and question marks, other marks, and words.
 
 Trees are grown on histograms with logistic loss on one part of a bounded sample of labelled
 documents (PER_CLASS a class at most), and calibrated on the other part by pool-adjacent-violators.
@@ -21,7 +23,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import hash_order
@@ -31,20 +33,24 @@ from lodestone.session import materialise, ship
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "disgusting", "worthless", "clown", "imbecile", "dumbass", "bastard", "bitch", "asshole", "retard", "vermin", "filth")
 SECOND = ("you", "your", "yours", "yourself", "ur", "du", "dich", "dir", "dein", "deine", "tu", "toi", "te", "ton", "ta", "vous", "votre", "vos", "tú", "ti", "usted", "vosotros")
 PER_CLASS = 4000
-LIFT = 20.0
-#: Least share of the toxic sample that a learned word or beginning is in.
-LEAST_SHARE = 0.01
-BEGIN = 4
+LIFT, STRONG = 6.0, 20.0
+LEAST_G = 15.0
+LEAST_DOCS = 4
+BEGINS = (4, 5, 6, 7)
 THRESHOLD = 0.5
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 
-FEATURES = ["hits", "hit_rate", "second_person", "obfuscated", "swapped_rate", "capital_share", "loud_rate", "mark_share", "n_words"]
+FEATURES = ["hits", "hit_rate", "wide_hits", "wide_rate", "second_person", "obfuscated", "swapped_rate", "capital_share", "loud_rate", "mark_share", "n_words"]
 
 _SWAP = {"a": "a4@", "e": "e3", "i": "i1!|", "o": "o0", "s": "s5$", "t": "t7+", "l": "l1|", "g": "g9", "b": "b8"}
 
 
 def _any(words: list[str]) -> str:
-    return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    """Alternation of words, grouped by first letter so that a mismatch is found at once."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by.setdefault(w[:1], []).append(re.escape(w[1:]))
+    return "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(by.items()))
 
 
 def lexicon_pattern(words: list[str], begins: list[str]) -> str:
@@ -79,6 +85,8 @@ def features(words: list[str], begins: list[str]) -> dict[str, Column]:
     return {
         "hits": hits,
         "hit_rate": hits * 1000 / k,
+        "wide_hits": F.col("wide"),
+        "wide_rate": F.col("wide") * 1000 / k,
         "second_person": F.when(hits > 0, count(near, low)).otherwise(0.0),
         "obfuscated": count(obfuscated_pattern(words), low),
         "swapped_rate": count("(?<=\\p{L})[0134578@$](?=\\p{L})", low) * 1000 / k,
@@ -89,27 +97,58 @@ def features(words: list[str], begins: list[str]) -> dict[str, Column]:
     }
 
 
-def with_features(df: DataFrame, words: list[str], begins: list[str], *keep: str) -> DataFrame:
+def with_features(df: DataFrame, words: list[str], begins: list[str], wide: list[str], *keep: str) -> DataFrame:
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = df.select(*keep, body.alias("body"), F.lower(body).alias("low"), F.regexp_count(body, F.lit(r"\S+")).alias("words"))
     base = base.withColumn("hits", F.regexp_count("low", F.lit(lexicon_pattern(words, begins))).cast("double"))
+    base = base.withColumn("wide", (F.regexp_count("low", F.lit(lexicon_pattern([], wide))).cast("double") if wide else F.lit(0.0)) + F.col("hits"))
     return base.select(*keep, *(e.alias(k) for k, e in features(words, begins).items()))
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """(words, beginnings) that mark the toxic documents of sample (toxic, text)."""
+def distinct_sample(sample: DataFrame) -> DataFrame:
+    """sample with one of each set of near copies: rows that share one of three pairs of minhashes of word 5-grams."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    out = sample.withColumn("_w", words)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, F.lit(5))))
+    least = lambda k: F.array_min(F.transform("_g", lambda h: F.xxhash64(F.lit(k), h)))
+    out = out.withColumn("_g", grams).select("doc_id", "toxic", "text", *(F.xxhash64(least(2 * k), least(2 * k + 1)).alias(f"_m{k}") for k in range(3)))
+    for k in range(3):
+        first = Window.partitionBy("toxic", f"_m{k}").orderBy("doc_id", "text")
+        out = out.withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    return out.select("doc_id", "toxic", "text")
+
+
+def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """(words, beginnings, wide beginnings) that mark the toxic documents of sample (toxic, text)."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
-    both = F.array_union(F.transform(found, lambda w: F.concat(F.lit("w"), w)), F.array_distinct(F.transform(F.filter(found, lambda w: F.length(w) > BEGIN), lambda w: F.concat(F.lit("b"), F.substring(w, 1, BEGIN)))))
+    keys = F.transform(found, lambda w: F.concat(F.lit("w"), w))
+
+    def begun(n: int) -> Column:
+        longer = F.filter(found, lambda w: F.length(w) > n)
+        return F.array_distinct(F.transform(longer, lambda w: F.concat(F.lit("b"), F.substring(w, 1, n))))
+
+    keys = F.concat(keys, *map(begun, BEGINS))
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
-        return sorted(SEEDS), []
-    df = sample.select("toxic", F.explode(both).alias("key")).groupBy("key").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    rate = (F.col("t") / n1) / ((F.col("n") - F.col("t") + 0.5) / n0)
-    good = [r.key for r in df.where((F.col("t") >= max(5, LEAST_SHARE * n1)) & (rate >= LIFT)).select("key").collect()]
-    begins = sorted(k[1:] for k in good if k[0] == "b")
-    words = sorted({*SEEDS, *(k[1:] for k in good if k[0] == "w" and not k[1:].startswith(tuple(begins)))})
-    return [w for w in words if not w.startswith(tuple(begins))], begins
+        return sorted(SEEDS), [], []
+    df = sample.select("toxic", F.explode(keys).alias("key")).groupBy("key").agg(F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n"))
+    c, share = F.col("n") - F.col("t"), n1 / (n1 + n0)
+    rate = (F.col("t") / n1) / ((c + 0.5) / n0)
+    g = 2 * (F.col("t") * F.log(F.col("t") / (F.col("n") * share)) + F.when(c > 0, c * F.log(c / (F.col("n") * (1 - share)))).otherwise(0.0))
+    good = df.where((F.col("t") >= LEAST_DOCS) & (rate >= LIFT) & (g >= LEAST_G)).select("key", (rate >= STRONG).alias("strong")).collect()
+
+    def shortest(keys: list[str]) -> list[str]:
+        out: list[str] = []
+        for k in sorted(keys, key=lambda k: (len(k), k)):
+            if not k.startswith(tuple(out)):
+                out.append(k)
+        return sorted(out)
+
+    begins = shortest([r.key[1:] for r in good if r.key[0] == "b" and r.strong])
+    wide = [k for k in shortest([r.key[1:] for r in good if r.key[0] == "b"]) if k not in begins]
+    words = {*SEEDS, *(r.key[1:] for r in good if r.key[0] == "w" and r.strong)}
+    return sorted(w for w in words if not w.startswith(tuple(begins))), begins, wide
 
 
 class Trees:
@@ -188,24 +227,24 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    """(words, beginnings, trees, calibration); trees are None without labels of both classes."""
+    """((words, beginnings, wide beginnings), trees, calibration); trees are None without labels of both classes."""
     ship(docs.sparkSession)
-    sample = materialise(labelled(docs, labels, "toxic", per_class), "sample")
-    words, begins = learn_lexicon(sample)
-    rows = with_features(sample, words, begins, "doc_id", "toxic").orderBy(hash_order(11, F.col("doc_id")), "doc_id", *FEATURES).collect()
+    sample = materialise(distinct_sample(labelled(docs, labels, "toxic", per_class)), "sample")
+    lexicon = learn_lexicon(sample)
+    rows = with_features(sample, *lexicon, "doc_id", "toxic").orderBy(hash_order(11, F.col("doc_id")), "doc_id", *FEATURES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))
     y = np.array([r.toxic for r in rows], float)
     part = np.arange(len(y)) % 4 == 3
     if len(set(y[~part])) < 2 or len(set(y[part])) < 2:
-        return words, begins, None, None
+        return lexicon, None, None
     trees = boost(x[~part], y[~part])
-    return words, begins, trees, isotonic(trees.raw(x[part]), y[part])
+    return lexicon, trees, isotonic(trees.raw(x[part]), y[part])
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, probability, toxic for each row of docs."""
-    words, begins, trees, calibration = model
-    rows = with_features(docs, words, begins, "doc_id")
+    lexicon, trees, calibration = model
+    rows = with_features(docs, *lexicon, "doc_id")
     if trees is None:
         p = F.when(F.col("hits") > 0, 1.0).otherwise(0.0)
     else:
