@@ -1,8 +1,8 @@
 """Language-model scoring by a Katz bigram model of the corpus itself.
 
-Tokens are lower-cased words; each text ends in </s> and starts after <s>. Words of the vocabulary are
-those counted most often in all documents, VOCAB at most; the rest is <unk>. Bigrams are
-counted over every document. Counts r <= K are discounted by Good-Turing,
+Tokens are lower-cased words; each text ends in </s> and starts after <s>. Every word counted is in the
+vocabulary; <unk> is a word of other documents. (A size may be given: then those counted most
+often are in it, the rest is <unk>.) Bigrams are counted over every document. Counts r <= K are discounted by Good-Turing,
     d_r = (r* / r - A) / (1 - A),   r* = (r + 1) N_{r+1} / N_r,   A = (K + 1) N_{K+1} / N_1,
 (1 where that is undefined or outside (0, 1]) and
     p(w | h) = scale(h) d_r r / C(h)       if r = c(h w) > 0
@@ -11,10 +11,13 @@ with alpha(h) = (1 - sum of seen p(w | h)) / (1 - sum of p(w) over seen w), so e
 1. scale(h) is 1 unless discounting frees less than 1 / (C(h) + 1), which is then the mass set
 free. Unigrams are discounted alike, the mass going to <unk>, which counts one more than was seen.
 
-Tables, all in the shared folder: unigrams (word, id, count, p); bigrams, partitioned by a hash
+Tables: unigrams (word, id, count, p) and bigrams in the shared folder, these partitioned by a hash
 of the history, one packed row of sorted keys and counts a bucket; histories (id, total, scale,
-alpha). Documents are turned once into postings, also packed and partitioned by that hash, so a
-bucket of postings meets one bucket of the bigram table, and only sums for each document go on.
+alpha), which are computed from a bucket where they are read. Ids go by falling count, so p(w) is a
+step function of the id with a step for each distinct count (Steps), and no task holds the words.
+Documents are turned into chunks of their own local ids, whose words are joined to the unigrams by a
+shuffle, and then into postings, also packed and partitioned by the hash of the history, so a bucket
+of postings meets one bucket of the bigram table, and only sums for each document go on.
 
 Defined results: null and empty texts are the sequence </s> alone; a null doc_id is kept; repeated
 rows count each time and each get their row. Extra columns are ignored. An empty table gives no rows.
@@ -23,7 +26,7 @@ rows count each time and each get their row. Extra columns are ignored. An empty
 from __future__ import annotations
 
 import itertools
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,10 +39,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import WORD, by_key, keyed, mix, spans
 from lodestone.session import materialise, ship
 
-VOCAB = 200_000
 K = 5
 UNK, START, END = 0, 1, 2
-SHIFT = np.uint64(20)
+#: A key is the id of the history and the id of the word, 32 bits each.
+SHIFT = np.uint64(32)
 #: Token positions that a task gathers before it sorts and packs them.
 FLUSH = 1 << 20
 #: Distinct words that a task counts before it hands them on.
@@ -92,54 +95,87 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(h.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _postings(words: list[str], buckets: int):
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: i + 3 for i, w in enumerate(words)}
-        part, turn = TaskContext.get().partitionId(), itertools.count()
-        seqs: list[np.ndarray] = []
-        docs: list[int | None] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            uid = (part << 32) | next(turn)
-            size = np.array([len(s) for s in seqs])
-            flat = np.concatenate(seqs).astype(np.uint64)
-            doc = np.repeat(np.arange(len(seqs), dtype=np.uint64), size)
-            first = np.r_[0, np.cumsum(size)[:-1]]
-            hist = np.r_[np.uint64(START), flat[:-1]]
-            hist[first] = START
-            order = np.lexsort((doc, flat, hist))
-            key, doc = ((hist << SHIFT) | flat)[order], doc[order]
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-            tf = np.diff(np.r_[new, len(key)])
-            key, doc = key[new], doc[new]
-            bucket = _bucket(key >> SHIFT, buckets)
-            by = np.argsort(bucket, kind="stable")
-            key, doc, tf, bucket = key[by], doc[by], tf[by], bucket[by]
-            rows = [(uid, -1, b"", pack(np.array([0 if d is None else d for d in docs], np.int64)), pack(np.array([d is None for d in docs], np.uint8)), pack(size.astype(np.uint32)))]
-            for lo, hi in spans(bucket):
-                k = key[lo:hi]
-                rows.append((uid, int(bucket[lo]), pack(np.diff(k, prepend=np.uint64(0))), pack(doc[lo:hi].astype(np.uint32)), b"", pack(tf[lo:hi].astype(np.uint32))))
-            cols = list(zip(*rows))
-            seqs.clear()
-            docs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["uid", "bucket", "keys", "docs", "nulls", "tf"])
+class Steps:
+    """A probability for each id, equal within a run of ids: first ids of the runs, and the value in each."""
 
-        for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                text = t.as_py()
-                w = WORD.findall(text.lower()) if text else []
-                s = np.empty(len(w) + 1, np.int32)
-                s[:-1] = np.fromiter((ids.get(x, UNK) for x in w), np.int32, len(w))
-                s[-1] = END
-                seqs.append(s)
-                docs.append(d)
-                held += len(s)
-                if held > FLUSH:
-                    yield flush()
-                    held = 0
-        if seqs:
-            yield flush()
+    def __init__(self, sizes: np.ndarray, value: np.ndarray):
+        self.first, self.value, self.n = np.r_[0, np.cumsum(sizes)[:-1]], value, int(sizes.sum())
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
+        return self.value[np.searchsorted(self.first, ids, "right") - 1]
+
+    def sum(self) -> float:
+        return float((np.diff(np.r_[self.first, self.n]) * self.value).sum())
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of documents as one row each: its distinct words, and its tokens as places in them (0 for </s>, else from 1)."""
+    part, turn = TaskContext.get().partitionId(), itertools.count()
+    ids: defaultdict[str, int] = defaultdict()
+    ids.default_factory = lambda: len(ids) + 1
+    seqs: list[np.ndarray] = []
+    docs: list[int | None] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        size = np.array([len(s) for s in seqs])
+        row = [(part << 32) | next(turn), list(ids), pack(np.concatenate(seqs)), pack(np.array([0 if d is None else d for d in docs], np.int64)), pack(np.array([d is None for d in docs], np.uint8)), pack(size.astype(np.uint32))]
+        ids.clear()
+        seqs.clear()
+        docs.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 4))], ["uid", "words", "seq", "docs", "nulls", "tf"])
+
+    for b in batches:
+        for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+            text = t.as_py()
+            w = WORD.findall(text.lower()) if text else []
+            s = np.zeros(len(w) + 1, np.uint32)
+            s[:-1] = np.fromiter(map(ids.__getitem__, w), np.uint32, len(w))
+            seqs.append(s)
+            docs.append(d)
+            held += len(s)
+            if held > FLUSH:
+                yield flush()
+                held = 0
+    if seqs:
+        yield flush()
+
+
+def _postings(buckets: int):
+    """Packed postings of chunks, each a row with seq and rows (place, id) of its words."""
+
+    def posted(uid: int, flat: np.ndarray, head: tuple[bytes, bytes, bytes]) -> pa.RecordBatch:
+        size = unpack(head[2], np.uint32).astype(np.int64)
+        doc = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+        hist = np.r_[np.uint64(START), flat[:-1]]
+        hist[np.r_[0, np.cumsum(size)[:-1]]] = START
+        order = np.lexsort((doc, flat, hist))
+        key, doc = ((hist << SHIFT) | flat)[order], doc[order]
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        tf = np.diff(np.r_[new, len(key)])
+        key, doc = key[new], doc[new]
+        bucket = _bucket(key >> SHIFT, buckets)
+        by = np.argsort(bucket, kind="stable")
+        key, doc, tf, bucket = key[by], doc[by], tf[by], bucket[by]
+        rows = [(uid, -1, b"", *head)]
+        for lo, hi in spans(bucket):
+            k = key[lo:hi]
+            rows.append((uid, int(bucket[lo]), pack(np.diff(k, prepend=np.uint64(0))), pack(doc[lo:hi].astype(np.uint32)), b"", pack(tf[lo:hi].astype(np.uint32))))
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["uid", "bucket", "keys", "docs", "nulls", "tf"])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, "uid"):
+            uid, place, ids = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("uid", "place", "id"))
+            for lo, hi in spans(uid):
+                head = lo + int(np.argmin(place[lo:hi]))
+                at = np.empty(hi - lo, np.uint64)
+                at[place[lo:hi]] = ids[lo:hi]
+                seq, *rest = (t.column(c)[head].as_py() for c in ("seq", "docs", "nulls", "tf"))
+                yield posted(int(uid[lo]), at[unpack(seq, np.uint32)], tuple(rest))
 
     return fn
 
@@ -163,7 +199,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], ["bucket", "keys", "counts", "of"])
 
 
-def weights(key: np.ndarray, c: np.ndarray, p1: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+def weights(key: np.ndarray, c: np.ndarray, p1: Steps, d: np.ndarray) -> tuple[np.ndarray, ...]:
     """Histories of sorted keys with their total, scale and alpha."""
     h, w = (key >> SHIFT).astype(np.int64), (key & np.uint64((1 << int(SHIFT)) - 1)).astype(np.int64)
     at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -178,7 +214,7 @@ def weights(key: np.ndarray, c: np.ndarray, p1: np.ndarray, d: np.ndarray) -> tu
     return h[at], total, scale, alpha
 
 
-def _histories(p1: np.ndarray, d: np.ndarray):
+def _histories(p1: Steps, d: np.ndarray):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, c in zip(b.column("keys"), b.column("counts")):
@@ -193,32 +229,31 @@ class Model:
     unigrams: DataFrame
     bigrams: DataFrame
     histories: DataFrame
-    words: list[str]
-    p1: np.ndarray
+    p1: Steps
     d: np.ndarray
-    total: np.ndarray
-    scale: np.ndarray
-    alpha: np.ndarray
     buckets: int
 
     def score(self, key: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """ln p(w | h) of keys, from the bigrams of their bucket: recursion to the unigram where the bigram is unseen."""
-        return _log_p(key, table, counts, self.p1, self.d, self.total, self.scale, self.alpha)
+        return _log_p(key, table, counts, self.p1, self.d)
 
 
-def _log_p(key, table, counts, p1, d, total, scale, alpha) -> np.ndarray:
+def _log_p(key: np.ndarray, table: np.ndarray, counts: np.ndarray, p1: Steps, d: np.ndarray, hist: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
     h, w = (key >> SHIFT).astype(np.int64), (key & np.uint64((1 << int(SHIFT)) - 1)).astype(np.int64)
-    at = np.minimum(np.searchsorted(table, key), max(0, len(table) - 1))
-    seen = table[at] == key if len(table) else np.zeros(len(key), bool)
-    r = counts[at] if len(table) else np.zeros(len(key))
-    known = total[h] > 0
+    if not len(table):
+        return np.log(p1[w])
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    seen, r = table[at] == key, counts[at]
+    of, total, scale, alpha = hist or weights(table, counts, p1, d)
+    at = np.minimum(np.searchsorted(of, h), len(of) - 1)
+    known = of[at] == h
     with np.errstate(divide="ignore", invalid="ignore"):
-        high = scale[h] * np.where(r <= K, d[np.minimum(r, K).astype(np.int64)], 1.0) * r / total[h]
-        low = np.where(known, alpha[h], 1.0) * p1[w]
-    return np.log(np.where(seen & known, high, low))
+        high = scale[at] * np.where(r <= K, d[np.minimum(r, K)], 1.0) * r / total[at]
+        low = np.where(known, alpha[at], 1.0) * p1[w]
+    return np.log(np.where(seen, high, low))
 
 
-def _score(p1, d, total, scale, alpha):
+def _score(p1: Steps, d: np.ndarray):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_key(batches, "bucket"):
             bucket = t.column("bucket").combine_chunks().to_numpy()
@@ -228,12 +263,13 @@ def _score(p1, d, total, scale, alpha):
             for lo, hi in spans(bucket):
                 own = [i for i in range(lo, hi) if counts[i].is_valid]
                 table, c = (np.cumsum(unpack(keys[own[0]].as_py(), np.uint64)), unpack(counts[own[0]].as_py(), np.int64)) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                hist = weights(table, c, p1, d) if own else None
                 for i in range(lo, hi):
                     if counts[i].is_valid:
                         continue
                     k, doc, n = np.cumsum(unpack(keys[i].as_py(), np.uint64)), unpack(docs[i].as_py(), np.uint32), unpack(tf[i].as_py(), np.uint32)
                     new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                    lp = np.repeat(_log_p(k[new], table, c, p1, d, total, scale, alpha), np.diff(np.r_[new, len(k)])) * n
+                    lp = np.repeat(_log_p(k[new], table, c, p1, d, hist), np.diff(np.r_[new, len(k)])) * n
                     which, inv = np.unique(doc, return_inverse=True)
                     out.append((int(uid[i]), pack(which), pack(np.bincount(inv, lp))))
             if out:
@@ -259,58 +295,70 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none), pa.array(n.astype(np.int64)), pa.array(lp)], ["doc_id", "n_tokens", "log_prob"])
 
 
-def _postings_of(docs: DataFrame, words: list[str], buckets: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_postings(words, buckets), "uid long, bucket int, keys binary, docs binary, nulls binary, tf binary")
+def _postings_of(docs: DataFrame, unigrams: DataFrame, buckets: int) -> DataFrame:
+    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunks, "uid long, words array<string>, seq binary, docs binary, nulls binary, tf binary")
+    chunks = materialise(chunks, "chunks")
+    blank = F.lit(None).cast("binary")
+    words = chunks.select("uid", F.posexplode("words").alias("place", "word"))
+    known = words.join(unigrams.where(F.col("id") > END).select("word", "id").hint("merge"), "word", "left")
+    ids = known.select("uid", (F.col("place") + 1).alias("place"), F.coalesce("id", F.lit(UNK).cast("long")).alias("id"), *(blank.alias(c) for c in ("seq", "docs", "nulls", "tf")))
+    heads = chunks.select("uid", F.lit(0).alias("place"), F.lit(END).cast("long").alias("id"), "seq", "docs", "nulls", "tf")
+    return keyed(heads.unionByName(ids), "uid", _postings(buckets), "uid long, bucket int, keys binary, docs binary, nulls binary, tf binary")
+
+
+def vocabulary(counts: DataFrame, size: int | None) -> tuple[list[tuple[int, int]], int]:
+    """(count, words of it) by falling count, all or the most frequent that size holds (whole counts only), and tokens outside."""
+    by = [(r["count"], r.n) for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect()]
+    n = len(by)
+    if size is not None:
+        n = sum(reach <= size for reach in itertools.accumulate(n for _, n in by))
+    return by[:n], sum(c * n for c, n in by[n:])
 
 
-def vocabulary(counts: DataFrame, size: int) -> tuple[list[str], int, int, dict[int, int]]:
-    """Most frequent words (all of the least frequency that still fits), tokens in all, tokens outside, counts of counts."""
-    by = counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect()
-    reach, least = 0, (by[0]["count"] + 1 if by else 1)
-    for r in by:
-        if reach + r.n > size:
-            break
-        reach += r.n
-        least = r["count"]
-    tokens = sum(r.n * r["count"] for r in by)
-    inside = sum(r.n * r["count"] for r in by if r["count"] >= least)
-    words = [r.word for r in counts.where(F.col("count") >= least).orderBy(F.desc("count"), "word").select("word").collect()]
-    return words, tokens, tokens - inside, {r["count"]: r.n for r in by if r["count"] >= least}
+def _numbered(counts: DataFrame) -> DataFrame:
+    """(word, count, id): dense ids from END + 1 by falling count, then by word."""
+    rows = materialise(counts.orderBy(F.desc("count"), "word").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "numbered")
+    parts = sorted((r.part, r.first, r.n) for r in rows.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect())
+    before = itertools.accumulate((n for _, _, n in parts), initial=END + 1)
+    shift = rows.sparkSession.createDataFrame([(p, b - first) for (p, first, _), b in zip(parts, before)], "part int, shift long")
+    return rows.join(F.broadcast(shift), "part").select("word", "count", (F.col("at") + F.col("shift")).alias("id"))
 
 
-def train(docs: DataFrame, vocab: int = VOCAB) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, vocab: int | None = None) -> tuple[Model, DataFrame]:
     """The model of docs, and the postings of docs."""
     spark: SparkSession = ship(docs.sparkSession)
     buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = materialise(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word string, count long").groupBy("word").agg(F.sum("count").alias("count")), "words")
-    words, tokens, outside, of = vocabulary(counts, min(vocab, (1 << int(SHIFT)) - 4))
+    of, outside = vocabulary(counts, vocab)
     n_docs = docs.count()
-    have = {r.word: r["count"] for r in counts.where(F.col("count") >= (min(of) if of else 1)).collect()} if words else {}
-    c1 = np.array([outside + 1, 0, n_docs, *(have[w] for w in words)], float)
-    d1 = discounts(of)
+    c1 = np.array([outside + 1, 0, n_docs, *(c for c, _ in of)], float)
+    sizes = np.array([1, 1, 1, *(n for _, n in of)], np.int64)
+    if sizes.sum() > 1 << int(SHIFT):
+        raise ValueError(f"{sizes.sum()} words do not fit a key")
+    d1 = discounts(dict(of))
     kept = np.where(c1 <= K, d1[np.minimum(c1, K).astype(int)], 1.0) * c1
     kept[:3] = c1[:3]
-    p1 = kept / c1.sum()
-    p1[UNK] += 1 - p1.sum()
-    unigrams = materialise(spark.createDataFrame(pa.table({"word": ["<unk>", "<s>", "</s>", *words], "id": np.arange(len(p1), dtype=np.int32), "count": c1.astype(np.int64), "p": p1})), "unigrams")
-    postings = materialise(_postings_of(docs, words, buckets), "postings")
+    p = kept / (c1 * sizes).sum()
+    p[UNK] += 1 - (p * sizes).sum()
+    p1 = Steps(sizes, p)
+    each = spark.createDataFrame([(int(c), float(x)) for c, x in zip(c1[3:], p[3:])], "count long, p double")
+    own = spark.createDataFrame([(w, i, int(c1[i]), float(p[i])) for i, w in enumerate(("<unk>", "<s>", "</s>"))], "word string, id long, count long, p double")
+    words = _numbered(counts.where(F.col("count") >= (of[-1][0] if of else (1 << 62))))
+    unigrams = materialise(words.join(F.broadcast(each), "count").select("word", "id", "count", "p").unionByName(own), "unigrams")
+    postings = materialise(_postings_of(docs, unigrams, buckets), "postings")
     merged = keyed(postings.where("bucket >= 0").select("bucket", "keys", "tf"), "bucket", _merge, "bucket int, keys binary, counts binary, of array<long>", None)
     bigrams = materialise(merged, "bigrams", ["bucket"])
     n = [int(r) for r in np.sum([r["of"] for r in bigrams.select("of").collect()] or [[0] * (K + 1)], axis=0)]
     d2 = discounts({i + 1: x for i, x in enumerate(n)})
-    histories = materialise(bigrams.select("keys", "counts").mapInArrow(_histories(p1, d2), "id long, total double, scale double, alpha double"), "histories")
-    total, scale, alpha = np.zeros(len(p1)), np.ones(len(p1)), np.ones(len(p1))
-    got = histories.toArrow()
-    at = got.column("id").to_numpy()
-    total[at], scale[at], alpha[at] = (got.column(c).to_numpy() for c in ("total", "scale", "alpha"))
-    return Model(unigrams, bigrams, histories, words, p1, d2, total, scale, alpha, buckets), postings
+    histories = bigrams.select("keys", "counts").mapInArrow(_histories(p1, d2), "id long, total double, scale double, alpha double")
+    return Model(unigrams, bigrams, histories, p1, d2, buckets), postings
 
 
 def score_postings(model: Model, postings: DataFrame) -> DataFrame:
     blank = F.lit(None).cast("binary")
     left = postings.where("bucket >= 0").select("bucket", "uid", "keys", "docs", "tf", blank.alias("counts"))
     right = model.bigrams.select(F.col("bucket").cast("int").alias("bucket"), F.lit(-1).cast("long").alias("uid"), "keys", blank.alias("docs"), blank.alias("tf"), "counts")
-    sums = keyed(left.unionByName(right), "bucket", _score(model.p1, model.d, model.total, model.scale, model.alpha), "uid long, docs binary, sums binary")
+    sums = keyed(left.unionByName(right), "bucket", _score(model.p1, model.d), "uid long, docs binary, sums binary")
     heads = postings.where("bucket < 0").select("uid", "docs", blank.alias("sums"), "nulls", "tf")
     out = keyed(heads.unionByName(sums.select("uid", "docs", "sums", blank.alias("nulls"), blank.alias("tf"))), "uid", _gather, "doc_id long, n_tokens long, log_prob double")
     return out.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_tokens")))
@@ -318,9 +366,9 @@ def score_postings(model: Model, postings: DataFrame) -> DataFrame:
 
 def score(model: Model, docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_prob, perplexity of any documents under the model."""
-    return score_postings(model, materialise(_postings_of(docs, model.words, model.buckets), "postings"))
+    return score_postings(model, materialise(_postings_of(docs, model.unigrams, model.buckets), "postings"))
 
 
-def score_corpus(docs: DataFrame, vocab: int = VOCAB) -> DataFrame:
+def score_corpus(docs: DataFrame, vocab: int | None = None) -> DataFrame:
     """doc_id, n_tokens, log_prob, perplexity of every document under the model of all of them."""
     return score_postings(*train(docs, vocab))

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import katz
 
@@ -87,3 +88,17 @@ def test_good_turing():
     a = 6 * 6 / 100
     assert np.isclose(d[1], ((2 * 40 / 100) - a) / (1 - a)) and (d <= 1).all()
     assert (katz.discounts({}) == 1).all()
+
+
+def test_every_word_is_kept(make):
+    texts = [" ".join(f"w{k}x{i}" for i in range(5_000)) + " often" * (k % 7) + "".join(f" r{i}" * (1 + i % 6) for i in range(k % 9)) for k in range(42)]
+    docs = make(texts)
+    model, _ = katz.train(docs)
+    c = Counter(w for t in texts for w in t.split())
+    assert len(c) > 200_000 and {(r.word, r["count"]) for r in model.unigrams.where("id > 2").collect()} == set(c.items())
+    assert np.isclose(model.p1.sum(), 1) and model.unigrams.agg(F.countDistinct("id"), F.max("id")).first() == (len(c) + 3, len(c) + 2)
+    p, _, seqs, _ = brute(texts, 10**9)
+    got = {r.doc_id: r.log_prob for r in katz.score_corpus(docs).collect()}
+    for k in (0, 8, 41):
+        lp = sum(math.log(p(h, w)) for h, w in zip(["<s>", *seqs[k]], seqs[k]))
+        assert "<unk>" not in seqs[k] and np.isclose(got[k], lp)
