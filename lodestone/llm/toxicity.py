@@ -59,17 +59,25 @@ def lexicon_pattern(words: list[str], begins: list[str]) -> str:
     return f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(parts)})" if parts else "(?!)"
 
 
-def obfuscated_pattern(words: list[str]) -> str:
-    """The words with look-alikes or marks between letters, and not as they are."""
+def obfuscated_pattern(words: list[str], begins: list[str] = []) -> str:
+    """The words, and longer words with one of the beginnings, with look-alikes or marks between letters, and not as they are.
+
+    The look-ahead for a sign after letters only spares plain words the alternation.
+    """
     long = [w for w in words if len(w) >= 4]
-    if not long:
+    if not long and not begins:
         return "(?!)"
-    shape = ["[._*\\-]?".join(f"[{re.escape(_SWAP[c])}]" if c in _SWAP else re.escape(c) for c in w) for w in sorted(long)]
-    return f"(?<![\\p{{L}}\\p{{N}}])(?!(?:{_any(long)})(?![\\p{{L}}\\p{{N}}]))(?:{'|'.join(shape)})(?![\\p{{L}}\\p{{N}}])"
 
+    def shapes(of: list[str]) -> str:
+        return "|".join("[._*\\-]?".join(f"[{re.escape(_SWAP[c])}]" if c in _SWAP else re.escape(c) for c in w) for w in sorted(of))
+
+    parts = [f"(?!(?:{_any(long)})(?![\\p{{L}}\\p{{N}}]))(?:{shapes(long)})(?![\\p{{L}}\\p{{N}}])"] if long else []
+    parts += [f"(?!(?:{_any(begins)}))(?:{shapes(begins)})(?:[._*\\-]?\\p{{L}})+"] if begins else []
+    return f"(?<![\\p{{L}}\\p{{N}}])(?=\\p{{L}}*[^\\p{{L}}\\s])(?:{'|'.join(parts)})"
 
-def features(words: list[str], begins: list[str]) -> dict[str, Column]:
-    """Feature columns of low, the lower-cased text, and text."""
+
+def features(words: list[str], begins: list[str], hidden: list[str]) -> dict[str, Column]:
+    """Feature columns of low, the lower-cased text, and text; hidden are the words looked for in disguise."""
     low, text = F.col("low"), F.col("body")
     lex = lexicon_pattern(words, begins)
     person = f"(?<![\\p{{L}}])(?:{_any(list(SECOND))})(?![\\p{{L}}])"
@@ -88,7 +96,7 @@ def features(words: list[str], begins: list[str]) -> dict[str, Column]:
         "wide_hits": F.col("wide"),
         "wide_rate": F.col("wide") * 1000 / k,
         "second_person": F.when(hits > 0, count(near, low)).otherwise(0.0),
-        "obfuscated": count(obfuscated_pattern(words), low),
+        "obfuscated": count(obfuscated_pattern(hidden, begins), low),
         "swapped_rate": count("(?<=\\p{L})[0134578@$](?=\\p{L})", low) * 1000 / k,
         "capital_share": (n - F.length(F.regexp_replace(text, "\\p{Lu}+", ""))) / n,
         "loud_rate": count("[!?]+", text) * 1000 / k,
@@ -97,12 +105,12 @@ def features(words: list[str], begins: list[str]) -> dict[str, Column]:
     }
 
 
-def with_features(df: DataFrame, words: list[str], begins: list[str], wide: list[str], *keep: str) -> DataFrame:
+def with_features(df: DataFrame, words: list[str], begins: list[str], wide: list[str], hidden: list[str], *keep: str) -> DataFrame:
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = df.select(*keep, body.alias("body"), F.lower(body).alias("low"), F.regexp_count(body, F.lit(r"\S+")).alias("words"))
     base = base.withColumn("hits", F.regexp_count("low", F.lit(lexicon_pattern(words, begins))).cast("double"))
     base = base.withColumn("wide", (F.regexp_count("low", F.lit(lexicon_pattern([], wide))).cast("double") if wide else F.lit(0.0)) + F.col("hits"))
-    return base.select(*keep, *(e.alias(k) for k, e in features(words, begins).items()))
+    return base.select(*keep, *(e.alias(k) for k, e in features(words, begins, hidden).items()))
 
 
 def distinct_sample(sample: DataFrame) -> DataFrame:
@@ -118,8 +126,11 @@ def distinct_sample(sample: DataFrame) -> DataFrame:
     return out.select("doc_id", "toxic", "text")
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
-    """(words, beginnings, wide beginnings) that mark the toxic documents of sample (toxic, text)."""
+def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str], list[str]]:
+    """(words, beginnings, wide beginnings, words in disguise) that mark the toxic documents of sample (toxic, text).
+
+    Words that have a beginning are left out of the words, as they are hits anyhow, but not out of those in disguise.
+    """
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
     keys = F.transform(found, lambda w: F.concat(F.lit("w"), w))
 
@@ -131,7 +142,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
-        return sorted(SEEDS), [], []
+        return sorted(SEEDS), [], [], sorted(SEEDS)
     df = sample.select("toxic", F.explode(keys).alias("key")).groupBy("key").agg(F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n"))
     c, share = F.col("n") - F.col("t"), n1 / (n1 + n0)
     rate = (F.col("t") / n1) / ((c + 0.5) / n0)
@@ -148,7 +159,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     begins = shortest([r.key[1:] for r in good if r.key[0] == "b" and r.strong])
     wide = [k for k in shortest([r.key[1:] for r in good if r.key[0] == "b"]) if k not in begins]
     words = {*SEEDS, *(r.key[1:] for r in good if r.key[0] == "w" and r.strong)}
-    return sorted(w for w in words if not w.startswith(tuple(begins))), begins, wide
+    return sorted(w for w in words if not w.startswith(tuple(begins))), begins, wide, sorted(words)
 
 
 class Trees:
@@ -227,7 +238,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    """((words, beginnings, wide beginnings), trees, calibration); trees are None without labels of both classes."""
+    """((words, beginnings, wide beginnings, words in disguise), trees, calibration); trees are None without labels of both classes."""
     ship(docs.sparkSession)
     sample = materialise(distinct_sample(labelled(docs, labels, "toxic", per_class)), "sample")
     lexicon = learn_lexicon(sample)

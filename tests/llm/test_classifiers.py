@@ -88,6 +88,18 @@ def test_toxicity_obfuscation(make):
     assert [r.n for r in d.orderBy("doc_id").collect()] == [1, 1, 0, 0]
 
 
+def test_toxicity_disguise_of_words_under_a_learned_beginning(spark, make):
+    good = [f"alpha beta{i} gamma delta{i} epsilon{i} zeta" for i in range(120)]
+    bad = [f"alpha beta{i} {'idiot' if i % 3 else 'i.d.i.o.t'} delta{i} {'idiot' if i % 3 else 'm_o_r_o_n'} zeta" for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 120)) for i in range(240)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(make(good + bad), labels)
+    assert "idio" in model[0][1] and "idiot" not in model[0][0]
+    new = make(["alpha beta7 i.d.i.o.t delta7 epsilon7 zeta", "alpha beta7 id!0tic delta7 epsilon7 zeta", "alpha beta7 gamma delta7 epsilon7 zeta"])
+    rows = toxicity.with_features(new, *model[0], "doc_id").orderBy("doc_id").collect()
+    assert [r.obfuscated for r in rows] == [1, 1, 0]
+    assert [r.toxic for r in toxicity.score(new, model).orderBy("doc_id").collect()] == [True, True, False]
+
+
 def test_toxicity_odd_rows(odd, empty, documents, labels, spark):
     out = toxicity.detect(odd.unionByName(documents, True), labels)
     assert out.count() == odd.count() + documents.count() and out.where("probability is null or toxic is null").count() == 0
