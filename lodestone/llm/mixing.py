@@ -6,8 +6,9 @@ rounded by a seeded draw, within the budget; the rest is fitted by a bounded kna
 of each length, so a source ends exactly on its budget if any choice of its documents does,
 else just below it. Which documents of a length are taken goes by a seeded hash.
 
-Without given weights a source weighs tokens ** TEMPERATURE; without a given total it is the
-greatest that no source falls short of.
+Without given weights a source weighs tokens ** TEMPERATURE, the total is SHARE of all tokens if none
+is given, and a source with fewer tokens than its budget gives all of them, what it lacks going to the
+others by weight. With given weights but no total, it is the greatest that no source falls short of.
 
 Defined results: a null source is a source of its own; null texts have length 0, and documents of
 length 0 are always kept, as they cost nothing; weights of sources that are not there count as
@@ -18,6 +19,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Mapping
 
@@ -28,6 +30,8 @@ from lodestone.llm.common import broadcast_if_small
 from lodestone.session import materialise
 
 TEMPERATURE = 0.5
+#: Share of all tokens that is taken where neither weights nor a total are given.
+SHARE = 0.95
 SEED = 17
 #: Tokens of a remainder that the knapsack's bit set holds, see fit().
 TABLE = 1 << 13
@@ -113,10 +117,28 @@ def fit(counts: Mapping[int, int], budget: int, seed: int = SEED) -> dict[int, i
     return best | {0: counts[0]} if 0 in counts else best
 
 
+def _filled(tokens: Mapping, w: Mapping, total: float) -> dict:
+    """Budgets by weight of total; what a source cannot fill is shared out among the others."""
+    out = {s: 0 for s in tokens}
+    left, rest = total, [s for s in tokens if w[s] > 0]
+    while rest:
+        unit = left / math.fsum(w[s] for s in rest)
+        short = [s for s in rest if tokens[s] <= unit * w[s]]
+        for s in short or rest:
+            out[s] = min(int(unit * w[s] + 1e-6), tokens[s])
+        if not short:
+            break
+        left -= sum(tokens[s] for s in short)
+        rest = [s for s in rest if s not in short]
+    return out
+
+
 def budgets(tokens: Mapping, weights: Mapping | None = None, total: int | None = None) -> dict:
     """Token budget of each source."""
-    w = {s: (weights.get(s, 0.0) if weights is not None else float(n) ** TEMPERATURE) for s, n in tokens.items()}
-    whole = sum(w.values()) + (sum(v for s, v in weights.items() if s not in tokens) if weights is not None else 0)
+    if weights is None:
+        return _filled(tokens, {s: float(n) ** TEMPERATURE for s, n in tokens.items()}, sum(tokens.values()) * SHARE if total is None else total)
+    w = {s: weights.get(s, 0.0) for s in tokens}
+    whole = sum(w.values()) + sum(v for s, v in weights.items() if s not in tokens)
     if not any(v > 0 for v in w.values()):
         return {s: 0 for s in tokens}
     unit = min(tokens[s] / w[s] for s in tokens if w[s] > 0) if total is None else total / whole

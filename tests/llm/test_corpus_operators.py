@@ -64,6 +64,17 @@ def test_budgets():
     assert mixing.budgets({"a": 100}, {"z": 1.0}, 50) == {"a": 0}
 
 
+def test_a_scarce_source_does_not_shrink_the_others(spark):
+    got = mixing.budgets({"a": 1_000_000, None: 4})
+    assert got[None] == 4 and 949_000 <= got["a"] <= 950_004
+    got = mixing.budgets({"a": 1000, "b": 100, "c": 10}, total=1050)
+    assert got == {"a": 940, "b": 100, "c": 10}
+    assert mixing.budgets({"a": 0, "b": 0}) == {"a": 0, "b": 0}
+    docs = spark.createDataFrame([(i, "w " * 10, "big") for i in range(1000)] + [(-1, "a b c d", None)], "doc_id long, text string, source string")
+    by = {r.source: r.n for r in mixing.selected(docs).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert by == {"big": 9490, None: 4}
+
+
 def test_sharding_equals_sql(spark, documents, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
