@@ -33,7 +33,7 @@ TEMPERATURE = 0.5
 #: Share of all tokens that is taken where neither weights nor a total are given.
 SHARE = 0.95
 SEED = 17
-#: Tokens of a remainder that the knapsack's bit set holds, see fit().
+#: Tokens of a remainder that the knapsack's bit set holds at first, see fit().
 TABLE = 1 << 13
 
 
@@ -83,7 +83,9 @@ def fit(counts: Mapping[int, int], budget: int, seed: int = SEED) -> dict[int, i
     Shares are rounded up or down by a seeded draw for each length, so rare lengths are neither always
     nor never taken. Lengths in the order of their draws fill what is left down to TABLE tokens, and
     the knapsack meets that remainder exactly if any choice of the remaining documents does, else
-    from below; in that case the share is lowered and all is fitted again with more documents left.
+    from below; in that case the share is lowered and all is fitted again with more documents left,
+    then with ever larger remainders, the last of which is the whole budget. Sizes are divided by what
+    divides them all, and no total can be nearer to the budget than the multiple of that below it.
     """
     total = sum(size * n for size, n in counts.items())
     if total <= budget:
@@ -91,7 +93,10 @@ def fit(counts: Mapping[int, int], budget: int, seed: int = SEED) -> dict[int, i
     order = sorted((s for s in counts if s > 0), key=lambda s: (_draw(seed, s), s))
     best: dict[int, int] = {}
     best_sum = -1
-    for slack in (0.0, 0.02, 0.2, 1.0):
+    unit = math.gcd(*order)
+    goal = budget // unit * unit
+    tables = [TABLE << 3 * k for k in range(1, 64) if TABLE << 3 * (k - 1) < budget]
+    for slack, table in [*((s, TABLE) for s in (0.0, 0.02, 0.2, 1.0)), *((min(1.0, t / budget), t) for t in tables)]:
         share = budget / total * (1 - slack)
         take = {size: int(counts[size] * share) for size in order}
         left = budget - sum(size * n for size, n in take.items())
@@ -101,18 +106,18 @@ def fit(counts: Mapping[int, int], budget: int, seed: int = SEED) -> dict[int, i
                 take[size] += 1
                 left -= size
         for size in order:
-            if left <= TABLE:
+            if left <= table:
                 break
-            k = min(counts[size] - take[size], (left - TABLE) // size)
+            k = min(counts[size] - take[size], (left - table) // size)
             take[size] += k
             left -= k * size
-        rest = {size: counts[size] - take[size] for size in order if counts[size] > take[size]}
-        for size, k in subset_sum(rest, left).items():
-            take[size] += k
+        rest = {size // unit: counts[size] - take[size] for size in order if counts[size] > take[size]}
+        for size, k in subset_sum(rest, left // unit).items():
+            take[size * unit] += k
         got = sum(size * n for size, n in take.items())
         if got > best_sum:
             best, best_sum = take, got
-        if got == budget:
+        if got == goal:
             break
     return best | {0: counts[0]} if 0 in counts else best
 

@@ -25,6 +25,18 @@ def test_fit_meets_budgets_exactly():
         assert got == (0 if budget < 40 else min(budget, sum(s * n for s, n in counts.items())))
 
 
+def test_fit_meets_budgets_of_long_documents():
+    assert mixing.fit({20002: 1, 15001: 1, 14999: 1}, 30000) == {20002: 0, 15001: 1, 14999: 1}
+    counts = {mixing.TABLE + 997 * k + k * k: 1 + k % 2 for k in range(1, 7)}
+    sums = sorted({sum(s * k for s, k in zip(counts, ks)) for ks in itertools.product(*(range(n + 1) for n in counts.values()))})
+    for budget in [*sums[1::9], *(s + 3 for s in sums[2::17])]:
+        take = mixing.fit(counts, budget)
+        assert all(0 <= k <= counts[s] for s, k in take.items())
+        assert sum(s * k for s, k in take.items()) == max(s for s in sums if s <= budget)
+    take = mixing.fit({10_000: 50_000}, 123_456_789)
+    assert take == {10_000: 12_345}
+
+
 def test_mix_hits_targets(documents):
     d = documents.withColumn("source", F.when(F.col("doc_id") % 4 == 0, "a").otherwise("b"))
     got = mixing.selected(d, {"a": 1.0, "b": 1.0}, 10_000)
