@@ -38,7 +38,7 @@ query("d2_self_loops", "FLT-17", "edges", "SELECT edge_id FROM edges WHERE sourc
 
 query("jon02_insert_edges", "JON-02", "edges nodes", "SELECT DISTINCT edge_id FROM edges WHERE source_id IN (SELECT node_id FROM nodes WHERE repo_id <> 'supply') AND target_id IN (SELECT node_id FROM nodes WHERE repo_id <> 'supply')")(lambda e, n: gs.insert_edges(e, n.where("repo_id <> 'supply'")).select("edge_id"))
 query("jon03_insert_absent", "JON-03", "nodes", "SELECT node_id FROM nodes WHERE repo_id = 'crm' AND node_id NOT IN (SELECT node_id FROM nodes WHERE snapshot_id = 'snap:0')")(lambda n: gs.insert_absent(n.where("snapshot_id = 'snap:0'"), n.where("repo_id = 'crm'").select("node_id"), "node_id"))
-query("src25_upsert", "SRC-25 SRC-28 SRC-30 EXT-16 EXT-17 EXT-18 EXT-20", "runs", "SELECT parent_id, max_by(run_id, struct_pack(a := start_ts, b := run_id)) AS run_id FROM runs GROUP BY parent_id")(lambda r: gs.upsert(r.where("status <> 'running'").withColumn("k", F.struct("start_ts", "run_id")), r.where("status = 'running'").withColumn("k", F.struct("start_ts", "run_id")), ["parent_id"], "k").select("parent_id", "run_id"))
+query("src25_upsert", "SRC-25 SRC-28 EXT-17 EXT-20", "runs", "SELECT parent_id, max_by(run_id, struct_pack(a := start_ts, b := run_id)) AS run_id FROM runs GROUP BY parent_id")(lambda r: gs.upsert(r.where("status <> 'running'").withColumn("k", F.struct("start_ts", "run_id")), r.where("status = 'running'").withColumn("k", F.struct("start_ts", "run_id")), ["parent_id"], "k").select("parent_id", "run_id"))
 
 FACTS = """SELECT concat(l_partkey) AS key, CASE WHEN l_linenumber % 3 = 0 THEN 'ctags' WHEN l_linenumber % 3 = 1 THEN 'ast' ELSE 'lsp' END AS backend, l_orderkey * 10 + l_linenumber AS backend_order, l_quantity AS strength, l_discount AS confidence, l_linenumber AS start_line, l_suppkey AS end_line FROM lineitem WHERE l_orderkey % 10 = 0"""
 
@@ -166,7 +166,7 @@ query("rnk06_blame_prior", "RNK-06 RNK-07 AGG-05", "orders", """WITH e AS (SELEC
 SELECT file_path, round(least(max(0.4 * exp(-CAST(h AS DOUBLE) / 168) + CASE WHEN hit THEN 0.4 ELSE 0 END + 0.2 * CAST(churn AS DOUBLE) / (SELECT max(churn) FROM c)), 1), 6) AS score FROM x WHERE hit OR churn > 1 GROUP BY file_path""")(lambda o: rk.blame_prior(o.where("o_orderkey % 4 = 0").select(F.concat(F.lit("f"), (F.col("o_custkey") % 300).cast("string")).alias("file_path"), F.col("o_orderdate").alias("author_ts"), F.col("o_orderpriority").alias("summary")), ["URGENT"], F.expr(AS_OF)).withColumn("score", F.round("score", 6)))
 query("rnk08_ochiai", "RNK-08", "lineitem", "WITH c AS (SELECT l_partkey, CAST(count(*) FILTER (l_returnflag='R') AS DOUBLE) AS ef, CAST(count(*) FILTER (l_returnflag='A') AS DOUBLE) AS ep, CAST(count(*) FILTER (l_linestatus='F') AS DOUBLE) AS nf FROM lineitem GROUP BY l_partkey) SELECT l_partkey, round(CASE WHEN (ef+nf)*(ef+ep) > 0 THEN ef / sqrt((ef+nf)*(ef+ep)) ELSE 0 END, 6) AS score FROM c")(lambda li: li.groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") == "R").cast("double").alias("ef"), F.count_if(F.col("l_returnflag") == "A").cast("double").alias("ep"), F.count_if(F.col("l_linestatus") == "F").cast("double").alias("nf")).select("l_partkey", F.round(rk.ochiai(F.col("ef"), F.col("ep"), F.col("nf"), F.lit(0.0)), 6).alias("score")))
 query("top03_vector_top_k", "TOP-03 EXT-05", "embeddings", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS s FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM d) SELECT query_id, id, round(s, 5) AS similarity FROM r WHERE k <= 8")(lambda e: rk.top_k(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 8).select("query_id", "id", F.round("similarity", 5).alias("similarity")))
-query("top05_incidents", "TOP-05 TOP-06 TOP-07 TOP-08", "runs", "SELECT run_id, start_ts FROM runs ORDER BY start_ts DESC, run_id DESC LIMIT 25")(lambda r: r.select("run_id", "start_ts").orderBy(F.desc("start_ts"), F.desc("run_id")).limit(25))
+query("top05_incidents", "TOP-05", "runs", "SELECT run_id, start_ts FROM runs ORDER BY start_ts DESC, run_id DESC LIMIT 25")(lambda r: r.select("run_id", "start_ts").orderBy(F.desc("start_ts"), F.desc("run_id")).limit(25))
 query("top10_patch_selection", "TOP-10", "lineitem", "WITH c AS (SELECT l_orderkey, l_linenumber, count(DISTINCT l_partkey) OVER () * 0 + l_quantity AS files FROM lineitem) SELECT l_orderkey, min_by(l_linenumber, struct_pack(a := l_quantity, b := l_linenumber)) AS chosen FROM lineitem GROUP BY l_orderkey")(lambda li: li.groupBy("l_orderkey").agg(F.min_by("l_linenumber", F.struct("l_quantity", "l_linenumber")).alias("chosen")))
 query("top13_first_events", "TOP-13 TOP-15", "run_events", "SELECT run_id, seq, event_id FROM run_events WHERE seq <= 50")(lambda e: rk.first_per(e, ["run_id"], [F.col("seq")], 50).select("run_id", "seq", "event_id"))
 query("rnk14_tiered_lookup", "RNK-14 RNK-15", "nodes", "WITH t AS (SELECT repo_id, node_id, CASE WHEN file_path LIKE '%/c3.py' THEN 1 WHEN contains(file_path, 'p5') THEN 2 WHEN contains(lower(label), 'o') THEN 3 END AS tier FROM nodes), m AS (SELECT *, min(tier) OVER (PARTITION BY repo_id) AS m FROM t WHERE tier IS NOT NULL) SELECT repo_id, node_id, tier FROM m WHERE tier = m")(lambda n: rk.tiered(n, [F.col("file_path").endswith("/c3.py"), F.col("file_path").contains("p5"), F.lower("label").contains("o")], ["repo_id"]).select("repo_id", "node_id", "tier"))
