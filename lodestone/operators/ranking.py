@@ -46,6 +46,20 @@ def first_per(df: DataFrame, key: list[str], order: list[Column], n: int) -> Dat
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
+def keyword_candidates(nodes: DataFrame, text: str, files: list[str], symbols: list[str]) -> DataFrame:
+    """(repo_id, file_path, node_id, score) of files: keyword scores of nodes, +2.0 for a named file and +1.5 for a named symbol.
+
+    Files and symbols are searched as text too. All nodes count in N and df, those without a file are no candidates;
+    of a file the best node stays (at a tie the least node_id), and scores are divided by the greatest.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("label", "qualified_name", "file_path", "properties") if c in nodes.columns]
+    found = keyword_scores(nodes.select(F.col("node_id").alias("id"), F.concat_ws(" ", *parts).alias("text")), F.lit(" ".join([*files, *symbols, text])))
+    name = F.when(F.col("qualified_name") != "", F.col("qualified_name")).otherwise(F.col("label"))
+    bonus = F.when(F.col("file_path").isin(files), 2.0).otherwise(0.0) + F.when(name.isin(symbols), 1.5).otherwise(0.0)
+    scored = nodes.where("file_path <> ''").join(found, nodes.node_id == found.id, "left").select("repo_id", "file_path", "node_id", (F.coalesce("score", F.lit(0.0)) + bonus).alias("score"))
+    return max_normalised(best_per(scored.where("score > 0"), ["repo_id", "file_path"], [F.desc("score"), F.asc("node_id")]))
+
+
 def weight_of(kind: Column, weights: Mapping[str, float] = WEIGHTS) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[kind], F.lit(0.0))
 

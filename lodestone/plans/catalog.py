@@ -158,7 +158,8 @@ query("grf14_expand_files", "GRF-14", "nodes edges")(lambda n, e: gr.expand_file
 _ISSUE = "the thing is ending and thion the whating of there"
 _TOK = "list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'), lambda t: regexp_replace(lower(t), 'ing$', ''))"
 query("agg04_term_frequency", "AGG-04 RNK-04", "documents", f"WITH t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents WHERE lang = 'en' AND doc_id % 3 = 0) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")(lambda d: d.where("lang = 'en' and doc_id % 3 = 0").select("doc_id", F.explode(rk.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")))
-query("rnk03_keyword_retrieval", "RNK-03 RNK-09 TOP-02", "documents", f"WITH q AS (SELECT DISTINCT unnest({_TOK.replace('text', chr(39) + _ISSUE + chr(39))}) AS term), t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), h AS (SELECT doc_id, t.term, count(*) AS tf FROM t JOIN q ON t.term = q.term WHERE q.term NOT IN ('the','and','or','to','in','a','of','when','is','it','on') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id AS id, round(sum(tf * ln(CAST((SELECT count(*) FROM documents) + 1 AS DOUBLE) / (df + 1) + 1)), 6) AS score FROM h JOIN f USING (term) GROUP BY doc_id")(lambda d: rk.keyword_scores(d.select(F.col("doc_id").alias("id"), "text"), F.lit(_ISSUE)).withColumn("score", F.round("score", 6)))
+query("rnk03_keyword_retrieval", "RNK-03", "documents", f"WITH q AS (SELECT DISTINCT unnest({_TOK.replace('text', chr(39) + _ISSUE + chr(39))}) AS term), t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), h AS (SELECT doc_id, t.term, count(*) AS tf FROM t JOIN q ON t.term = q.term WHERE q.term NOT IN ('the','and','or','to','in','a','of','when','is','it','on') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id AS id, round(sum(tf * ln(CAST((SELECT count(*) FROM documents) + 1 AS DOUBLE) / (df + 1) + 1)), 6) AS score FROM h JOIN f USING (term) GROUP BY doc_id")(lambda d: rk.keyword_scores(d.select(F.col("doc_id").alias("id"), "text"), F.lit(_ISSUE)).withColumn("score", F.round("score", 6)))
+query("top02_keyword_candidates", "RNK-03 TOP-02", "nodes")(lambda n: rk.keyword_candidates(n, _ISSUE + " geo", ["src/geo/n1.py"], ["geo.FRANCE"]).withColumn("score", F.round("score", 6)))
 query("agg07_merge_signals", "AGG-07 AGG-08 TOP-01", "signals", """WITH w AS (SELECT *, CASE signal_type WHEN 'keyword' THEN 0.25 WHEN 'sarif' THEN 0.2 WHEN 'blame' THEN 0.15 WHEN 'graph_neighbour' THEN 0.1 END::DOUBLE AS w FROM signals), t AS (SELECT repo_id, file_path, signal_type, sum(raw_score * w) AS s, any_value(w) AS w, bool_or(raw_score > 0.3) AS strong, bool_or(is_generated) AS g FROM w GROUP BY ALL), x AS (SELECT repo_id, file_path, bool_or(g) AS is_generated, count(*) AS types, least(sum(s) / sum(w), 1.0) AS score, count(*) FILTER (strong)::DOUBLE / count(*) AS agreement FROM t GROUP BY repo_id, file_path)
 SELECT repo_id, file_path, is_generated, types, round(score, 6) AS score, round(agreement, 6) AS agreement, CASE WHEN agreement >= 0.6 THEN 'analyser' ELSE 'heuristic' END AS confidence FROM x WHERE score >= 0.05""")(lambda s: rk.merge_signals(s).withColumn("score", F.round("score", 6)).withColumn("agreement", F.round("agreement", 6)))
 query("agg06_sarif_prior", "AGG-06 RNK-05", "alerts_before", "WITH m AS (SELECT file_path, CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.5 ELSE 0.2 END::DOUBLE * CASE WHEN lower(message) LIKE '%issue  3%' THEN 1.0 WHEN lower(rule_id) LIKE '%rule.ao%' THEN 0.9 WHEN severity IN ('critical','high') THEN 0.3 ELSE 0.0 END::DOUBLE AS s FROM alerts_before WHERE NOT suppressed), g AS (SELECT file_path, sum(s) AS s FROM m WHERE s > 0 GROUP BY file_path) SELECT file_path, round(s / (SELECT max(s) FROM g), 6) AS score FROM g")(lambda a: rk.sarif_prior(a, ["rule.AO"], ["Issue  3"], False, True).withColumn("score", F.round("score", 6)))

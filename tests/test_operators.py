@@ -1,5 +1,7 @@
 """Semantics that the stand-in queries do not reach, by hand-made rows."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -8,6 +10,7 @@ from lodestone.operators import graph as gr
 from lodestone.operators import graph_store as gs
 from lodestone.operators import indexers as ix
 from lodestone.operators import ledger as lg
+from lodestone.operators import ranking as rk
 from lodestone.operators import sarif as sa
 
 ALERT = "analyser_id string, rule_id string, file_path string, start_line int, message string, severity string, suppressed boolean"
@@ -140,3 +143,14 @@ def test_regex_indexes(spark):
     assert {("package", "p.q"), ("import", "java.util.List"), ("class", "J"), ("method", "go")} <= of("java")
     assert [(r.line, r.level, r.title) for r in ix.markdown_headings(f).orderBy("line").collect()] == [(1, 1, "Top"), (5, 2, "Sub")]
     assert [(r.provider, r.consumer) for r in ix.interface_links(ix.interfaces(f, "http")).collect()] == [("api.py", "cl.py")]
+
+
+def test_keyword_candidates_name_files_and_symbols(spark):
+    rows = [("r", "n1", "parse", "m.parse", "a.py"), ("r", "n2", "other", "m.other", "a.py"), ("r", "n3", "lexer", "m.lexer", "b.py"), ("r", "n4", "zed", None, "c.py"), ("r", "n5", "parse", "x.parse", None), ("r", "n6", "none", "q.none", "d.py")]
+    nodes = spark.createDataFrame(rows, "repo_id string, node_id string, label string, qualified_name string, file_path string")
+    got = {r.file_path: (r.node_id, r.score) for r in rk.keyword_candidates(nodes, "parsing of", ["b.py"], ["zed"]).collect()}
+    py, zed = math.log(7 / 6 + 1), math.log(7 / 2 + 1)
+    want = {"a.py": ("n1", py), "b.py": ("n3", 2.0 + py), "c.py": ("n4", 1.5 + zed + py), "d.py": ("n6", py)}
+    top = max(v for _, v in want.values())
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert all(abs(got[k][1] - v / top) < 1e-9 for k, (_, v) in want.items())
