@@ -48,5 +48,18 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """As materialise, but by a shuffle into n buckets of key, so that grouping by key needs no other one."""
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestone/{unique}"
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(unique)
+    out = spark.table(unique)
+    # Only the catalogue's entry goes: files of a table with a path stay, and out has been resolved to them.
+    out.schema
+    spark.sql(f"DROP TABLE {unique}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
