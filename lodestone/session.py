@@ -22,9 +22,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode, where that is unset, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is unset on {master}: intermediate tables need a folder that all executors share")
         where = getattr(spark, "_lodestone_dir", None)
         if not where:
             where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -45,7 +48,19 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Free the disk of steps that are done: folders of materialised tables whose readers have all been written out,
+    and shuffle files that no plan refers to any more, which else stay until the driver's next full collection."""
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._lodestone_path)
+        path.getFileSystem(hadoop).delete(path, True)
+    jvm.System.gc()
 
 
 def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
@@ -58,6 +73,7 @@ def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     # Only the catalogue's entry goes: files of a table with a path stay, and out has been resolved to them.
     out.schema
     spark.sql(f"DROP TABLE {unique}")
+    out._lodestone_path = path
     return out
 
 
