@@ -109,18 +109,22 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, starts: list[str], change:
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int) -> DataFrame:
-    """The least undirected path, (hops, nodes); no row if there is none within max_hops."""
+    """The least undirected path, (hops, nodes, edges) with the ids of both; no row if there is none within max_hops.
+
+    Of paths as short the least by nodes, then by edges.
+    """
     spark = edges.sparkSession
-    links = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = frontier = spark.createDataFrame([(source, [source])], "node_id string, nodes array<string>")
+    links = edges.select("edge_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    links = links.unionByName(links.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    seen = frontier = spark.createDataFrame([(source, [source], [])], "node_id string, nodes array<string>, edges array<string>")
     for _ in range(max_hops):
-        step = links.join(frontier.withColumnRenamed("node_id", "a"), "a").join(seen.select(F.col("node_id").alias("b")), "b", "left_anti").groupBy("b").agg(F.min(F.concat("nodes", F.array("b"))).alias("nodes")).withColumnRenamed("b", "node_id")
-        frontier = materialise(step, "path")
-        seen = seen.unionByName(frontier)
         if not frontier.where(F.col("node_id") == target).isEmpty():
             break
-    return seen.where(F.col("node_id") == target).select((F.size("nodes") - 1).alias("hops"), "nodes")
+        step = links.join(frontier.withColumnRenamed("node_id", "a"), "a").join(seen.select(F.col("node_id").alias("b")), "b", "left_anti")
+        best = step.groupBy("b").agg(F.min(F.struct(F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"))).alias("p"))
+        frontier = materialise(best.select(F.col("b").alias("node_id"), "p.nodes", "p.edges"), "path")
+        seen = seen.unionByName(frontier)
+    return seen.where(F.col("node_id") == target).select((F.size("nodes") - 1).alias("hops"), "nodes", "edges")
 
 
 def cross_language(edges: DataFrame, starts: DataFrame, max_hops: int, floor: float = 0.5) -> DataFrame:

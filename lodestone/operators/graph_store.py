@@ -7,12 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Which node types an edge type may join; other edge types are unchecked.
+_PLACES = {"repo", "repository", "package", "directory", "file", "module"}
+_SYMBOLS = {"class", "function", "method", "variable", "type"}
+_INTERFACES = {"interface", "idl_interface", "http_route", "websocket_event", "grpc_service", "protobuf_message"}
+_IMPORTING = {"file", "module", "package"}
+_CALLING = {"function", "method"}
+_CHANGES = {"patch", "diff_hunk"}
+
+#: Which node types an edge type may join, as a set of allowed types or, with "not", of forbidden ones; other edge types are unchecked.
 ENDPOINTS: dict[str, tuple[set[str], set[str]]] = {
-    "contains": ({"repository", "module"}, {"module", "class", "function"}),
-    "imports": ({"module", "class"}, {"module"}),
-    "calls": ({"function", "test", "class"}, {"function", "class"}),
-    "tests": ({"test"}, {"function"}),
+    "contains": (_PLACES | _SYMBOLS, {"not", "repo", "repository"}),
+    "imports": (_IMPORTING, _IMPORTING),
+    "calls": (_CALLING, _CALLING),
+    "tests": ({"test", "generated_test"}, _SYMBOLS | _INTERFACES),
+    "warned_by": (_SYMBOLS | _INTERFACES | {"file"}, {"sarif_alert", "sast_rule"}),
+    "changed_by": ({"not", *_CHANGES}, _CHANGES),
+    "triggered_incident": ({"monitor_alert", "run_event"}, {"incident"}),
 }
 
 
@@ -59,9 +69,14 @@ def endpoint_violations(edges: DataFrame, nodes: DataFrame, matrix: dict = ENDPO
     """Edges whose known endpoints have types the matrix forbids. Types travel with two narrow joins."""
     kind = nodes.select("node_id", "node_type")
     both = edges.where(F.col("edge_type").isin(*matrix)).join(kind.select(F.col("node_id").alias("source_id"), F.col("node_type").alias("source_type")), "source_id").join(kind.select(F.col("node_id").alias("target_id"), F.col("node_type").alias("target_type")), "target_id")
+
+    def fits(column: str, types: set[str]) -> Column:
+        hit = F.col(column).isin(*(types - {"not"}))
+        return ~hit if "not" in types else hit
+
     ok: Column = F.lit(False)
     for t, (src, dst) in matrix.items():
-        ok = ok | ((F.col("edge_type") == t) & F.col("source_type").isin(*src) & F.col("target_type").isin(*dst))
+        ok = ok | ((F.col("edge_type") == t) & fits("source_type", src) & fits("target_type", dst))
     return both.where(~ok)
 
 

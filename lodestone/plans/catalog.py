@@ -13,6 +13,7 @@ from lodestone.operators import ledger as lg
 from lodestone.operators import ranking as rk
 from lodestone.operators import sarif as sa
 from lodestone.plans.registry import query
+from lodestone.streaming import monitors as mo
 
 AS_OF = "timestamp'2024-02-01 00:00:00'"
 
@@ -29,8 +30,20 @@ query("flt09_symbol_lookup", "FLT-09", "nodes", "SELECT node_id FROM nodes WHERE
 query("agg01_counts", "AGG-01", "nodes edges", "SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges")(lambda n, e: n.agg(F.lit("nodes").alias("what"), F.count("*").alias("n")).unionByName(e.agg(F.lit("edges").alias("what"), F.count("*").alias("n"))))
 query("agg02_node_type_counts", "AGG-02", "nodes", "SELECT repo_id, node_type, count(*) AS n FROM nodes GROUP BY repo_id, node_type")(lambda n: gs.type_counts(n, "node_type"))
 query("agg02_edge_type_counts", "AGG-02", "edges", "SELECT repo_id, edge_type, count(*) AS n FROM edges GROUP BY repo_id, edge_type")(lambda e: gs.type_counts(e, "edge_type"))
-query("flt16_endpoint_violations", "FLT-16 FLT-17", "edges nodes", """SELECT e.edge_id, s.node_type AS source_type, t.node_type AS target_type FROM edges e JOIN nodes s ON e.source_id = s.node_id JOIN nodes t ON e.target_id = t.node_id
-WHERE e.edge_type IN ('contains','imports','calls','tests') AND NOT ((e.edge_type='contains' AND s.node_type IN ('repository','module') AND t.node_type IN ('module','class','function')) OR (e.edge_type='imports' AND s.node_type IN ('module','class') AND t.node_type='module') OR (e.edge_type='calls' AND s.node_type IN ('function','test') AND t.node_type = 'function') OR (e.edge_type='tests' AND s.node_type='test' AND t.node_type='function'))""")(lambda e, n: gs.endpoint_violations(e, n, gs.ENDPOINTS | {"calls": ({"function", "test"}, {"function"})}).select("edge_id", "source_type", "target_type"))
+query("flt16_endpoint_violations", "FLT-16", "edges nodes", """WITH k AS (SELECT node_id, CASE WHEN node_type = 'class' AND CAST(substr(node_id, 10) AS INT) % 3 = 0 THEN 'method' WHEN node_type = 'test' AND CAST(substr(node_id, 7) AS INT) % 2 = 0 THEN 'function' WHEN node_type = 'module' AND node_id = 'nation:7' THEN 'repo' ELSE node_type END AS t FROM nodes)
+SELECT e.edge_id, s.t AS source_type, g.t AS target_type FROM edges e JOIN k s ON e.source_id = s.node_id JOIN k g ON e.target_id = g.node_id
+WHERE (edge_type = 'contains' AND NOT (s.t IN ('repo','repository','package','directory','file','module','class','function','method','variable','type') AND g.t NOT IN ('repo','repository')))
+OR (edge_type = 'imports' AND NOT (s.t IN ('file','module','package') AND g.t IN ('file','module','package')))
+OR (edge_type = 'calls' AND NOT (s.t IN ('function','method') AND g.t IN ('function','method')))
+OR (edge_type = 'tests' AND NOT (s.t IN ('test','generated_test') AND g.t IN ('class','function','method','variable','type','interface','idl_interface','http_route','websocket_event','grpc_service','protobuf_message')))""")(lambda e, n: gs.endpoint_violations(e, _typed(n)).select("edge_id", "source_type", "target_type"))
+
+
+def _typed(n):
+    number = F.element_at(F.split("node_id", ":"), 2).cast("int")
+    kind = F.when((F.col("node_type") == "class") & (number % 3 == 0), "method").when((F.col("node_type") == "test") & (number % 2 == 0), "function").when((F.col("node_type") == "module") & (F.col("node_id") == "nation:7"), "repo").otherwise(F.col("node_type"))
+    return n.withColumn("node_type", kind)
+
+
 query("flt17_dangling_edges", "FLT-17", "edges nodes", "SELECT DISTINCT edge_id FROM edges WHERE target_id NOT IN (SELECT node_id FROM nodes WHERE node_type <> 'interface') OR source_id NOT IN (SELECT node_id FROM nodes WHERE node_type <> 'interface')")(lambda e, n: gs.dangling(e, n.where("node_type <> 'interface'")).select("edge_id"))
 query("d2_self_loops", "FLT-17", "edges", "SELECT edge_id FROM edges WHERE source_id = target_id")(lambda e: gs.self_loops(e).select("edge_id"))
 
@@ -53,7 +66,11 @@ query("idx16_reconcile_nodes", "IDX-16 AGG-37", "lineitem", f"WITH f AS ({FACTS}
 query("idx15_first_edges", "IDX-15", "edges", "SELECT edge_type, source_id, target_id, min(edge_id) AS edge_id FROM edges GROUP BY edge_type, source_id, target_id")(lambda e: gs.first_edges(e, "edge_id").select("edge_type", "source_id", "target_id", "edge_id"))
 query("idx16_reconcile_edges", "IDX-16", "edges", """WITH g AS (SELECT *, min(target_id) OVER p AS lo, max(target_id) OVER p AS hi, min(confidence) OVER p AS least, row_number() OVER (PARTITION BY edge_type, source_id ORDER BY confidence DESC, edge_id) AS k FROM edges WINDOW p AS (PARTITION BY edge_type, source_id))
 SELECT edge_id, CASE WHEN lo <> hi THEN 'conflicting' ELSE 'agreed' END AS status, CASE WHEN lo <> hi THEN least ELSE confidence END AS confidence FROM g WHERE lo <> hi OR k = 1""")(lambda e: gs.reconcile_edges(e).select("edge_id", "status", "confidence"))
-query("win06_module_chunks", "WIN-06 SRC-23 SRC-22", "nodes")(lambda n: gs.chunk_by_module(n, 200))
+WIN06 = """WITH RECURSIVE o AS (SELECT repo_id, coalesce(regexp_extract(file_path, '^(.*)/[^/]*$', 1), '') AS module, node_id, CAST(floor((row_number() OVER (PARTITION BY repo_id, coalesce(regexp_extract(file_path, '^(.*)/[^/]*$', 1), '') ORDER BY node_id) - 1) / 200) AS BIGINT) AS piece FROM nodes),
+s AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY module, piece) AS i FROM (SELECT repo_id, module, piece, count(*) AS n FROM o GROUP BY ALL)),
+p AS (SELECT repo_id, i, module, piece, CAST(0 AS BIGINT) AS chunk, n AS held FROM s WHERE i = 1 UNION ALL SELECT s.repo_id, s.i, s.module, s.piece, CASE WHEN held + n > 200 THEN chunk + 1 ELSE chunk END, CASE WHEN held + n > 200 THEN n ELSE held + n END FROM p JOIN s ON s.repo_id = p.repo_id AND s.i = p.i + 1)
+SELECT o.repo_id, chunk, node_id FROM o JOIN p ON o.repo_id = p.repo_id AND o.module = p.module AND o.piece = p.piece"""
+query("win06_module_chunks", "WIN-06 SRC-23", "nodes", WIN06)(lambda n: gs.chunk_by_module(n, 200))
 
 # --- joins --------------------------------------------------------------------------------------
 
@@ -150,8 +167,15 @@ query("grf06_impact_groups", "GRF-06 GRF-09 GRF-18", "edges nodes", "SELECT node
 query("grf07_change_types", "GRF-07 GRF-17", "pages", """WITH p AS (SELECT page_id, concat('src/', CASE WHEN page_id % 5 = 0 THEN 'auth/' ELSE 'core/' END, CASE WHEN page_id % 3 = 0 THEN 'x_pb2.py' WHEN page_id % 3 = 1 THEN 'api.proto' ELSE 'main.py' END) AS f, page_id % 7 = 0 AS api FROM pages), k AS (SELECT page_id, (CASE WHEN f LIKE '%_pb2%' THEN 1 ELSE 0 END) AS g, (CASE WHEN f LIKE '%.proto' THEN 1 ELSE 0 END) AS i, (CASE WHEN api THEN 1 ELSE 0 END) AS a, (CASE WHEN f LIKE '%/auth/%' THEN 1 ELSE 0 END) AS s FROM p)
 SELECT page_id, CASE WHEN g+i+a+s = 0 THEN 'internal_implementation' WHEN g+i+a+s > 1 THEN 'mixed' WHEN g = 1 THEN 'generated_file_change' WHEN i = 1 THEN 'idl_schema_contract_change' WHEN a = 1 THEN 'public_api_change' ELSE 'security_sensitive_change' END AS change FROM k""")(lambda p: p.select("page_id", gr.change_type(F.array(F.concat(F.lit("src/"), F.when(F.col("page_id") % 5 == 0, "auth/").otherwise("core/"), F.when(F.col("page_id") % 3 == 0, "x_pb2.py").when(F.col("page_id") % 3 == 1, "api.proto").otherwise("main.py"))), F.col("page_id") % 7 == 0, F.lit(False)).alias("change")))
 query("grf11_cross_language", "GRF-11", "edges", "WITH c AS (SELECT * FROM edges WHERE confidence >= 0.8 AND edge_type IN ('exposes','consumes')), u AS (SELECT source_id AS a, target_id AS b FROM c UNION ALL SELECT target_id, source_id FROM c), h1 AS (SELECT DISTINCT b FROM u WHERE a = 'nation:1'), h2 AS (SELECT DISTINCT b FROM u WHERE a IN (SELECT b FROM h1)) SELECT node_id, min(hop) AS hop FROM (SELECT 'nation:1' AS node_id, 0 AS hop UNION ALL SELECT b, 1 FROM h1 UNION ALL SELECT b, 2 FROM h2) GROUP BY node_id")(lambda e: gr.cross_language(e, e.sparkSession.createDataFrame([("nation:1",)], "node_id string"), 2, 0.8))
-query("grf12_shortest_path", "GRF-12", "edges")(lambda e: gr.shortest_path(e, "customer:1", "supplier:1", 6).withColumn("nodes", F.array_join("nodes", ",")))
-query("grf14_expand_files", "GRF-14", "nodes edges")(lambda n, e: gr.expand_files(n, e, e.sparkSession.createDataFrame([("geo", "src/geo/n1.py", 0.9), ("crm", "src/crm/c3.py", 0.5)], "repo_id string, file_path string, score double")))
+query("grf12_shortest_path", "GRF-12", "edges", """WITH RECURSIVE l AS (SELECT edge_id, source_id AS a, target_id AS b FROM edges UNION ALL SELECT edge_id, target_id, source_id FROM edges),
+t(node, nodes, ids, hop) USING KEY (node) AS (SELECT 'customer:1', ['customer:1'], CAST([] AS VARCHAR[]), 0 UNION SELECT b, x.n, x.e, hop FROM (SELECT b, min({'n': list_append(nodes, b), 'e': list_append(ids, edge_id)}) AS x, min(hop) + 1 AS hop FROM t JOIN l ON l.a = t.node WHERE b NOT IN (SELECT node FROM recurring.t) AND hop < 6 AND NOT EXISTS (SELECT 1 FROM recurring.t WHERE node = 'supplier:1') GROUP BY b))
+SELECT len(nodes) - 1 AS hops, array_to_string(nodes, ',') AS nodes, array_to_string(ids, ',') AS edges FROM t WHERE node = 'supplier:1'""")(lambda e: gr.shortest_path(e, "customer:1", "supplier:1", 6).withColumn("nodes", F.array_join("nodes", ",")).withColumn("edges", F.array_join("edges", ",")))
+#: Two hops from the files of c (repo_id, file_path, score), as ex (repo_id, file_path, hop, score).
+EXPAND = """pl AS (SELECT node_id, repo_id, file_path FROM nodes WHERE file_path IS NOT NULL), lk AS (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges),
+f0 AS (SELECT node_id, score AS base FROM pl JOIN c USING (repo_id, file_path)), n1 AS (SELECT b, p.repo_id, p.file_path, max(base) AS base FROM lk JOIN f0 ON lk.a = f0.node_id JOIN pl p ON p.node_id = lk.b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.repo_id = p.repo_id AND c.file_path = p.file_path) GROUP BY ALL),
+e1 AS (SELECT repo_id, file_path, 1 AS hop, least(max(base) * 0.6::DOUBLE, 1.0) AS score FROM n1 GROUP BY ALL), n2 AS (SELECT lk.b, p.repo_id, p.file_path, max(base) AS base FROM lk JOIN n1 ON lk.a = n1.b JOIN pl p ON p.node_id = lk.b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.repo_id = p.repo_id AND c.file_path = p.file_path) AND NOT EXISTS (SELECT 1 FROM e1 WHERE e1.repo_id = p.repo_id AND e1.file_path = p.file_path) GROUP BY ALL),
+e2 AS (SELECT repo_id, file_path, 2 AS hop, least(max(base) * pow(0.6::DOUBLE, 2), 1.0) AS score FROM n2 GROUP BY ALL), ex AS (SELECT * FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) ORDER BY hop, score DESC, repo_id, file_path LIMIT 20)"""
+query("grf14_expand_files", "GRF-14", "nodes edges", f"WITH c AS (SELECT * FROM (VALUES ('geo', 'src/geo/n1.py', 0.9::DOUBLE), ('crm', 'src/crm/c3.py', 0.5::DOUBLE)) t(repo_id, file_path, score)), {EXPAND} SELECT repo_id, file_path, hop, round(score, 9) AS score FROM ex")(lambda n, e: gr.expand_files(n, e, e.sparkSession.createDataFrame([("geo", "src/geo/n1.py", 0.9), ("crm", "src/crm/c3.py", 0.5)], "repo_id string, file_path string, score double")).withColumn("score", F.round("score", 9)))
 
 # --- ranking ------------------------------------------------------------------------------------
 
@@ -159,7 +183,20 @@ _ISSUE = "the thing is ending and thion the whating of there"
 _TOK = "list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'), lambda t: regexp_replace(lower(t), 'ing$', ''))"
 query("agg04_term_frequency", "AGG-04 RNK-04", "documents", f"WITH t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents WHERE lang = 'en' AND doc_id % 3 = 0) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")(lambda d: d.where("lang = 'en' and doc_id % 3 = 0").select("doc_id", F.explode(rk.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")))
 query("rnk03_keyword_retrieval", "RNK-03", "documents", f"WITH q AS (SELECT DISTINCT unnest({_TOK.replace('text', chr(39) + _ISSUE + chr(39))}) AS term), t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), h AS (SELECT doc_id, t.term, count(*) AS tf FROM t JOIN q ON t.term = q.term WHERE q.term NOT IN ('the','and','or','to','in','a','of','when','is','it','on') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id AS id, round(sum(tf * ln(CAST((SELECT count(*) FROM documents) + 1 AS DOUBLE) / (df + 1) + 1)), 6) AS score FROM h JOIN f USING (term) GROUP BY doc_id")(lambda d: rk.keyword_scores(d.select(F.col("doc_id").alias("id"), "text"), F.lit(_ISSUE)).withColumn("score", F.round("score", 6)))
-query("top02_keyword_candidates", "RNK-03 TOP-02", "nodes")(lambda n: rk.keyword_candidates(n, _ISSUE + " geo", ["src/geo/n1.py"], ["geo.FRANCE"]).withColumn("score", F.round("score", 6)))
+
+
+def keyword_sql(text: str, files: list[str], symbols: list[str]) -> str:
+    """CTEs that end in kw (repo_id, file_path, node_id, score): the keyword candidates of nodes."""
+    asked = " ".join([*files, *symbols, text]).replace("'", "''")
+    bonus = f"CASE WHEN file_path IN ({', '.join(repr(f) for f in files)}) THEN 2.0 ELSE 0.0 END + CASE WHEN coalesce(nullif(qualified_name, ''), label) IN ({', '.join(repr(x) for x in symbols)}) THEN 1.5 ELSE 0.0 END"
+    return f"""kq AS (SELECT DISTINCT unnest({_TOK.replace('text', chr(39) + asked + chr(39))}) AS term), kc AS (SELECT node_id, concat_ws(' ', coalesce(label, ''), coalesce(qualified_name, ''), coalesce(file_path, '')) AS text FROM nodes), kt AS (SELECT node_id, unnest({_TOK}) AS term FROM kc),
+kh AS (SELECT node_id, kt.term, count(*) AS tf FROM kt JOIN kq ON kt.term = kq.term WHERE kq.term NOT IN ('the','and','or','to','in','a','of','when','is','it','on') GROUP BY ALL), kf AS (SELECT term, count(*) AS df FROM kh GROUP BY term),
+ks AS (SELECT node_id, sum(tf * ln(CAST((SELECT count(*) FROM nodes) + 1 AS DOUBLE) / (df + 1) + 1)) AS s FROM kh JOIN kf USING (term) GROUP BY node_id),
+kb AS (SELECT repo_id, file_path, n.node_id, CAST(coalesce(s, 0) + {bonus} AS DOUBLE) AS score FROM nodes n LEFT JOIN ks ON n.node_id = ks.node_id WHERE file_path <> ''), kr AS (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY round(score, 9) DESC, node_id) AS k FROM kb WHERE score > 0),
+kw AS (SELECT repo_id, file_path, node_id, score / max(score) OVER () AS score FROM kr WHERE k = 1)"""
+
+
+query("top02_keyword_candidates", "RNK-03 TOP-02", "nodes", f"WITH {keyword_sql(_ISSUE + ' geo', ['src/geo/n1.py'], ['geo.FRANCE'])} SELECT repo_id, file_path, node_id, round(score, 6) AS score FROM kw")(lambda n: rk.keyword_candidates(n, _ISSUE + " geo", ["src/geo/n1.py"], ["geo.FRANCE"]).withColumn("score", F.round("score", 6)))
 query("agg07_merge_signals", "AGG-07 AGG-08 TOP-01", "signals", """WITH w AS (SELECT *, CASE signal_type WHEN 'keyword' THEN 0.25 WHEN 'sarif' THEN 0.2 WHEN 'blame' THEN 0.15 WHEN 'graph_neighbour' THEN 0.1 END::DOUBLE AS w FROM signals), t AS (SELECT repo_id, file_path, signal_type, sum(raw_score * w) AS s, any_value(w) AS w, bool_or(raw_score > 0.3) AS strong, bool_or(is_generated) AS g FROM w GROUP BY ALL), x AS (SELECT repo_id, file_path, bool_or(g) AS is_generated, count(*) AS types, least(sum(s) / sum(w), 1.0) AS score, count(*) FILTER (strong)::DOUBLE / count(*) AS agreement FROM t GROUP BY repo_id, file_path)
 SELECT repo_id, file_path, is_generated, types, round(score, 6) AS score, round(agreement, 6) AS agreement, CASE WHEN agreement >= 0.6 THEN 'analyser' ELSE 'heuristic' END AS confidence FROM x WHERE score >= 0.05""")(lambda s: rk.merge_signals(s).withColumn("score", F.round("score", 6)).withColumn("agreement", F.round("agreement", 6)))
 query("agg06_sarif_prior", "AGG-06 RNK-05", "alerts_before", "WITH m AS (SELECT file_path, CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.5 ELSE 0.2 END::DOUBLE * CASE WHEN lower(message) LIKE '%issue  3%' THEN 1.0 WHEN lower(rule_id) LIKE '%rule.ao%' THEN 0.9 WHEN severity IN ('critical','high') THEN 0.3 ELSE 0.0 END::DOUBLE AS s FROM alerts_before WHERE NOT suppressed), g AS (SELECT file_path, sum(s) AS s FROM m WHERE s > 0 GROUP BY file_path) SELECT file_path, round(s / (SELECT max(s) FROM g), 6) AS score FROM g")(lambda a: rk.sarif_prior(a, ["rule.AO"], ["Issue  3"], False, True).withColumn("score", F.round("score", 6)))
@@ -236,4 +273,5 @@ query("fun20_snippets", "FUN-20", "documents", "SELECT doc_id, md5(array_to_stri
 query("set06_union_all", "SET-06", "nodes", "SELECT node_id, count(*) AS n FROM (SELECT node_id FROM nodes WHERE file_path = 'src/crm/c3.py' UNION ALL SELECT node_id FROM nodes WHERE label = 'Customer#000000003' OR file_path = 'src/crm/c3.py') GROUP BY node_id")(lambda n: n.where("file_path = 'src/crm/c3.py'").select("node_id").unionByName(n.where("label = 'Customer#000000003' or file_path = 'src/crm/c3.py'").select("node_id")).groupBy("node_id").agg(F.count("*").alias("n")))
 query("set07_ordered_distinct", "SET-07 SET-08", "conversations", "WITH w AS (SELECT conv_id, turn, role, min(turn) OVER (PARTITION BY conv_id, role) AS f FROM conversations) SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM w WHERE turn = f GROUP BY conv_id")(lambda c: c.groupBy("conv_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])).alias("r")).select("conv_id", F.array_join("r", ",").alias("roles")))
 query("agg36_invalidation", "AGG-36 STR-06 AGG-25", "nodes", "SELECT repo_id, count(*) FILTER (snapshot_id <> 'snap:1' OR coalesce(contains(file_path, 'c3'), false)) AS stale, count(*) AS entries FROM nodes GROUP BY repo_id")(lambda n: n.groupBy("repo_id").agg(F.count_if((F.col("snapshot_id") != "snap:1") | F.coalesce(F.col("file_path").contains("c3"), F.lit(False))).alias("stale"), F.count("*").alias("entries")))
-query("str01_debounced_batches", "STR-01", "events")(lambda e: e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("paths")).select("user_id", F.col("w.start").alias("first_ts"), "n", "paths"))
+query("str01_debounced_batches", "STR-01", "events", """WITH g AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
+SELECT user_id AS repo_id, min(ts) AS first_ts, max(ts) + INTERVAL 6 HOUR AS flush_ts, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths, count(*) AS events FROM s GROUP BY user_id, k""")(lambda e: mo.debounce(e.select(F.col("user_id").alias("repo_id"), F.col("event_type").alias("path"), "ts"), "6 hours").withColumn("paths", F.array_join("paths", ",")))

@@ -13,6 +13,8 @@ from lodestone.operators import repair as rp
 from lodestone.operators import review as rv
 from lodestone.operators import sarif as sa
 from lodestone.operators import stores as st
+from lodestone.operators.ledger import retained
+from lodestone.plans.catalog import EXPAND, keyword_sql
 from lodestone.plans.registry import query
 
 AS_OF = "timestamp'2024-01-20 00:00:00'"
@@ -160,3 +162,123 @@ for _name, _row, _by in (("top12_fine_hints", "TOP-12 RNK-20", True), ("top11_co
     query(_name, _row, "memories", f"WITH {_HINT} SELECT issue_id, trajectory_id, round(sim, 6) AS similarity, reason, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY issue_id, reason IS NULL ORDER BY {_order}, trajectory_id) <= 5 THEN row_number() OVER (PARTITION BY issue_id, reason IS NULL ORDER BY {_order}, trajectory_id) END AS place FROM q")(lambda m, by=_by: _hint(m, by))
 query("rnk21_utility", "RNK-21", "memories", "SELECT trajectory_id, round(greatest(0, least(1, CASE utility WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.1 ELSE 0.3 END::DOUBLE + CASE WHEN score % 3 = 0 THEN 0.2 ELSE 0 END::DOUBLE - CASE WHEN score % 4 = 0 THEN 0.2 ELSE 0 END::DOUBLE)), 6) AS score FROM memories")(lambda m: m.select("trajectory_id", F.round(rk.utility_score(F.col("utility"), F.when(F.col("score") % 3 == 0, "resolved").otherwise("open"), F.col("score") % 4 == 0), 6).alias("score")))
 query("rnk22_relabelled", "RNK-22", "memories", "SELECT concat('relabelled:', substr(md5(concat(trajectory_id, '|', utility)), 1, 8)) AS trajectory_id, trajectory_id AS source_id, CASE WHEN snippet = 'full_trace' THEN 'resolved' ELSE snippet END AS outcome, 'medium' AS utility, 'unreviewed' AS review_state, utility AS goal FROM memories")(lambda m: me.relabelled(m.select("trajectory_id", F.when(F.col("snippet") == "full_trace", "no_fix_found").otherwise(F.col("snippet")).alias("outcome"), "utility"), F.col("utility")))
+
+# --- reviews ------------------------------------------------------------------------------------
+
+_RUN = """e AS (SELECT concat('run:', l_orderkey % 400) AS run_id, CASE l_linenumber WHEN 1 THEN 'tool_call' WHEN 2 THEN 'gate_result' WHEN 3 THEN 'budget_event' WHEN 4 THEN 'final_verdict' WHEN 5 THEN 'budget_hard_stop' WHEN 6 THEN 'verification_event' ELSE CASE WHEN l_suppkey % 3 = 0 THEN 'policy_violation' ELSE 'readiness_failure' END END AS type, CASE WHEN l_returnflag = 'R' THEN concat('act', l_partkey % 9) END AS action, CASE WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN 'deny' WHEN l_returnflag = 'R' THEN 'approve' ELSE 'none' END AS policy_action, concat(CASE WHEN l_partkey % 31 = 0 THEN 'etc/' ELSE 'src/' END, l_partkey % 97, '.py') AS file, l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0)"""
+
+
+def _run_events(li):
+    n, r = F.col("l_linenumber"), F.col("l_returnflag")
+    kind = F.when(n == 1, "tool_call").when(n == 2, "gate_result").when(n == 3, "budget_event").when(n == 4, "final_verdict").when(n == 5, "budget_hard_stop").when(n == 6, "verification_event").when(F.col("l_suppkey") % 3 == 0, "policy_violation").otherwise("readiness_failure")
+    return li.where("l_orderkey % 3 = 0").select(
+        F.concat(F.lit("run:"), (F.col("l_orderkey") % 400).cast("string")).alias("run_id"),
+        kind.alias("type"),
+        F.when(r == "R", F.concat(F.lit("act"), (F.col("l_partkey") % 9).cast("string"))).alias("action"),
+        F.when((F.col("l_linestatus") == "O") & (r == "A"), "deny").when(r == "R", "approve").otherwise("none").alias("policy_action"),
+        F.concat(F.when(F.col("l_partkey") % 31 == 0, "etc/").otherwise("src/"), (F.col("l_partkey") % 97).cast("string"), F.lit(".py")).alias("file"),
+        "l_orderkey",
+    )
+
+
+def _audited(li):
+    runs = _run_events(li).groupBy("run_id").agg(F.collect_set("file").alias("changed"), F.collect_set(F.when(F.col("l_orderkey") % 5 > 0, F.col("type"))).alias("events"))
+    return rv.scope_audit(runs)
+
+
+_SCOPE = f"""WITH {_RUN}, g AS (SELECT run_id, list(DISTINCT file) FILTER (NOT file LIKE 'src/%') AS outs, list(DISTINCT type) FILTER (l_orderkey % 5 > 0) AS ev FROM e GROUP BY run_id),
+h AS (SELECT run_id, coalesce(array_to_string(list_sort(outs), ','), '') AS out_of_scope, CASE WHEN ev IS NULL THEN ['tool_call','gate_result','budget_event','final_verdict'] ELSE ev END AS seen FROM g),
+x AS (SELECT run_id, out_of_scope, array_to_string(list_filter(['budget_event','final_verdict','gate_result','tool_call'], lambda t: NOT list_contains(seen, t)), ',') AS missing, list_contains(seen, 'budget_hard_stop') AS stop FROM h),
+y AS (SELECT run_id, out_of_scope, missing, CASE WHEN out_of_scope <> '' THEN 'process-noncompliant' WHEN stop THEN 'budget-exhausted' WHEN missing <> '' THEN 'trace-incomplete' ELSE 'process-compliant' END AS verdict FROM x)"""
+query("flt13_scope_audit", "FLT-13 SET-02", "lineitem", f"{_SCOPE} SELECT * FROM y")(lambda li: _audited(li).select("run_id", _joined("out_of_scope"), _joined("missing"), "verdict"))
+query("fun33_operational_recommendation", "FUN-33", "lineitem", f"{_SCOPE} SELECT run_id, CASE verdict WHEN 'process-compliant' THEN 'merge-supporting' WHEN 'process-noncompliant' THEN 'block' ELSE 'review-required' END AS recommendation FROM y")(lambda li: _audited(li).select("run_id", rv.operational_recommendation(F.col("verdict")).alias("recommendation")))
+query("fun12_merge_recommendation", "FUN-12", "lineitem", f"{_SCOPE}, z AS (SELECT run_id, CASE verdict WHEN 'process-compliant' THEN 'merge-supporting' WHEN 'process-noncompliant' THEN 'block' ELSE 'review-required' END AS op, CASE CAST(substr(run_id, 5) AS INT) % 4 WHEN 0 THEN 'merge-supporting' WHEN 1 THEN 'block' WHEN 2 THEN 'unknown' ELSE 'review-required' END AS risk FROM y) SELECT run_id, CASE WHEN op = 'block' OR risk = 'block' THEN 'block' WHEN op = 'merge-supporting' AND risk = 'merge-supporting' THEN 'merge-supporting' WHEN risk = 'unknown' THEN 'unknown' ELSE 'review-required' END AS merge FROM z")(lambda li: _audited(li).select("run_id", rv.merge_of(F.element_at(F.array(*map(F.lit, ("merge-supporting", "block", "unknown", "review-required"))), (F.substring("run_id", 5, 9).cast("int") % 4 + 1)), rv.operational_recommendation(F.col("verdict"))).alias("merge")))
+query("agg40_operational_review", "AGG-40", "lineitem", f"""WITH {_RUN}, g AS (SELECT run_id, list(DISTINCT type) AS t, coalesce(array_to_string(list_sort(list(coalesce(action, type)) FILTER (policy_action = 'deny')), ','), '') AS denied, coalesce(array_to_string(list_sort(list(coalesce(action, type)) FILTER (policy_action = 'approve')), ','), '') AS approved FROM e GROUP BY run_id),
+c AS (SELECT *, list_has_all(t, ['tool_call','gate_result','budget_event','final_verdict']) AS complete FROM g)
+SELECT run_id, CASE WHEN NOT complete THEN 'trace-incomplete' WHEN list_contains(t, 'budget_hard_stop') THEN 'budget-exhausted' WHEN list_contains(t, 'policy_violation') THEN 'process-noncompliant' WHEN list_contains(t, 'readiness_failure') THEN 'needs-readiness-work' ELSE 'process-compliant' END AS verdict, CASE WHEN complete THEN 'complete' ELSE 'missing' END AS trace, CASE WHEN list_contains(t, 'budget_hard_stop') THEN 'hard-stop' ELSE 'within-budget' END AS budget, CASE WHEN list_contains(t, 'verification_event') THEN 'adequate' ELSE 'not_recorded' END AS verification, denied, approved FROM c""")(lambda li: rv.operational_review(_run_events(li)).withColumn("denied", F.array_join("denied", ",")).withColumn("approved", F.array_join("approved", ",")))
+query("flt21_dynamic_verdicts", "FLT-21", "orders", "SELECT o_orderkey AS clause_id, CASE WHEN o_orderstatus = 'P' OR o_orderkey % 9 = 0 THEN 'unknown' WHEN o_orderkey % 4 = 0 THEN 'violated' WHEN o_orderkey % 5 <> 0 THEN 'satisfied' ELSE 'unknown' END AS verdict, CASE WHEN o_orderstatus = 'P' OR o_orderkey % 9 = 0 THEN 'unknown' ELSE 'heuristic' END AS confidence FROM orders")(lambda o: o.select(F.col("o_orderkey").alias("clause_id"), rv.dynamic_verdict(F.when(F.col("o_orderstatus") == "P", "not_implemented").otherwise("done"), F.col("o_orderkey") % 9 > 0, (F.col("o_orderkey") % 4 == 0).cast("int"), (F.col("o_orderkey") % 5)).alias("v")).select("clause_id", "v.*"))
+query("flt22_operational_evidence", "FLT-22", "orders customer", "SELECT c_custkey AS clause_id, o_orderkey AS run_id, concat('graph://snapshot/', CASE WHEN o_orderkey % 3 = 0 OR o_orderkey IS NULL THEN 'unknown' ELSE concat('s', o_orderkey % 3) END) AS resource, o_orderkey IS NULL OR o_orderkey % 3 = 0 AS stale FROM customer LEFT JOIN orders ON o_custkey = c_custkey")(lambda o, c: rv.operational_evidence(c.select(F.col("c_custkey").alias("clause_id")), o.select(F.col("o_custkey").alias("clause_id"), F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("s"), (F.col("o_orderkey") % 3).cast("string"))).alias("snapshot_id"))))
+query("fun16_static_verdicts", "FUN-16", "part", """WITH c AS (SELECT p_partkey AS clause_id, p_size % 10 = 0 AS policy, p_partkey % 3 = 0 AS gate_missing, p_size % 7 = 0 AS fired, CASE p_partkey % 7 WHEN 0 THEN 'ungrounded' WHEN 1 THEN 'service_spec' WHEN 2 THEN 'policy_principle' WHEN 3 THEN 'scope_definition' WHEN 4 THEN 'structured_record' ELSE 'symbol' END AS g, CASE p_size % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' ELSE 'not_applicable' END AS k FROM part), v AS (SELECT *, CASE WHEN policy THEN CASE WHEN gate_missing THEN 'violated' ELSE 'satisfied' END WHEN fired THEN 'violated' WHEN g = 'ungrounded' THEN 'unknown' WHEN g <> 'symbol' OR k <> 'failed' THEN 'satisfied' ELSE 'unknown' END AS verdict FROM c)
+SELECT clause_id, verdict, CASE WHEN policy THEN CASE WHEN gate_missing THEN 'gate_missing' ELSE 'gate_present' END WHEN fired THEN 'predicate_fired' WHEN g = 'ungrounded' THEN 'missing_grounding' WHEN g <> 'symbol' THEN g WHEN k <> 'failed' THEN 'graph_path' ELSE 'not_compiled' END AS evidence, CASE WHEN policy OR fired THEN 'analyser' WHEN verdict = 'satisfied' THEN 'heuristic' ELSE 'unknown' END AS confidence FROM v""")(lambda p: p.select(F.col("p_partkey").alias("clause_id"), rv.static_verdict(F.col("p_size") % 10 == 0, F.col("p_partkey") % 3 == 0, F.col("p_size") % 7 == 0, F.element_at(F.array(*map(F.lit, ("ungrounded", "service_spec", "policy_principle", "scope_definition", "structured_record", "symbol", "symbol"))), (F.col("p_partkey") % 7 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("passed", "failed", "not_applicable"))), F.col("p_size") % 3 + 1)).alias("v")).select("clause_id", "v.*"))
+query("agg28_test_delta", "AGG-28", "lineitem", "WITH g AS (SELECT l_orderkey AS diff_id, list(DISTINCT l_suppkey) FILTER (l_linenumber % 2 = 0) AS bf, list(DISTINCT l_suppkey) FILTER (l_linenumber % 3 = 0) AS af, list(DISTINCT l_suppkey) AS bp FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1) SELECT diff_id, len(bp) AS tests_run, coalesce(array_to_string(list_sort(list_filter(af, lambda x: NOT list_contains(coalesce(bf, []), x))), ','), '') AS newly_failing, coalesce(array_to_string(list_sort(list_filter(bf, lambda x: NOT list_contains(coalesce(af, []), x))), ','), '') AS newly_passing FROM g")(lambda li: rv.tests_changed(li.where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("diff_id")).agg(F.collect_set(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey"))).alias("before_failed"), F.collect_set(F.when(F.col("l_linenumber") % 3 == 0, F.col("l_suppkey"))).alias("after_failed"), F.collect_set("l_suppkey").alias("before_passed"), F.collect_set(F.lit(None).cast("long")).alias("after_passed"))).select("diff_id", "tests_run", F.array_join(F.col("newly_failing").cast("array<string>"), ",").alias("newly_failing"), F.array_join(F.col("newly_passing").cast("array<string>"), ",").alias("newly_passing")))
+query("set03_dryrun_mismatches", "SET-03", "lineitem", "WITH p AS (SELECT DISTINCT l_orderkey AS diff_id, concat('f', l_partkey % 50) AS file FROM lineitem WHERE l_linenumber <= 3), a AS (SELECT DISTINCT l_orderkey AS diff_id, concat('f', l_partkey % 50) AS file FROM lineitem WHERE l_linenumber >= 2), x AS (SELECT a.*, 'extra_files_changed' AS mismatch, 'medium' AS severity FROM a WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.diff_id = a.diff_id AND p.file = a.file) AND diff_id IN (SELECT diff_id FROM p) UNION ALL SELECT p.*, 'fewer_files_changed', 'low' FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE p.diff_id = a.diff_id AND p.file = a.file)) SELECT diff_id, mismatch, severity, string_agg(file, ',' ORDER BY file) AS files FROM x GROUP BY ALL")(lambda li: rv.dryrun_mismatches(_files(li.where("l_linenumber <= 3")), _files(li.where("l_linenumber >= 2"))).withColumn("files", F.array_join("files", ",")))
+
+
+def _files(li):
+    return li.select(F.col("l_orderkey").alias("diff_id"), F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string")).alias("file")).distinct()
+
+
+query("jon19_sheet_changes", "JON-19", "part", "WITH s AS (SELECT p_partkey AS sheet_id, unnest(['p_brand', 'p_size', 'p_type']) AS field, unnest([p_brand, CAST(p_size AS VARCHAR), p_type]) AS before, unnest([CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END, CAST(p_size + p_partkey % 2 AS VARCHAR), p_type]) AS after FROM part) SELECT * FROM s WHERE before IS DISTINCT FROM after")(lambda p: rv.sheet_changes(p.withColumnRenamed("p_partkey", "sheet_id"), p.withColumn("p_size", F.col("p_size") + F.col("p_partkey") % 2).withColumn("p_brand", F.when(F.col("p_partkey") % 4 > 0, F.col("p_brand"))).withColumnRenamed("p_partkey", "sheet_id"), ["p_brand", "p_size", "p_type"]))
+query("jon15_manifest_regressions", "JON-15", "part", "WITH a AS (SELECT concat(CASE p_partkey % 6 WHEN 0 THEN 'Prompt/' WHEN 1 THEN 'AGENTS/' WHEN 2 THEN 'tool/' WHEN 3 THEN 'skill/' WHEN 4 THEN 'policy/' ELSE 'spec/' END, p_partkey) AS artefact_id, p_partkey, p_size FROM part) SELECT artefact_id, CASE p_partkey % 6 WHEN 0 THEN 'visible_behaviour' WHEN 1 THEN 'policy_relevant' WHEN 2 THEN 'tool_order' WHEN 3 THEN 'hidden_policy' WHEN 4 THEN 'policy_relevant' ELSE 'spec_evolution' END AS classification, p_partkey % 6 IN (1, 4) AS blocks FROM a WHERE p_partkey % 5 > 0 AND p_size % 3 > 0")(lambda p: rv.manifest_regressions(*_manifests(p)))
+
+
+def _manifests(p):
+    a = p.select(F.concat(F.element_at(F.array(*map(F.lit, ("Prompt/", "AGENTS/", "tool/", "skill/", "policy/", "spec/"))), (F.col("p_partkey") % 6 + 1).cast("int")), F.col("p_partkey").cast("string")).alias("artefact_id"), F.col("p_brand").alias("digest"), "p_size", "p_partkey")
+    return a.where("p_partkey % 5 > 0").select("artefact_id", "digest"), a.select("artefact_id", F.when(F.col("p_size") % 3 > 0, F.concat("digest", F.lit("x"))).otherwise(F.col("digest")).alias("digest"))
+
+
+_DIFF = "d AS (SELECT doc_id AS diff_id, CASE doc_id % 4 WHEN 0 THEN ['src/api/x.py','src/y.py'] WHEN 1 THEN ['openapi.yaml'] ELSE ['src/z.py'] END AS files, CASE WHEN doc_id % 3 = 0 THEN concat('def f(a): ', substr(text, 1, 30)) ELSE substr(text, 1, 30) END AS removed, CASE WHEN doc_id % 2 = 0 THEN concat('def f(a, b): ', substr(text, 1, 30)) WHEN doc_id % 5 = 0 THEN 'x is required' ELSE substr(text, 1, 30) END AS added FROM documents)"
+query("fun09_interface_compatibility", "FUN-09", "documents", f"WITH {_DIFF}, x AS (SELECT *, contains(removed, 'def ') AND contains(added, 'def ') AND removed <> added AS s, contains(added, 'required') AS r, doc_id_api AS n FROM (SELECT *, diff_id % 4 IN (0, 1) AS doc_id_api FROM d)) SELECT diff_id, CASE WHEN n THEN 'http-rest' ELSE 'unknown' END AS interface_type, concat_ws(',', CASE WHEN s THEN 'interface signature changed' END, CASE WHEN r THEN 'required parameter added' END) AS breaking, CASE WHEN n AND NOT s AND NOT r THEN 'interface file changed' ELSE '' END AS candidates FROM x")(lambda d: rv.interface_compatibility(_diffs(d)).select("diff_id", "interface_type", _joined("breaking"), _joined("candidates")))
+
+
+def _diffs(d):
+    k, t = F.col("doc_id"), F.substring("text", 1, 30)
+    strings = lambda *x: F.array(*map(F.lit, x))
+    return d.select(k.alias("diff_id"), F.when(k % 4 == 0, strings("src/api/x.py", "src/y.py")).when(k % 4 == 1, strings("openapi.yaml")).otherwise(strings("src/z.py")).alias("files"), F.when(k % 3 == 0, F.concat(F.lit("def f(a): "), t)).otherwise(t).alias("removed"), F.when(k % 2 == 0, F.concat(F.lit("def f(a, b): "), t)).when(k % 5 == 0, "x is required").otherwise(t).alias("added"))
+
+
+query("agg39_regression_verdicts", "AGG-39", "orders", "SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 4 = 0 THEN 'inconclusive' ELSE 'equal' END AS verdict, o_orderkey % 60 > 30 AS stale FROM orders")(lambda o: o.select(F.col("o_orderkey").alias("run_id"), rv.regression_verdict(F.when(F.col("o_orderkey") % 4 > 0, "b"), F.col("o_orderkey") % 60).alias("v")).select("run_id", "v.*"))
+query("fun25_permissions", "FUN-25 FLT-24", "orders nation", """WITH a AS (SELECT o_orderkey AS ask_id, concat('r', o_custkey % 40) AS repo_id, concat('w', o_orderkey % 30) AS workflow, CASE o_orderkey % 6 WHEN 0 THEN 'read' WHEN 1 THEN 'search' WHEN 2 THEN 'edit' WHEN 3 THEN 'execute' WHEN 4 THEN 'review' ELSE 'commit' END AS capability FROM orders),
+v AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'workflow' ELSE 'repo' END AS kind, concat(CASE WHEN n_nationkey % 2 = 0 THEN 'w' ELSE 'r' END, n_nationkey) AS name, CASE n_regionkey WHEN 0 THEN 'read_search' WHEN 1 THEN 'read_search_edit' WHEN 2 THEN 'read_search_execute' WHEN 3 THEN 'review' ELSE 'commit' END AS mode FROM nation),
+j AS (SELECT ask_id, capability, coalesce(w.mode, r.mode, 'read_only') AS mode FROM a LEFT JOIN v w ON w.kind = 'workflow' AND w.name = workflow LEFT JOIN v r ON r.kind = 'repo' AND r.name = repo_id)
+SELECT ask_id, mode, CASE mode WHEN 'read_only' THEN capability = 'read' WHEN 'read_search' THEN capability IN ('read','search') WHEN 'read_search_edit' THEN capability IN ('read','search','edit') WHEN 'read_search_execute' THEN capability IN ('read','search','execute') WHEN 'review' THEN capability IN ('read','search','review') ELSE true END AS allowed, mode <> 'read_only' AS widened FROM j""")(lambda o, n: rv.permissions(o.select(F.col("o_orderkey").alias("ask_id"), F.concat(F.lit("r"), (F.col("o_custkey") % 40).cast("string")).alias("repo_id"), F.concat(F.lit("w"), (F.col("o_orderkey") % 30).cast("string")).alias("workflow"), F.element_at(F.array(*map(F.lit, ("read", "search", "edit", "execute", "review", "commit"))), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("capability")), n.select(F.when(F.col("n_nationkey") % 2 == 0, "workflow").otherwise("repo").alias("kind"), F.concat(F.when(F.col("n_nationkey") % 2 == 0, "w").otherwise("r"), F.col("n_nationkey").cast("string")).alias("name"), F.element_at(F.array(*map(F.lit, ("read_search", "read_search_edit", "read_search_execute", "review", "commit"))), F.col("n_regionkey") + 1).alias("mode"))))
+_ADV = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rv.OUTCOMES.items())
+query("fun27_adversarial_checks", "FUN-27", "events", f"WITH f AS (SELECT concat('adv:', event_id) AS id, CASE event_id % 7 WHEN 0 THEN 'prompt_injection' WHEN 1 THEN 'document_injection' WHEN 2 THEN 'tool_boundary_misuse' WHEN 3 THEN 'out_of_scope_write' WHEN 4 THEN 'multistep_policy_bypass' WHEN 5 THEN 'reward_hackable_task' ELSE 'other' END AS t, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'blocked' ELSE 'typed_error' END AS x FROM events), g AS (SELECT *, coalesce(CASE t {_ADV} END, 'unknown') AS actual FROM f) SELECT concat('check:', id) AS check_id, actual, actual = coalesce(x, actual) AS passed FROM g")(lambda e: rv.adversarial_checks(e.select(F.concat(F.lit("adv:"), F.col("event_id").cast("string")).alias("fixture_id"), F.element_at(F.array(*map(F.lit, (*rv.OUTCOMES, "other"))), (F.col("event_id") % 7 + 1).cast("int")).alias("check_type"), F.when(F.col("event_id") % 5 == 1, "blocked").when(F.col("event_id") % 5 > 1, "typed_error").alias("expected"))))
+query("fun26_canaries", "FUN-26", "orders", "SELECT concat('canary:', o_orderkey) AS canary_id, o_orderpriority AS model_id, o_custkey AS probe_id, 'unknown' AS verdict FROM orders")(lambda o: rv.canaries(o.select(F.col("o_orderkey").alias("eval_run_id"), F.col("o_orderpriority").alias("model_id"), F.col("o_custkey").alias("probe_id"))))
+query("str14_monitor_hooks", "STR-14 STR-08 FUN-19", "orders", "WITH s AS (SELECT o_orderkey AS run_id, CAST(o_totalprice AS BIGINT) AS used, o_orderkey % 7 AS loops, o_orderkey % 3 AS snap FROM orders) SELECT run_id, 'token_budget_hard_stop' AS monitor, 'error' AS severity, 'budget_exhausted' AS status FROM s WHERE used >= 200000 UNION ALL SELECT run_id, 'doom_loop_candidate', 'error', 'failed' FROM s WHERE loops >= 5 UNION ALL SELECT run_id, 'stale_snapshot', 'warning', NULL FROM s WHERE snap <> 1")(lambda o: rv.monitor_events(o.select(F.col("o_orderkey").alias("run_id"), F.round("o_totalprice").cast("long").alias("tokens_used"), F.lit(200_000).alias("token_budget"), (F.col("o_orderkey") % 7).alias("loops"), F.lit(5).alias("max_loops"), (F.col("o_orderkey") % 3).alias("snapshot_id"), F.lit(1).alias("current_snapshot_id"))))
+query("agg27_delete_audit", "AGG-27", "events", f"SELECT event_type AS record_type, count(*) AS n FROM events WHERE (event_type = 'click' AND ts < {AS_OF.replace('timestamp', 'TIMESTAMP ')} - INTERVAL 5 DAY) OR (event_type = 'error' AND ts < {AS_OF.replace('timestamp', 'TIMESTAMP ')} - INTERVAL 10 DAY) GROUP BY 1")(lambda e: _deleted(e))
+
+
+def _deleted(e):
+    aged = retained(e, "event_type", "ts", F.expr(AS_OF), {"click": 5, "error": 10, "view": -1})
+    return aged.where("expired").groupBy(F.col("event_type").alias("record_type")).agg(F.count("*").alias("n"))
+
+
+# --- answers ------------------------------------------------------------------------------------
+
+_Q = """q AS (SELECT c_custkey AS question_id, CASE WHEN c_custkey % 3 = 0 THEN 'geo' ELSE 'crm' END AS repo_id, CASE c_custkey % 5 WHEN 0 THEN concat('Where is the file `c', c_custkey % 40, '.py`') WHEN 1 THEN concat('How does `', c_name, '` flow over http') WHEN 2 THEN 'How does it happen' WHEN 3 THEN concat('Which alert or warning hits `', lower(replace(c_name, '#', '')), '`') ELSE 'Where is `n2.py` and `geo/n3.py`' END AS text FROM customer),
+i AS (SELECT question_id, repo_id, CASE question_id % 5 WHEN 0 THEN 'file_location' WHEN 1 THEN 'behaviour_trace' WHEN 2 THEN 'behaviour_trace' WHEN 3 THEN 'static_analysis' ELSE 'file_location' END AS class, list_distinct(regexp_extract_all(text, '`([^`]+)`', 1)) AS tokens, regexp_extract_all(text, '`([^`]+)`', 1) AS raw, contains(lower(text), 'http') AS cross_language FROM q),
+t AS (SELECT question_id, repo_id, class, unnest(tokens) AS token FROM i),
+x1 AS (SELECT question_id, node_id, 'parser' AS confidence FROM t JOIN nodes n ON n.repo_id = t.repo_id AND n.file_path LIKE '%' || token WHERE class = 'file_location' AND string_split(n.file_path, '/')[-1] = string_split(token, '/')[-1] UNION SELECT question_id, node_id, 'parser' FROM t JOIN nodes n ON n.repo_id = t.repo_id AND (n.label = token OR n.qualified_name = token) WHERE class <> 'file_location'),
+x2 AS (SELECT DISTINCT question_id, node_id, 'heuristic' AS confidence FROM t JOIN nodes n ON n.repo_id = t.repo_id AND regexp_replace(lower(n.label), '[^a-z0-9]', '', 'g') = regexp_replace(lower(token), '[^a-z0-9]', '', 'g') WHERE class <> 'file_location' AND question_id NOT IN (SELECT question_id FROM x1)),
+f AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE confidence WHEN 'parser' THEN 0 ELSE 1 END, node_id) AS k FROM (SELECT * FROM x1 UNION ALL SELECT * FROM x2)),
+g AS (SELECT question_id, count(*) AS n, bool_or(confidence = 'parser') AS sure, string_agg(node_id, ',' ORDER BY node_id) AS nodes, min_by(node_id, k) AS first FROM f WHERE k <= 20 GROUP BY 1)"""
+
+
+def _questions(c):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    m = k % 5
+    text = F.when(m == 0, F.concat(F.lit("Where is the file `c"), (k % 40).cast("string"), F.lit(".py`"))).when(m == 1, F.concat(F.lit("How does `"), name, F.lit("` flow over http"))).when(m == 2, "How does it happen").when(m == 3, F.concat(F.lit("Which alert or warning hits `"), F.lower(F.replace(name, F.lit("#"), F.lit(""))), F.lit("`"))).otherwise("Where is `n2.py` and `geo/n3.py`")
+    return c.select(k.alias("question_id"), F.when(k % 3 == 0, "geo").otherwise("crm").alias("repo_id"), text.alias("text"))
+
+
+query("rnk17_answers", "RNK-17 RNK-16", "customer nodes", f"WITH {_Q}, a AS (SELECT i.question_id, class, coalesce(n, 0) AS n_evidence, coalesce(nodes, '') AS nodes, CASE WHEN n IS NULL OR (class = 'behaviour_trace' AND len(raw) = 0) THEN 'unknown' WHEN class = 'file_location' THEN CASE WHEN sure THEN 'parser' ELSE 'heuristic' END ELSE 'heuristic' END AS confidence FROM i LEFT JOIN g ON i.question_id = g.question_id) SELECT *, CASE WHEN confidence = 'unknown' THEN CASE class WHEN 'behaviour_trace' THEN 'name a start symbol' WHEN 'file_location' THEN 'name a file' ELSE 'name a symbol' END END AS action FROM a")(lambda c, n: an.answers(_questions(c), n).withColumn("nodes", F.array_join("nodes", ",")))
+query("grf15_behaviour_traces", "GRF-15", "customer nodes", f"WITH {_Q} SELECT i.question_id, CASE WHEN len(raw) > 0 THEN first END AS path, CASE WHEN len(raw) > 0 AND first IS NOT NULL THEN 'heuristic' ELSE 'unknown' END AS confidence, CASE WHEN len(raw) = 0 THEN 'NO_START_SYMBOL' WHEN first IS NULL THEN 'NO_START_NODE' END AS diagnostic FROM i LEFT JOIN g ON i.question_id = g.question_id WHERE class = 'behaviour_trace'")(lambda c, n: _traced(_questions(c), n))
+
+
+def _traced(q, n):
+    asked = an.intents(q)
+    return an.traces(asked, an.evidence(asked, n)).withColumn("path", F.array_join("path", ","))
+
+
+query("rnk18_contracts", "RNK-18", "orders", "SELECT concat('i', o_orderkey) AS interface_id, o_orderpriority AS plugin_id, op AS operation FROM (SELECT *, unnest([concat('GET /c/', o_custkey % 9), concat('Post /o/', o_orderkey % 9)]) AS op FROM orders) WHERE o_orderpriority = '2-HIGH' AND contains(lower(op), 'post /o/3')")(lambda o: an.contracts(o.select(F.concat(F.lit("i"), F.col("o_orderkey").cast("string")).alias("interface_id"), F.col("o_orderpriority").alias("plugin_id"), F.array(F.concat(F.lit("GET /c/"), (F.col("o_custkey") % 9).cast("string")), F.concat(F.lit("Post /o/"), (F.col("o_orderkey") % 9).cast("string"))).alias("operations")), "POST /o/3", "2-HIGH"))
+query("rnk11_uncertainty", "RNK-11", "orders", "WITH u AS (SELECT o_orderkey AS id, o_orderkey % 10 / 10.0 < 0.3 AS low, o_orderkey % 3 > 0 AS emb, o_orderkey % 4 = 0 AS stale, o_orderkey % 20 > 10 AS over, o_orderkey % 7 = 0 AS unres FROM orders) SELECT id, CASE WHEN low OR stale OR unres THEN 'heuristic' END AS cap, concat_ws(',', CASE WHEN low THEN 'low agreement' END, CASE WHEN NOT emb THEN 'no embedding' END, CASE WHEN stale THEN 'stale graph' END, CASE WHEN over THEN 'over budget' END, CASE WHEN unres THEN 'frames unresolved' END) AS notes FROM u")(lambda o: o.select(F.col("o_orderkey").alias("id"), an.uncertainty(F.col("o_orderkey") % 10 / 10, F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") % 20, F.col("o_orderkey") % 7 == 0).alias("u")).select("id", "u.cap", F.array_join("u.notes", ",").alias("notes")))
+_W = "CASE signal_type WHEN 'keyword' THEN 0.25 WHEN 'sarif' THEN 0.2 WHEN 'blame' THEN 0.15 WHEN 'graph_neighbour' THEN 0.1 END::DOUBLE"
+_MERGED = f"""w AS (SELECT *, {_W} AS w FROM signals), t AS (SELECT repo_id, file_path, signal_type, sum(raw_score * w) AS s, any_value(w) AS w, max(raw_score) AS best, bool_or(is_generated) AS g FROM w GROUP BY ALL),
+x AS (SELECT repo_id, file_path, bool_or(g) AS is_generated, count(*) AS types, round(least(sum(s) / sum(w), 1.0), 9) AS score, string_agg(concat(signal_type, '=', printf('%.3f', best)), '; ' ORDER BY w DESC, signal_type) AS chain FROM t GROUP BY repo_id, file_path), r AS (SELECT *, row_number() OVER (ORDER BY is_generated, types DESC, score DESC, repo_id, file_path) AS place FROM x WHERE score >= 0.05)"""
+query("rnk12_investigations", "RNK-12", "signals", f"WITH {_MERGED} SELECT repo_id, file_path, place, chain FROM r WHERE place <= 8")(lambda s: an.investigate(s))
+query("rnk10_context", "RNK-10", "signals nodes", f"WITH {_MERGED}, p AS (SELECT r.repo_id, r.file_path, r.place, n.node_id, row_number() OVER (PARTITION BY r.repo_id, r.file_path ORDER BY n.start_line, n.node_id) AS k FROM r JOIN nodes n ON r.repo_id = n.repo_id AND r.file_path = n.file_path WHERE place <= 15), c AS (SELECT repo_id, file_path, string_agg(node_id, ',' ORDER BY node_id) AS symbols FROM p WHERE k <= 5 GROUP BY ALL) SELECT r.repo_id, r.file_path, place, coalesce(symbols, '') AS symbols, place > 10 AS beyond FROM r LEFT JOIN c ON r.repo_id = c.repo_id AND r.file_path = c.file_path WHERE place <= 15")(lambda s, n: an.context(an.investigate(s, 15), n).withColumn("symbols", F.array_join("symbols", ",")))
+_SUSPECTS = ("customers of FRANCE and geo in building", ["src/geo/n1.py"], ["geo.FRANCE"])
+query("rnk09_localise", "RNK-09", "nodes edges", f"""WITH {keyword_sql(*_SUSPECTS)}, c AS (SELECT repo_id, file_path, score FROM kw), {EXPAND}, sg AS (SELECT repo_id, file_path, 'keyword' AS t, score AS raw, 0.25::DOUBLE AS w FROM kw UNION ALL SELECT repo_id, file_path, 'graph_neighbour', score, 0.1::DOUBLE FROM ex),
+x AS (SELECT repo_id, file_path, false AS is_generated, count(*) AS types, least(sum(raw * w) / sum(w), 1.0) AS score, count(*) FILTER (raw > 0.3)::DOUBLE / count(*) AS agreement FROM sg GROUP BY ALL)
+SELECT repo_id, file_path, is_generated, types, round(score, 6) AS score, round(agreement, 6) AS agreement, CASE WHEN agreement >= 0.6 THEN 'analyser' ELSE 'heuristic' END AS confidence FROM x WHERE score >= 0.05 ORDER BY types DESC, round(score, 9) DESC, repo_id, file_path LIMIT 8""")(lambda n, e: an.localise(n, e, *_SUSPECTS).withColumn("score", F.round("score", 6)).withColumn("agreement", F.round("agreement", 6)))
