@@ -66,22 +66,33 @@ def call_edges(facts: DataFrame) -> DataFrame:
     return calls.join(defs, ["repo_id", "path", "name"]).where("source <> target").select("repo_id", "path", "source", "target").distinct()
 
 
-def imports(facts: DataFrame, stdlib: list[str]) -> DataFrame:
-    """(repo_id, path, target, status): internal where the repository has the module, external for the standard library and absolute others, unresolved for relative ones."""
-    mods = facts.select("repo_id", F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/", "."), "^src\\.", "").alias("module")).distinct()
-    i = facts.where("kind = 'import'").select("repo_id", "path", "target", F.col("qualified").alias("own"))
+def imports(facts: DataFrame) -> DataFrame:
+    """(repo_id, path, target, status, target_path) of import statements by the files of the repository.
+
+    resolved_internal where a file of the module is there, as folder or file, at the root or under src; relative imports are
+    sought from the importing file's folder, a level up for each further dot, and are unresolved where nothing is found. Every other
+    absolute import, of the standard library or not, is an external_dependency. The names imported count for nothing.
+    target_path is the folder of an __init__.py, else the file.
+    """
+    i = facts.where("kind = 'import'").select("repo_id", "path", "target").distinct()
     dots = F.length(F.regexp_extract("target", r"^(\.*)", 1))
-    rest = F.regexp_replace("target", r"^\.+", "")
-    package = F.when(F.col("path").endswith("__init__.py"), F.split("own", r"\.")).otherwise(F.slice(F.split("own", r"\."), F.lit(1), F.greatest(F.size(F.split("own", r"\.")) - 1, F.lit(0))))
-    base = F.array_join(F.slice(package, F.lit(1), F.greatest(F.size(package) - dots + 1, F.lit(0))), ".")
-    name = F.split_part(rest, F.lit(":"), F.lit(1))
-    item = F.split_part(rest, F.lit(":"), F.lit(2))
-    full = F.when(dots > 0, F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(name, F.lit("")))).otherwise(name)
-    j = i.withColumn("dots", dots).withColumn("m1", full).withColumn("m2", F.concat_ws(".", F.nullif(full, F.lit("")), F.nullif(item, F.lit(""))))
-    hit = j.join(mods.select("repo_id", F.col("module").alias("m1"), F.lit(1).alias("h1")), ["repo_id", "m1"], "left").join(mods.select("repo_id", F.col("module").alias("m2"), F.lit(1).alias("h2")), ["repo_id", "m2"], "left")
-    top = F.substring_index("m1", ".", 1)
-    status = F.when(F.col("h2").isNotNull() | F.col("h1").isNotNull(), "internal").when(F.col("dots") > 0, "unresolved").when(top.isin(*stdlib), "stdlib").otherwise("external")
-    return hit.select("repo_id", "path", "target", F.when(F.col("h2").isNotNull(), F.col("m2")).when(F.col("h1").isNotNull(), F.col("m1")).alias("module"), status.alias("status"))
+    module = F.replace(F.split_part(F.regexp_replace("target", r"^\.+", ""), F.lit(":"), F.lit(1)), F.lit("."), F.lit("/"))
+    i = i.withColumn("dots", dots).withColumn("m", module)
+    own = F.split(F.regexp_replace("path", r"\.py$", ""), "/")
+    base = F.array_join(F.slice(own, F.lit(1), F.greatest(F.size(own) - F.col("dots"), F.lit(0))), "/")
+    near = F.concat_ws("/", F.nullif(base, F.lit("")), F.nullif(F.col("m"), F.lit("")))
+    package, file = F.lit("/__init__.py"), F.lit(".py")
+    sought = F.when(F.col("dots") > 0, F.array(F.concat(near, file), F.concat(near, package))).otherwise(F.array(F.concat("m", package), F.concat("m", file), F.concat(F.lit("src/"), F.col("m"), package), F.concat(F.lit("src/"), F.col("m"), file)))
+    asked = i.select("repo_id", "path", "target", F.posexplode(sought).alias("at", "found"))
+    hit = asked.join(facts.select("repo_id", F.col("path").alias("found")).distinct(), ["repo_id", "found"]).groupBy("repo_id", "path", "target").agg(F.min_by("found", "at").alias("found"))
+    j = i.join(hit, ["repo_id", "path", "target"], "left")
+    status = F.when(F.col("found").isNotNull(), "resolved_internal").when((F.col("dots") > 0) | (F.col("m") == ""), "unresolved").otherwise("external_dependency")
+    return j.select("repo_id", "path", "target", status.alias("status"), F.regexp_replace("found", r"/__init__\.py$", "").alias("target_path"))
+
+
+def import_edges(resolved: DataFrame) -> DataFrame:
+    """(repo_id, source, target) between the paths of files and what they import inside the repository, each once."""
+    return resolved.where("status = 'resolved_internal'").select("repo_id", F.col("path").alias("source"), F.col("target_path").alias("target")).distinct()
 
 
 def _found(files: DataFrame, kind: str, pattern: str, group: int = 1) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import broadcast_up_to
+
 STOP = ("the", "and", "or", "to", "in", "a", "of", "when", "is", "it", "on")
 WEIGHTS: Mapping[str, float] = {"keyword": 0.25, "sarif": 0.2, "blame": 0.15, "graph_neighbour": 0.1, "sbfl": 0.2, "embedding": 0.1}
 
@@ -17,25 +20,32 @@ def tokens(text: Column) -> Column:
     return F.transform(raw, lambda t: F.regexp_replace(F.lower(t), "ing$", ""))
 
 
-def query_terms(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(tokens(text), lambda t: ~t.isin(*STOP))))
+def query_terms(text: str) -> list[str]:
+    """What tokens makes of a query, without stop words."""
+    return sorted({re.sub("ing$", "", t.lower()) for t in re.findall("[A-Za-z_][A-Za-z0-9_]+", text)} - set(STOP))
 
 
-def keyword_scores(corpus: DataFrame, query: Column) -> DataFrame:
+def keyword_scores(corpus: DataFrame, query: str) -> DataFrame:
     """(id, score): sum of tf * ln((N + 1) / (df + 1) + 1) over the query's terms; corpus: id, text.
 
-    Only query terms leave the explode, so the shuffle holds hits and not the corpus.
+    Terms are literals, so a text's tokens are made once; only those that are terms leave it, and the shuffle holds hits and not the corpus.
     """
     terms = query_terms(query)
-    hits = corpus.select("id", F.explode(F.filter(tokens(F.col("text")), lambda t: F.array_contains(terms, t))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    words = corpus.select("id", F.explode(tokens(F.col("text"))).alias("term"))
+    hits = words.where(F.col("term").isin(terms)).groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n = corpus.agg(F.count("*").alias("n"))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(n))
+    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(n))
     return scored.groupBy("id").agg(F.sum(F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1) + 1)).alias("score"))
 
 
 def max_normalised(df: DataFrame, score: str = "score", *by: str) -> DataFrame:
-    return df.withColumn(score, F.least(F.col(score) / F.max(score).over(Window.partitionBy(*by)), F.lit(1.0)))
+    """score over the greatest, of each group or of all; the greatest of all comes by an aggregate, as one window would be one task."""
+    if by:
+        top = F.max(score).over(Window.partitionBy(*by))
+        return df.withColumn(score, F.least(F.col(score) / top, F.lit(1.0)))
+    top = df.agg(F.max(score).alias("_top"))
+    return df.crossJoin(F.broadcast(top)).withColumn(score, F.least(F.col(score) / F.col("_top"), F.lit(1.0))).drop("_top")
 
 
 def best_per(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -53,11 +63,11 @@ def keyword_candidates(nodes: DataFrame, text: str, files: list[str], symbols: l
     of a file the best node stays (at a tie the least node_id), and scores are divided by the greatest.
     """
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("label", "qualified_name", "file_path", "properties") if c in nodes.columns]
-    found = keyword_scores(nodes.select(F.col("node_id").alias("id"), F.concat_ws(" ", *parts).alias("text")), F.lit(" ".join([*files, *symbols, text])))
+    found = keyword_scores(nodes.select(F.col("node_id").alias("id"), F.concat_ws(" ", *parts).alias("text")), " ".join([*files, *symbols, text]))
     name = F.when(F.col("qualified_name") != "", F.col("qualified_name")).otherwise(F.col("label"))
     bonus = F.when(F.col("file_path").isin(files), 2.0).otherwise(0.0) + F.when(name.isin(symbols), 1.5).otherwise(0.0)
     scored = nodes.where("file_path <> ''").join(found, nodes.node_id == found.id, "left").select("repo_id", "file_path", "node_id", (F.coalesce("score", F.lit(0.0)) + bonus).alias("score"))
-    return max_normalised(best_per(scored.where("score > 0"), ["repo_id", "file_path"], [F.desc("score"), F.asc("node_id")]))
+    return max_normalised(best_per(scored.where("score > 0"), ["repo_id", "file_path"], [F.desc(F.round("score", 9)), F.asc("node_id")]))
 
 
 def weight_of(kind: Column, weights: Mapping[str, float] = WEIGHTS) -> Column:
@@ -128,8 +138,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, similarity, rank) of the k nearest by cosine; the queries are the broadcast side, so keep them few."""
-    pairs = corpus.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("query"), F.col("vector")).alias("similarity"))
+    """(query_id, id, similarity, rank) of the k nearest by cosine. Queries are broadcast if their counted size allows; each
+    partition keeps its k best of a query before the shuffle."""
+    wide = queries.select(F.max(F.size("query"))).first()[0] or 1
+    pairs = corpus.crossJoin(broadcast_up_to(queries, 32 + 8 * wide)).select("query_id", "id", cosine(F.col("query"), F.col("vector")).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -140,7 +152,9 @@ def tiered(df: DataFrame, tiers: list[Column], by: list[str] | None = None) -> D
     for i, c in reversed(list(enumerate(tiers, 1))):
         t = F.when(c, F.lit(i)).otherwise(t)
     rows = df.withColumn("tier", t).where("tier is not null")
-    return rows.withColumn("_m", F.min("tier").over(Window.partitionBy(*(by or [])))).where("tier = _m").drop("_m")
+    if by:
+        return rows.withColumn("_m", F.min("tier").over(Window.partitionBy(*by))).where("tier = _m").drop("_m")
+    return rows.crossJoin(F.broadcast(rows.agg(F.min("tier").alias("_m")))).where("tier = _m").drop("_m")
 
 
 def word_overlap(words: Column, of: Column) -> Column:

@@ -182,7 +182,7 @@ query("grf14_expand_files", "GRF-14", "nodes edges", f"WITH c AS (SELECT * FROM
 _ISSUE = "the thing is ending and thion the whating of there"
 _TOK = "list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'), lambda t: regexp_replace(lower(t), 'ing$', ''))"
 query("agg04_term_frequency", "AGG-04 RNK-04", "documents", f"WITH t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents WHERE lang = 'en' AND doc_id % 3 = 0) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")(lambda d: d.where("lang = 'en' and doc_id % 3 = 0").select("doc_id", F.explode(rk.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")))
-query("rnk03_keyword_retrieval", "RNK-03", "documents", f"WITH q AS (SELECT DISTINCT unnest({_TOK.replace('text', chr(39) + _ISSUE + chr(39))}) AS term), t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), h AS (SELECT doc_id, t.term, count(*) AS tf FROM t JOIN q ON t.term = q.term WHERE q.term NOT IN ('the','and','or','to','in','a','of','when','is','it','on') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id AS id, round(sum(tf * ln(CAST((SELECT count(*) FROM documents) + 1 AS DOUBLE) / (df + 1) + 1)), 6) AS score FROM h JOIN f USING (term) GROUP BY doc_id")(lambda d: rk.keyword_scores(d.select(F.col("doc_id").alias("id"), "text"), F.lit(_ISSUE)).withColumn("score", F.round("score", 6)))
+query("rnk03_keyword_retrieval", "RNK-03", "documents", f"WITH q AS (SELECT DISTINCT unnest({_TOK.replace('text', chr(39) + _ISSUE + chr(39))}) AS term), t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), h AS (SELECT doc_id, t.term, count(*) AS tf FROM t JOIN q ON t.term = q.term WHERE q.term NOT IN ('the','and','or','to','in','a','of','when','is','it','on') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id AS id, round(sum(tf * ln(CAST((SELECT count(*) FROM documents) + 1 AS DOUBLE) / (df + 1) + 1)), 6) AS score FROM h JOIN f USING (term) GROUP BY doc_id")(lambda d: rk.keyword_scores(d.select(F.col("doc_id").alias("id"), "text"), _ISSUE).withColumn("score", F.round("score", 6)))
 
 
 def keyword_sql(text: str, files: list[str], symbols: list[str]) -> str:

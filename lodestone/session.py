@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -77,5 +77,10 @@ def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     return out
 
 
+def broadcast_up_to(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
+    """df with a broadcast hint if its counted size is within limit; else the join goes another way."""
+    return functions.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

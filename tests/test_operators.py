@@ -132,7 +132,7 @@ def test_python_index(spark):
     assert {(r.kind, r.qualified) for r in facts.where("path = 'src/pkg/a.py' and def_order > 0").collect()} == {("class", "pkg.a.A"), ("method", "pkg.a.A.m"), ("method", "pkg.a.A.n"), ("function", "pkg.a.helper")}
     assert facts.where("kind = 'error'").count() == 1
     assert {(r.source, r.target) for r in ix.call_edges(facts).collect()} == {("pkg.a.A.m", "pkg.a.A.n"), ("pkg.a.A.m", "pkg.a.helper"), ("pkg.a.helper", "pkg.a.A")}
-    assert {(r.target, r.status) for r in ix.imports(facts, ["os", "sys"]).collect()} == {("os", "stdlib"), (".:b", "internal"), ("pkg.c:thing", "internal"), ("zzz:q", "external")}
+    assert {(r.target, r.status, r.target_path) for r in ix.imports(facts).collect()} == {("os", "external_dependency", None), (".:b", "unresolved", None), ("pkg.c:thing", "resolved_internal", "src/pkg/c.py"), ("zzz:q", "external_dependency", None)}
 
 
 def test_regex_indexes(spark):
