@@ -242,3 +242,52 @@ def issue_files(text: Column) -> Column:
 
 def error_strings(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Za-z]*(?:Error|Exception))\b"), F.lit(1)))
+
+
+def plain_issue(text: Column) -> Column:
+    """An issue's words: links cut to their host, marks of Markdown dropped, white space single, lower case."""
+    hosts = F.regexp_replace(text, r"https?://([^/\s]+)\S*", "$1")
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(hosts, r"[*_#>`]", " "), r"\s+", " ")))
+
+
+def issue_symbols(text: Column) -> Column:
+    """Dotted names, names in capitals and names with underscores that an issue mentions, each once, in that order of kinds."""
+    kinds = (r"\b([A-Za-z_][A-Za-z0-9_]*\.[A-Za-z0-9_.]+)\b", r"\b([A-Z][A-Za-z0-9_]+)", r"\b([a-z]+_[a-z0-9_]+)\b")
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(k), F.lit(1)) for k in kinds)))
+
+
+def error_lines(text: Column) -> Column:
+    """Trimmed lines that tell of an error."""
+    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike("(?i)error|exception|panic|sigsegv|null|undefined"))
+
+
+def issue_sections(issues: DataFrame) -> DataFrame:
+    """(issue_id, section, body): what stands under the headings expected, actual, observed and steps, the last one of a name winning. issues: issue_id, text.
+
+    A heading is a line of # or h2. and the word; lines before the first are none.
+    """
+    lines = issues.select("issue_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    head = F.nullif(F.lower(F.regexp_extract(F.trim("line"), r"(?i)^(?:#+|h2\.)\s*(expected|actual|observed|steps)", 1)), F.lit(""))
+    w = Window.partitionBy("issue_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    own = lines.withColumn("head", head).withColumn("k", F.count("head").over(w)).withColumn("section", F.last("head", True).over(w)).where("k > 0")
+    body = own.groupBy("issue_id", "section", "k").agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("n", "line")))), lambda x: x["line"]), "\n"), r"^\s+|\s+$", "").alias("body")).where("body <> ''")
+    return body.groupBy("issue_id", "section").agg(F.max_by("body", "k").alias("body"))
+
+
+@F.pandas_udf("string")
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """JSON with sorted keys, without spaces, as UTF-8 and not escaped; null for what is no JSON. Key order has no built-in form."""
+    import json
+
+    def one(t):
+        try:
+            return json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except (TypeError, ValueError):
+            return None
+
+    return texts.map(one)
+
+
+def payload_hash(text: Column) -> Column:
+    """24 hex digits of the canonical JSON's SHA-256."""
+    return F.substring(F.sha2(canonical_json(text), 256), 1, 24)

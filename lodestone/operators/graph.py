@@ -175,9 +175,33 @@ def change_type(paths: Column, public_api: Column, security: Column) -> Column:
     return F.when(F.size(kinds) == 0, "internal_implementation").when(F.size(kinds) > 1, "mixed").otherwise(F.get(kinds, F.lit(0)))
 
 
-def reachability(alerts: DataFrame) -> DataFrame:
-    """Every supplied alert as a record; no reachability is computed."""
-    return alerts.select("alert_id", F.lit("unknown").alias("reachability"), F.lit("not computed").alias("note"))
+def reachability(alerts: DataFrame, changed: DataFrame) -> DataFrame:
+    """Impact records of every supplied alert (alert_id, rule_id, severity), at one hop from the first changed symbol (symbol_id, place); no path is sought."""
+    first = changed.agg(F.min_by("symbol_id", "place").alias("origin"))
+    return alerts.crossJoin(F.broadcast(first)).select(F.coalesce("alert_id", F.lit("unknown")).alias("node_id"), F.lit("sarif_reachability").alias("impact_group"), F.lit(1).alias("hop"), "origin", F.lit("analyser").alias("confidence"), F.coalesce("severity", F.lit("warning")).isin("error", "critical").alias("breaking"), F.concat(F.lit("rule:"), F.coalesce("rule_id", F.lit("unknown"))).alias("notes"))
+
+
+def policies(changes: DataFrame) -> DataFrame:
+    """changes with max_hops and edge_types (sorted, empty for all) of their change_type; unknown ones as 'unknown'."""
+    table = changes.sparkSession.createDataFrame([(k, h, sorted(t)) for k, (h, t) in POLICIES.items()], "change_type string, max_hops int, edge_types array<string>")
+    known = F.when(F.col("change_type").isin(*POLICIES), F.col("change_type")).otherwise("unknown")
+    return changes.withColumn("_p", known).join(F.broadcast(table.withColumnRenamed("change_type", "_p")), "_p").drop("_p")
+
+
+def blast_report(confirmed: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """(impact_group, nodes, nearest, farthest, analyser) of a blast radius, with ambiguous links as a group of their own."""
+    g = confirmed.groupBy("impact_group").agg(F.count("*").alias("nodes"), F.min("hop").alias("nearest"), F.max("hop").alias("farthest"), F.count_if(F.col("grade") == "analyser").alias("analyser"))
+    none = F.lit(None).cast("int")
+    a = ambiguous.agg(F.count_distinct("source_id", "target_id", "edge_type").alias("nodes"))
+    return g.unionByName(a.select(F.lit("ambiguous").alias("impact_group"), "nodes", none.alias("nearest"), none.alias("farthest"), F.lit(0).cast("long").alias("analyser")))
+
+
+def patch_context(symbols: DataFrame) -> DataFrame:
+    """(diff_id, changed, callers, tests, boundaries) of changed symbols (diff_id, symbol_id, is_boundary): ids made from the symbols, as nothing is traversed."""
+    ids = F.array_sort(F.collect_set("symbol_id"))
+    g = symbols.groupBy("diff_id").agg(ids.alias("changed"), F.array_sort(F.collect_set(F.when(F.col("is_boundary"), F.col("symbol_id")))).alias("boundaries"))
+    named = lambda p: F.transform("changed", lambda x: F.concat(F.lit(p), x))
+    return g.select("diff_id", "changed", named("caller:").alias("callers"), named("test:").alias("tests"), "boundaries")
 
 
 def intent_edges(clauses: DataFrame, grounded: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def sarif_prior(alerts: DataFrame, symbols: list[str], errors: list[str], has_cw
 def recency(ts: Column, as_of: Column) -> Column:
     """exp(-hours / 168), future times count as now, null as 0."""
     hours = F.greatest((F.unix_timestamp(as_of) - F.unix_timestamp(ts)) / 3600, F.lit(0.0))
-    return F.coalesce(F.exp(-hours / 168), F.lit(0.0))
+    return F.when(ts.isNotNull(), F.exp(-hours / 168)).otherwise(0.0)
 
 
 def blame_prior(entries: DataFrame, terms: list[str], as_of: Column) -> DataFrame:

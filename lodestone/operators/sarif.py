@@ -164,6 +164,12 @@ def bind(alerts: DataFrame, nodes: DataFrame, repo: str) -> DataFrame:
     return out.select("alert_id", "file_node", F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"), grade.alias("grade"))
 
 
+def file_nodes(alerts: DataFrame, nodes: DataFrame, repo: str) -> DataFrame:
+    """(alert_id, file_node): the least file or module node of each alert's file, null where there is none."""
+    own = nodes.where((F.col("repo_id") == repo) & F.col("node_type").isin("file", "module")).groupBy("file_path").agg(F.min("node_id").alias("file_node"))
+    return alerts.join(own, "file_path", "left").select("alert_id", "file_node")
+
+
 def graph_facts(bound: DataFrame) -> DataFrame:
     """warned_by edges: first symbol primary, others secondary, without symbols the file node."""
     symbols = bound.select("alert_id", F.posexplode("symbols").alias("pos", "node_id")).select("alert_id", "node_id", F.when(F.col("pos") == 0, "primary").otherwise("secondary").alias("role"))

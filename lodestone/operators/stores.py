@@ -97,3 +97,8 @@ def export_and_delete(records: DataFrame, subject: Column, sensitive: list[str])
     """(export, rest) of a privacy request: the subject's rows without sensitive columns, and all other rows."""
     hit = F.coalesce(subject, F.lit(False))
     return records.where(hit).drop(*sensitive), records.where(~hit)
+
+
+def pending_migrations(known: DataFrame, stored: DataFrame) -> DataFrame:
+    """Migrations (version, checksum) that are not stored yet, in the order in which they apply."""
+    return known.join(stored.select("version"), "version", "left_anti").orderBy("version")

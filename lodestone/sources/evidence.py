@@ -202,3 +202,21 @@ def parse_callgrind(texts: DataFrame) -> DataFrame:
     called = F.coalesce(F.col("before").startswith("calls="), F.lit(False))
     cost = F.regexp_extract("line", r"(\d+)\s*$", 1).cast("long")
     return own.groupBy("trace_id", "function").agg(F.count_if(called).alias("calls"), F.coalesce(F.sum(F.when(~called, cost)), F.lit(0)).alias("cost"))
+
+
+CTAGS = "_type string, name string, path string, kind string, line int, end int, scope string, language string"
+
+
+def read_ctags(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, qualified, kind, line, end) of tags as JSON lines; other rows, and qualified duplicates of a tag, are left out."""
+    raw = spark.read.schema(CTAGS).json(path).where("_type = 'tag'")
+    own = raw.where(~F.col("name").contains(".") | F.col("scope").isNull())
+    return own.select("path", "name", F.concat_ws(".", "scope", "name").alias("qualified"), "kind", "line", F.coalesce("end", "line").alias("end")).distinct()
+
+
+def sonar_to_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Flat alerts of SonarQube's issue search: (analyser_id, rule_id, file_path, start_line, message, level), levels as SARIF has them."""
+    schema = "issues array<struct<rule:string,component:string,line:int,message:string,severity:string>>"
+    r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("issues").alias("r"))
+    level = F.when(F.col("r.severity").isin("BLOCKER", "CRITICAL"), "error").when(F.col("r.severity") == "MAJOR", "warning").otherwise("note")
+    return r.select(F.lit("sonarqube").alias("analyser_id"), F.col("r.rule").alias("rule_id"), F.substring_index("r.component", ":", -1).alias("file_path"), F.col("r.line").alias("start_line"), F.col("r.message").alias("message"), level.alias("level"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lodestone.plans import catalog, catalog_reviews, catalog_sources, catalog_text  # noqa: F401
+from lodestone.plans import catalog, catalog_more, catalog_reviews, catalog_sources, catalog_text  # noqa: F401
 from lodestone.plans.registry import CATALOG
 from lodestone.plans.views import TABLES
 
