@@ -274,18 +274,22 @@ def issue_sections(issues: DataFrame) -> DataFrame:
     return body.groupBy("issue_id", "section").agg(F.max_by("body", "k").alias("body"))
 
 
-@F.pandas_udf("string")
-def canonical_json(texts: pd.Series) -> pd.Series:
+def canonical_json(text: Column) -> Column:
     """JSON with sorted keys, without spaces, as UTF-8 and not escaped; null for what is no JSON. Key order has no built-in form."""
-    import json
 
-    def one(t):
-        try:
-            return json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except (TypeError, ValueError):
-            return None
+    @F.pandas_udf("string")
+    def canonical(texts: pd.Series) -> pd.Series:
+        import json
 
-    return texts.map(one)
+        def one(t):
+            try:
+                return json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except (TypeError, ValueError):
+                return None
+
+        return texts.map(one)
+
+    return canonical(text)
 
 
 def payload_hash(text: Column) -> Column:

@@ -83,6 +83,60 @@ def _one(alerts: DataFrame) -> DataFrame:
     return identified(alerts).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def match_leftovers(old: list[tuple], new: list[tuple]) -> list[int]:
+    """For each old (line, message), in order, the place of the first unused new one within five lines or with another message, else -1.
+
+    New ones wait by message and by message and line, so each old one looks at few heads and not at all of them.
+    """
+    from collections import defaultdict, deque
+    from heapq import heappop, heappush
+
+    used = [False] * len(new)
+    by_message: dict = defaultdict(deque)
+    by_line: dict = defaultdict(deque)
+    for k, (line, message) in enumerate(new):
+        by_message[message].append(k)
+        by_line[message, line].append(k)
+
+    def head(queue) -> int | None:
+        while queue and used[queue[0]]:
+            queue.popleft()
+        return queue[0] if queue else None
+
+    heap: list[tuple[int, int]] = []
+    names = list(by_message)
+    for i, m in enumerate(names):
+        heappush(heap, (by_message[m][0], i))
+
+    def first_other(message) -> int | None:
+        kept, found = [], None
+        while heap:
+            k, i = heappop(heap)
+            now = head(by_message[names[i]])
+            if now is None:
+                continue
+            if now != k:
+                heappush(heap, (now, i))
+                continue
+            kept.append((k, i))
+            if names[i] != message:
+                found = k
+                break
+        for x in kept:
+            heappush(heap, x)
+        return found
+
+    out = []
+    for line, message in old:
+        near = [k for d in range(-5, 6) if (message, line + d) in by_line and (k := head(by_line[message, line + d])) is not None]
+        other = first_other(message)
+        pick = min([*near, *([] if other is None else [other])], default=-1)
+        if pick >= 0:
+            used[pick] = True
+        out.append(pick)
+    return out
+
+
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """change, alert_id, before_id, change_type of two runs.
 
@@ -93,7 +147,7 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     b, a = _one(before), _one(after)
     same = a.join(b.select("fingerprint"), "fingerprint", "left_semi").select(F.lit("unchanged").alias("change"), "alert_id", F.col("alert_id").alias("before_id"), F.lit(None).cast("string").alias("change_type"))
-    cols = ["rule_id", "file_path", "alert_id", "start_line", "message", "severity", "suppressed"]
+    cols = ["rule_id", "file_path", "alert_id", F.coalesce("start_line", F.lit(0)).alias("start_line"), "message", "severity", "suppressed"]
     old = b.join(a.select("fingerprint"), "fingerprint", "left_anti").select(*cols, F.lit(0).alias("side"))
     new = a.join(b.select("fingerprint"), "fingerprint", "left_anti").select(*cols, F.lit(1).alias("side"))
 
@@ -101,21 +155,19 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
         import pandas as pd
 
         pdf = pdf.sort_values("alert_id")
-        left = [r for r in pdf[pdf.side == 1].itertuples()]
+        olds = list(pdf[pdf.side == 0].itertuples())
+        news = list(pdf[pdf.side == 1].itertuples())
+        picks = match_leftovers([(o.start_line, o.message) for o in olds], [(c.start_line, c.message) for c in news])
         out = []
-        for o in pdf[pdf.side == 0].itertuples():
-            pick = None
-            for k, c in enumerate(left):
-                lo, lc = (0 if pd.isna(x) else x for x in (o.start_line, c.start_line))
-                if abs(lo - lc) <= 5 or o.message != c.message:
-                    pick = left.pop(k)
-                    break
-            if pick is None:
+        for o, k in zip(olds, picks):
+            if k < 0:
                 out.append(("disappeared", o.alert_id, o.alert_id, None))
                 continue
+            pick = news[k]
             kind = "severity_changed" if o.severity != pick.severity else "suppression_changed" if o.suppressed != pick.suppressed else "message_changed" if o.message != pick.message else "location_shifted"
             out.append(("changed", pick.alert_id, o.alert_id, kind))
-        out += [("appeared", c.alert_id, None, None) for c in left]
+        taken = set(picks)
+        out += [("appeared", c.alert_id, None, None) for k, c in enumerate(news) if k not in taken]
         return pd.DataFrame(out, columns=["change", "alert_id", "before_id", "change_type"])
 
     rest = old.unionByName(new).groupBy("rule_id", "file_path").applyInPandas(greedy, "change string, alert_id string, before_id string, change_type string")

@@ -69,7 +69,7 @@ def _verdicts(p, labels):
 
 query("fun18_ece_buckets", "FUN-18", "samples", "SELECT sample_id, CASE WHEN predicted_probability >= 0.9 THEN 'high_confidence' WHEN predicted_probability >= 0.7 THEN 'medium_confidence' ELSE 'low_confidence' END AS bucket FROM samples")(lambda s: s.select("sample_id", evl.ece_bucket(F.col("predicted_probability")).alias("bucket")))
 query("fun19_budget_status", "FUN-19", "run_events", "WITH r AS (SELECT run_id, seq, sum(token_count) OVER (PARTITION BY run_id ORDER BY seq) AS t FROM run_events) SELECT run_id, seq, CASE WHEN t >= 20000 THEN 'hard_stop' WHEN t >= 16000 THEN 'soft_warning' ELSE 'ok' END AS status FROM r")(lambda e: lg.running_budget(e, 20_000, None).select("run_id", "seq", "status"))
-query("fun22_canonical_json", "FUN-22 FUN-21", "events", "SELECT event_id, concat('{\"a\":[1,', user_id, '],\"z\":\"', event_type, '\"}') AS json, substr(sha256(concat('{\"a\":[1,', user_id, '],\"z\":\"', event_type, '\"}')), 1, 24) AS hash FROM events")(lambda e: e.select("event_id", F.expr("concat('{ \"z\": \"', event_type, '\", \"a\": [1, ', user_id, '] }')").alias("t")).select("event_id", tx.canonical_json("t").alias("json"), tx.payload_hash(F.col("t")).alias("hash")))
+query("fun22_canonical_json", "FUN-22 FUN-21", "events", "SELECT event_id, concat('{\"a\":[1,', user_id, '],\"z\":\"', event_type, '\"}') AS json, substr(sha256(concat('{\"a\":[1,', user_id, '],\"z\":\"', event_type, '\"}')), 1, 24) AS hash FROM events")(lambda e: e.select("event_id", F.expr("concat('{ \"z\": \"', event_type, '\", \"a\": [1, ', user_id, '] }')").alias("t")).select("event_id", tx.canonical_json(F.col("t")).alias("json"), tx.payload_hash(F.col("t")).alias("hash")))
 query("str05_replay", "STR-05", "events", """WITH c AS (SELECT event_type AS resource, max(ts) - INTERVAL 2 DAY AS last_ts FROM events GROUP BY 1), g AS (SELECT c.resource, count(*) FILTER (e.ts > last_ts) AS missed FROM c JOIN events e ON e.event_type = c.resource GROUP BY 1) SELECT 'me' AS client, resource, CASE WHEN missed = 0 THEN 'none' ELSE 'replay' END AS action, missed AS replayed FROM g""")(lambda e: lg.recover(e.groupBy(F.col("event_type").alias("resource")).agg((F.max("ts") - F.expr("INTERVAL 2 DAY")).alias("last_ts")).withColumn("client", F.lit("me")), e.select(F.col("event_type").alias("resource"), "ts"), F.expr("timestamp'2024-02-01 00:00:00'"), 1 << 30))
 query("ext15_pending_migrations", "EXT-15", "nation", "SELECT n_nationkey AS version, n_name AS checksum FROM nation WHERE n_nationkey % 3 = 1")(lambda n: st.pending_migrations(n.select(F.col("n_nationkey").alias("version"), F.col("n_name").alias("checksum")), n.where("n_nationkey % 3 <> 1").select(F.col("n_nationkey").alias("version"))))
 

@@ -18,18 +18,23 @@ def debounce(changes: DataFrame, gap: str = "2 seconds", lateness: str = "10 sec
     return g.select("repo_id", F.col("w.start").alias("first_ts"), F.col("w.end").alias("flush_ts"), "paths", "events")
 
 
-def risk_events(events: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
+def risk_events(events: DataFrame, thresholds: dict[str, int] | None = None, idle_ms: int = 86_400_000) -> DataFrame:
     """One event for each pattern and run, when its count first reaches its threshold.
 
     events: run_id, seq, kind (tool_call, gate, budget_hard_stop), name, args, denied, passed,
-    evidence_changed. State is counters by call, the current streak of gates and what was emitted.
+    evidence_changed. State is counters by hash of a call, kept only until that pattern was emitted, the length of the
+    current streak of each gate, and what was emitted. A run idle for idle_ms is forgotten.
     """
     limit = RISK_THRESHOLDS | (thresholds or {})
 
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         import json
+        from zlib import crc32
 
-        calls, denied, stops, gates, done = (json.loads(state.get[0]) if state.exists else [{}, 0, 0, [], []])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        calls, denied, stops, gates, done = (json.loads(state.get[0]) if state.exists else [{}, 0, 0, {}, []])
         out = []
 
         def emit(pattern: str, count: int) -> None:
@@ -39,24 +44,30 @@ def risk_events(events: DataFrame, thresholds: dict[str, int] | None = None) ->
 
         for r in pd.concat(list(parts)).sort_values("seq").itertuples():
             if r.kind == "tool_call":
-                k = f"{r.name}:{r.args}"
-                calls[k] = calls.get(k, 0) + 1
                 denied += bool(r.denied)
-                emit("repeated_identical_tool_calls", calls[k])
+                if "repeated_identical_tool_calls" not in done:
+                    b = f"{r.name}:{r.args}".encode()
+                    k = f"{crc32(b):08x}{crc32(b, 1):08x}"
+                    calls[k] = calls.get(k, 0) + 1
+                    emit("repeated_identical_tool_calls", calls[k])
                 emit("denied_operation_storm", denied)
             elif r.kind == "gate":
                 # Only the unbroken tail of failures without new evidence matters.
-                gates = [] if r.passed or r.evidence_changed else [*gates, r.name]
-                emit("repeated_failing_gate_no_change", sum(g == gates[-1] for g in gates) if gates else 0)
+                if r.passed or r.evidence_changed:
+                    gates = {}
+                else:
+                    gates[r.name] = gates.get(r.name, 0) + 1
+                emit("repeated_failing_gate_no_change", gates.get(r.name, 0))
             elif r.kind == "budget_hard_stop":
                 stops += 1
                 emit("budget_exhaustion_pattern", stops)
-        state.update((json.dumps([calls, denied, stops, gates, done]),))
+        state.update((json.dumps([{} if "repeated_identical_tool_calls" in done else calls, denied, stops, gates, done]),))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["run_id", "pattern", "risk_score"])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return events.groupBy("run_id").applyInPandasWithState(step, "run_id string, pattern string, risk_score double", "memory string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("run_id").applyInPandasWithState(step, "run_id string, pattern string, risk_score double", "memory string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def budget_status(events: DataFrame, tokens: int, soft: float = 0.8) -> DataFrame:

@@ -36,8 +36,24 @@ def test_delta_classes(spark):
     a = lambda r, line, m, s="medium": ("x", r, "f.py", line, m, s, False)
     before = spark.createDataFrame([a("same", 12, "m"), a("old", 16, "m"), a("far", 10, "m"), a("msg", 10, "one")], ALERT)
     after = spark.createDataFrame([a("same", 12, "m"), a("old", 20, "m"), a("far", 30, "m"), a("msg", 300, "two"), a("new", 17, "n", "high")], ALERT)
-    got = sorted((r.change, r.change_type) for r in sa.delta(before, after).collect())
-    assert got == sorted([("unchanged", None), ("changed", "location_shifted"), ("disappeared", None), ("appeared", None), ("changed", "message_changed"), ("appeared", None)], key=str) or got.count(("appeared", None)) == 2
+    got = sorted(((r.change, r.change_type) for r in sa.delta(before, after).collect()), key=str)
+    assert got == sorted([("unchanged", None), ("changed", "location_shifted"), ("disappeared", None), ("appeared", None), ("changed", "message_changed"), ("appeared", None)], key=str)
+
+
+def test_leftovers_are_matched_as_by_looking_at_all():
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        old = [(r.randint(0, 30), r.choice("abc")) for _ in range(r.randint(0, 12))]
+        new = [(r.randint(0, 30), r.choice("abc")) for _ in range(r.randint(0, 12))]
+        left, want = list(range(len(new))), []
+        for line, message in old:
+            k = next((k for k in left if abs(new[k][0] - line) <= 5 or new[k][1] != message), -1)
+            want.append(k)
+            if k >= 0:
+                left.remove(k)
+        assert sa.match_leftovers(old, new) == want
 
 
 def test_delta_of_one_empty_side(spark):
@@ -61,9 +77,10 @@ def test_blast_radius_orders(spark):
 
 
 def test_shortest_path(spark):
-    e = spark.createDataFrame([(a, b) for a, b in ("ab", "bc", "ad", "dc", "ce")], "source_id string, target_id string")
-    assert [(r.hops, r.nodes) for r in gr.shortest_path(e, "a", "e", 5).collect()] == [(3, ["a", "b", "c", "e"])]
+    e = spark.createDataFrame([(a + b, a, b) for a, b in ("ab", "bc", "ad", "dc", "ce")] + [("ab2", "b", "a")], "edge_id string, source_id string, target_id string")
+    assert [(r.hops, r.nodes, r.edges) for r in gr.shortest_path(e, "a", "e", 5).collect()] == [(3, ["a", "b", "c", "e"], ["ab", "bc", "ce"])]
     assert gr.shortest_path(e, "a", "e", 2).count() == 0
+    assert [(r.hops, r.edges) for r in gr.shortest_path(e, "a", "a", 2).collect()] == [(0, [])]
 
 
 def test_calibration_of_nothing(spark):
@@ -154,3 +171,53 @@ def test_keyword_candidates_name_files_and_symbols(spark):
     top = max(v for _, v in want.values())
     assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
     assert all(abs(got[k][1] - v / top) < 1e-9 for k, (_, v) in want.items())
+
+
+def test_topics_and_filters(spark):
+    from lodestone.operators import contracts as ct
+
+    rows = [("a/b", "a/b", True), ("a/b", "a/+", True), ("a/b/c", "a/+", False), ("a/b/c", "a/#", True), ("a", "a/#", True), ("ab", "a/#", False), ("a/b", "#", True), ("a.b", "a+b", False), ("axb", "a.b", False), ("/x", "+/x", True)]
+    d = spark.createDataFrame(rows, "t string, f string, want boolean")
+    assert d.where(ct.topic_matches(F.col("t"), F.col("f")) != F.col("want")).collect() == []
+
+
+def test_registry_refuses_and_reloads():
+    import pytest
+
+    from lodestone.operators import registry as rg
+
+    r = rg.backends()
+    with pytest.raises(ValueError):
+        r.register(r.entries["java"])
+    assert r.for_path("x/a.tsx") == ["typescript"] and r.for_path("a.rs") == []
+    assert r.reload([r.entries["java"]], {"java"}) == ([], ["cpp", "python", "typescript"]) and r.active() == []
+    with pytest.raises(ValueError):
+        rg.resource({}, "nowhere://x")
+
+
+def test_ruleset_ids():
+    import pytest
+
+    from lodestone.operators import repair as rp
+
+    assert rp.ruleset([]) == rp.ruleset(["default"]) and rp.ruleset(["a"])[0] != rp.ruleset(["b"])[0]
+    assert rp.ruleset(["f"], {"f": "x"})[0] == rp.ruleset(["x"])[0]
+    with pytest.raises(ValueError):
+        rp.ruleset(["p/python"])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from lodestone.session import shared_dir
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "local-cluster[2,1,512]"})()
+
+    with pytest.raises(ValueError):
+        shared_dir(Fake())
