@@ -96,6 +96,14 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not, from name; names are told apart as Spark does, without case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash_order(seed: int, *cols: Column) -> Column:
     """A reproducible pseudo-random order of rows."""
     return F.xxhash64(F.lit(seed), *cols)

@@ -8,11 +8,14 @@ reordered or that were cut by insertions. A document is contaminated by an item
 is COVERAGE at least. Items shorter than SEED are sought as one run of all their words.
 
 The benchmark's seeds are broadcast when they are small (counted first); otherwise document
-seeds are joined with them by a shuffle and only candidates are tiled.
-
-Defined results: null and empty texts and items match nothing; null doc_ids are reported with
-doc_id null by find, and dropped by filter_docs if contaminated; repeated rows are each
-reported; repeated item_ids each count. Extra columns are ignored by find, kept by filter_docs.
+seeds are joined with them by a shuffle. Either way only pairs that share seeds enough for
+COVERAGE are tiled, and both give the same rows.
+
+Defined results: null and empty texts and items match nothing, nor does an empty benchmark, and an
+empty table of documents gives no rows; texts are tiled whole, however long; equal longest matches
+are marked by least start in the item, then in the document; null doc_ids are reported with doc_id
+null by find, and dropped by filter_docs if contaminated; repeated rows are each reported; repeated
+item_ids each count. Extra columns, whatever their names, are ignored by find, kept by filter_docs.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_BYTES, WORD, WordHash, mix, ngrams, word_hashes
+from lodestone.llm.common import BROADCAST_BYTES, WORD, WordHash, fresh, mix, ngrams, word_hashes
 from lodestone.session import materialise, ship
 
 SEED = 5
@@ -75,43 +78,69 @@ def tiles(a: list, b: list, least: int = SEED) -> list[tuple[int, int, int]]:
     return out
 
 
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased words of a text: the one count that seeds, lengths and tiles go by."""
+    return WORD.findall(text.lower()) if text else []
+
+
+def item_seeds(words: list[str], seed: int, cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct seed hashes of an item and the number of its positions that have each."""
+    return np.unique(ngrams(word_hashes(words, cache), seed), return_counts=True)
+
+
+def least_hits(n: int | np.ndarray, seed: int, coverage: float):
+    """Seed positions of an item of n words that tiles of that coverage hold at least.
+
+    A tile of k >= s words holds k - s + 1 positions, and tiles of m words in all hold m / s at
+    least, so an item below this cannot be covered: leaving it out loses nothing.
+    """
+    return coverage * n / np.minimum(seed, n) - 1e-9
+
+
 class Index:
     """The benchmark: its vocabulary, and its seeds sorted by hash with their items."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int):
-        self.seed = seed
+    def __init__(self, items: list[tuple[int, str]], seed: int, coverage: float = COVERAGE):
+        self.seed, self.coverage = seed, coverage
         cache = WordHash()
-        self.items = [(k, w) for k, t in items if (w := WORD.findall((t or "").lower()))]
-        pairs = [(h, i) for i, (_, w) in enumerate(self.items) for h in set(ngrams(word_hashes(w, cache), seed).tolist())]
-        pairs.sort()
-        self.hash = np.array([h for h, _ in pairs], np.uint64)
-        self.item = np.array([i for _, i in pairs], np.int64)
+        self.items = [(k, w) for k, t in items if (w := words_of(t))]
+        own = [item_seeds(w, seed, cache) for _, w in self.items]
+        none = [np.zeros(0, np.uint64)]
+        hash_ = np.concatenate([h for h, _ in own] or none)
+        order = np.argsort(hash_, kind="stable")
+        self.hash = hash_[order]
+        self.item = np.repeat(np.arange(len(own)), [len(h) for h, _ in own])[order]
+        self.times = np.concatenate([c for _, c in own] or none)[order]
+        self.need = least_hits(np.array([len(w) for _, w in self.items], np.int64), seed, coverage) if own else np.zeros(0)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hash >> np.uint64(44)).astype(np.int64)] = True
         self.short = sorted({len(w) for _, w in self.items if len(w) < seed})
 
     def candidates(self, words: list[str], cache: WordHash) -> list[int]:
-        """Items that share a seed with words; a bitmap by leading bits spares most of the searches."""
+        """Items of which words hold seeds enough; a bitmap by leading bits spares most of the searches."""
         if not len(self.hash) or not words:
             return []
         h = word_hashes(words, cache)
-        found: set[int] = set()
+        at = []
         for n in [self.seed, *self.short]:
             r = _runs(n, h)
-            r = r[self.bits[(r >> np.uint64(44)).astype(np.int64)]]
+            r = np.unique(r[self.bits[(r >> np.uint64(44)).astype(np.int64)]])
             if len(r):
                 lo, hi = np.searchsorted(self.hash, r, "left"), np.searchsorted(self.hash, r, "right")
-                for k in np.flatnonzero(hi > lo).tolist():
-                    found.update(self.item[lo[k] : hi[k]].tolist())
-        return sorted(found)
+                at += [np.arange(lo[k], hi[k]) for k in np.flatnonzero(hi > lo).tolist()]
+        if not at:
+            return []
+        at = np.concatenate(at)
+        which, inv = np.unique(self.item[at], return_inverse=True)
+        return which[np.bincount(inv, self.times[at]) >= self.need[which]].tolist()
 
-    def match(self, words: list[str], cache: WordHash, coverage: float) -> list[tuple[int, float]]:
+    def match(self, words: list[str], cache: WordHash) -> list[tuple[int, float]]:
         """(item_id, coverage) of the items that contaminate these words."""
         out = []
         for i in self.candidates(words, cache):
             k, item = self.items[i]
             got = cover(item, words, self.seed)
-            if got >= coverage:
+            if got >= self.coverage:
                 out.append((k, got))
         return out
 
@@ -128,13 +157,13 @@ def cover(item: list[str], words: list[str], seed: int) -> float:
     return sum(k for _, _, k in tiles(item, near, min(seed, len(item)))) / len(item)
 
 
-def _find(index: Index, coverage: float):
+def _find(index: Index):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for b in batches:
             doc, item, got = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                for k, c in index.match(WORD.findall(t.as_py().lower()), cache, coverage):
+                for k, c in index.match(words_of(t.as_py()), cache):
                     doc.append(d)
                     item.append(k)
                     got.append(c)
@@ -144,20 +173,35 @@ def _find(index: Index, coverage: float):
     return fn
 
 
-def _seeds(lengths: list[int], whole: bool):
-    """(id, seed) of the n-grams of those lengths; whole: an item's only length is the greatest that fits it."""
+def _seeds_of_items(seed: int):
+    """(iid, n, seed, times) of items: words of the item, and its seeds with their numbers of positions."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHash()
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+                words = words_of(t.as_py())
+                if words:
+                    h, times = item_seeds(words, seed, cache)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), d, np.int64)), pa.array(np.full(len(h), len(words), np.int32)), pa.array(h.view(np.int64)), pa.array(times)], ["iid", "n", "seed", "times"])
+
+    return fn
+
+
+def _seeds_of_docs(lengths: list[int]):
+    """(rid, seed): the distinct n-grams of those lengths in each text."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for b in batches:
             row, out = [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                h = word_hashes(WORD.findall(t.as_py().lower()), cache)
-                own = np.unique(ngrams(h, lengths[-1]) if whole else np.concatenate([_runs(n, h) for n in lengths])).view(np.int64)
+                h = word_hashes(words_of(t.as_py()), cache)
+                own = np.unique(np.concatenate([_runs(n, h) for n in lengths])).view(np.int64)
                 row.append(np.full(len(own), d, np.int64))
                 out.append(own)
             if row:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(row)), pa.array(np.concatenate(out))], ["id", "seed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(row)), pa.array(np.concatenate(out))], ["rid", "seed"])
 
     return fn
 
@@ -167,25 +211,26 @@ def _benchmark(benchmark: DataFrame) -> DataFrame:
 
 
 def _small(items: DataFrame, limit: int) -> bool:
-    return (items.agg(F.sum(F.length("text") + 32)).first()[0] or 0) * 16 <= limit
+    return (items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0) * 16 <= limit
 
 
 def _joined(texts: DataFrame, items: DataFrame, seed: int, coverage: float) -> DataFrame:
-    """texts (rid, doc_id, text) against a benchmark of any size: seeds meet by a shuffle, then texts and items by id."""
+    """texts (rid, doc_id, text) against a benchmark of any size: seeds meet by a shuffle, then texts and items by id.
+
+    Only pairs with seeds enough, least_hits, carry their texts.
+    """
     items = materialise(items.withColumn("iid", F.monotonically_increasing_id()), "items")
-    count = F.size(F.regexp_extract_all(F.lower("text"), F.lit("(?U)\\w+"), F.lit(0)))
-    lengths = sorted({min(seed, r.n) for r in items.select(F.least(count, F.lit(seed)).alias("n")).distinct().collect() if r.n > 0} | {seed})
+    right = materialise(items.select("iid", "text").mapInArrow(_seeds_of_items(seed), "iid long, n int, seed long, times long"), "seeds")
     # Shorter lengths than seed are there for items of so few words; only lengths that occur are made.
-    left = texts.select("rid", "text").mapInArrow(_seeds(lengths, False), "id long, seed long").withColumnRenamed("id", "rid")
-    right = items.select("iid", "text").mapInArrow(_seeds(lengths, True), "id long, seed long").withColumnRenamed("id", "iid")
-    pairs = materialise(left.join(right, "seed").select("rid", "iid").distinct(), "pairs")
+    lengths = sorted({seed} | {r.n for r in right.where(F.col("n") < seed).select("n").distinct().collect()})
+    left = texts.select("rid", "text").mapInArrow(_seeds_of_docs(lengths), "rid long, seed long")
+    hits = left.join(right, "seed").groupBy("rid", "iid").agg(F.sum("times").alias("hits"), F.first("n").alias("n"))
+    n = F.col("n")
+    pairs = materialise(hits.where(F.col("hits") >= coverage * n / F.least(n, F.lit(seed)) - 1e-9).select("rid", "iid"), "pairs")
 
     @F.pandas_udf("double")
     def covered(item: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
-        for x, t in zip(item, text):
-            out.append(cover(WORD.findall(x.lower()), WORD.findall(t.lower()), seed))
-        return pd.Series(out, dtype=float)
+        return pd.Series([cover(words_of(x), words_of(t), seed) for x, t in zip(item, text)], dtype=float)
 
     both = pairs.join(texts, "rid").join(items.select("iid", "item_id", F.col("text").alias("item")), "iid")
     return both.select("rid", "doc_id", "item_id", covered("item", "text").alias("coverage")).where(F.col("coverage") >= coverage)
@@ -197,8 +242,8 @@ def find(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: floa
     items = _benchmark(benchmark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     if _small(items, limit):
-        index = Index([(r.item_id, r.text) for r in items.collect()], seed)
-        return texts.mapInArrow(_find(index, coverage), "doc_id long, item_id long, coverage double")
+        index = Index([(r.item_id, r.text) for r in items.collect()], seed, coverage)
+        return texts.mapInArrow(_find(index), "doc_id long, item_id long, coverage double")
     rows = materialise(texts.withColumn("rid", F.monotonically_increasing_id()), "texts")
     return _joined(rows, items, seed, coverage).select("doc_id", "item_id", "coverage")
 
@@ -208,16 +253,17 @@ def filter_docs(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverag
     ship(docs.sparkSession)
     items = _benchmark(benchmark)
     if _small(items, limit):
-        index = Index([(r.item_id, r.text) for r in items.collect()], seed)
+        index = Index([(r.item_id, r.text) for r in items.collect()], seed, coverage)
 
         @F.pandas_udf("boolean")
         def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             cache = WordHash()
             for texts in parts:
-                yield pd.Series([t is None or not index.match(WORD.findall(t.lower()), cache, coverage) for t in texts], dtype=bool)
+                yield pd.Series([not index.match(words_of(t), cache) for t in texts], dtype=bool)
 
         return docs.where(clean(F.col("text").cast("string")))
-    rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "texts")
-    texts = rows.select(F.col("_rid").alias("rid"), "doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    bad = _joined(texts, items, seed, coverage).select(F.col("rid").alias("_rid")).distinct()
-    return rows.join(bad, "_rid", "left_anti").select(*docs.columns)
+    rid = fresh(docs, "rid")
+    rows = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "texts")
+    texts = rows.select(F.col(rid).alias("rid"), "doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    bad = _joined(texts, items, seed, coverage).select(F.col("rid").alias(rid)).distinct()
+    return rows.join(bad, rid, "left_anti").select(*docs.columns)
