@@ -13,8 +13,12 @@ others by weight. With given weights but no total, it is the greatest that no so
 Defined results: a null source is a source of its own; null texts have length 0, and documents of
 length 0 are always kept, as they cost nothing; weights of sources that are not there count as
 asked for but stay unfilled, sources without a given weight get 0. Repeated rows are documents
-of their own; ties in the hash go by doc_id, and equal rows are interchangeable. An empty table
-gives no rows.
+of their own; ties in the hash go by doc_id, and equal rows are interchangeable. A text of any length
+counts whole. Columns of any name pass through, but that n_tokens is replaced. An empty table gives no rows.
+
+Budgets are made on the driver from one number a source; histograms stay with the tasks, one for each
+source. Meeting a budget exactly may take bit sets as long as the budget (fit), which only sources of few
+lengths come to.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ import math
 import zlib
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import broadcast_if_small
-from lodestone.session import materialise
+from lodestone.session import materialise, ship
 
 TEMPERATURE = 0.5
 #: Share of all tokens that is taken where neither weights nor a total are given.
@@ -150,19 +155,24 @@ def budgets(tokens: Mapping, weights: Mapping | None = None, total: int | None =
     return {s: min(int(unit * w[s] + 1e-6), tokens[s]) for s in tokens}
 
 
-def _plan(docs: DataFrame, weights: Mapping | None, total: int | None, seed: int) -> DataFrame:
-    """(source, n_tokens, have, take) for every source and length."""
-    counts = docs.groupBy("_mx_source", "_mx_len").agg(F.count("*").alias("have")).collect()
-    by: dict = {}
-    for r in counts:
-        by.setdefault(r[0], {})[r[1]] = r[2]
-    want = budgets({s: sum(k * n for k, n in c.items()) for s, c in by.items()}, weights, total)
-    rows = [(s, size, by[s][size], n) for s in by for size, n in fit(by[s], want[s], seed).items()]
-    return docs.sparkSession.createDataFrame(rows, "_mx_source string, _mx_len long, _mx_have long, _mx_take long")
+def _plan(light: DataFrame, p: str, weights: Mapping | None, total: int | None, seed: int) -> DataFrame:
+    """(source, length, have, take) for every source and length: budgets on the driver by source, the knapsacks in a task for each source."""
+    source, size = f"{p}_source", f"{p}_len"
+    counts = materialise(light.groupBy(source, size).agg(F.count("*").alias(f"{p}_have")), "histogram")
+    tokens = {r[0]: r[1] for r in counts.groupBy(source).agg(F.sum(F.col(size) * F.col(f"{p}_have"))).collect()}
+    want = budgets(tokens, weights, total)
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[source].iloc[0]
+        have = dict(zip(rows[size].tolist(), rows[f"{p}_have"].tolist()))
+        take = fit(have, want[None if pd.isna(own) else own], seed)
+        return rows.assign(**{f"{p}_take": [take.get(k, 0) for k in have]})
+
+    return materialise(counts.groupBy(source).applyInPandas(fitted, f"{source} string, {size} long, {p}_have long, {p}_take long"), "plan")
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.withColumn("_mx_source", F.col("source").cast("string")).withColumn("_mx_len", token_length()).withColumn("_mx_order", F.xxhash64(F.lit(seed), F.col("doc_id")))
+def _keyed(docs: DataFrame, seed: int, p: str = "_mx") -> DataFrame:
+    return docs.withColumn(f"{p}_source", F.col("source").cast("string")).withColumn(f"{p}_len", token_length()).withColumn(f"{p}_order", F.xxhash64(F.lit(seed), F.col("doc_id")))
 
 
 def mix(docs: DataFrame, weights: Mapping | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
@@ -172,23 +182,28 @@ def mix(docs: DataFrame, weights: Mapping | None = None, total: int | None = Non
     narrow rows, and a scan keeps what is at or below it. Only where several rows of one
     hash straddle the cut are these rows ranked.
     """
-    light = materialise(_keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "_mx_source", "_mx_len", "_mx_order"), "lengths")
-    plan = _plan(light, weights, total, seed)
-    n = plan.count()
-    plan = F.broadcast(plan) if n * 48 <= 64 << 20 else plan
-    part = light.join(plan.where("_mx_take > 0 and _mx_take < _mx_have"), (light._mx_source.eqNullSafe(plan._mx_source)) & (light._mx_len == plan._mx_len)).select(light._mx_source, light._mx_len, "_mx_order", "_mx_take")
-    rank = Window.partitionBy("_mx_source", "_mx_len").orderBy("_mx_order")
-    tied = part.groupBy("_mx_source", "_mx_len", "_mx_order", "_mx_take").agg(F.count("*").alias("_mx_same")).withColumn("_mx_upto", F.sum("_mx_same").over(rank))
-    cut = tied.where("_mx_upto >= _mx_take and _mx_upto - _mx_same < _mx_take").select("_mx_source", "_mx_len", F.col("_mx_order").alias("_mx_cut"), (F.col("_mx_take") - F.col("_mx_upto") + F.col("_mx_same")).alias("_mx_keep"), (F.col("_mx_upto") > F.col("_mx_take")).alias("_mx_split"))
-    whole = plan.where("_mx_take = _mx_have").select("_mx_source", "_mx_len", F.lit((1 << 63) - 1).alias("_mx_cut"), F.lit(0).cast("long").alias("_mx_keep"), F.lit(False).alias("_mx_split"))
-    edge = broadcast_if_small(materialise(whole.unionByName(cut), "cuts"), 48).select(F.col("_mx_source").alias("_mx_s"), F.col("_mx_len").alias("_mx_l"), "_mx_cut", "_mx_keep", "_mx_split")
-    full = _keyed(docs, seed).join(edge, F.col("_mx_source").eqNullSafe(F.col("_mx_s")) & (F.col("_mx_len") == F.col("_mx_l")))
-    columns = [*(c for c in docs.columns if c != "n_tokens"), F.col("_mx_len").alias("n_tokens")]
-    sure = full.where((F.col("_mx_order") < F.col("_mx_cut")) | ((F.col("_mx_order") == F.col("_mx_cut")) & ~F.col("_mx_split"))).select(*columns)
-    if edge.where("_mx_split").isEmpty():
+    ship(docs.sparkSession)
+    p = "_mx"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p = f"_{p}"
+    source, size, order, have, take = (f"{p}_{c}" for c in ("source", "len", "order", "have", "take"))
+    light = materialise(_keyed(docs.select("doc_id", "source", "text"), seed, p).select("doc_id", source, size, order), "lengths")
+    plan = broadcast_if_small(_plan(light, p, weights, total, seed), 48)
+    part = light.join(plan.where((F.col(take) > 0) & (F.col(take) < F.col(have))), light[source].eqNullSafe(plan[source]) & (light[size] == plan[size])).select(light[source], light[size], order, take)
+    rank = Window.partitionBy(source, size).orderBy(order)
+    tied = part.groupBy(source, size, order, take).agg(F.count("*").alias("same")).withColumn("upto", F.sum("same").over(rank))
+    name = (F.col(source).alias(f"{p}_s"), F.col(size).alias(f"{p}_l"))
+    cut = tied.where((F.col("upto") >= F.col(take)) & (F.col("upto") - F.col("same") < F.col(take))).select(*name, F.col(order).alias(f"{p}_cut"), (F.col(take) - F.col("upto") + F.col("same")).alias(f"{p}_keep"), (F.col("upto") > F.col(take)).alias(f"{p}_split"))
+    whole = plan.where(F.col(take) == F.col(have)).select(*name, F.lit((1 << 63) - 1).alias(f"{p}_cut"), F.lit(0).cast("long").alias(f"{p}_keep"), F.lit(False).alias(f"{p}_split"))
+    edge = broadcast_if_small(materialise(whole.unionByName(cut), "cuts"), 48)
+    full = _keyed(docs, seed, p).join(edge, F.col(source).eqNullSafe(F.col(f"{p}_s")) & (F.col(size) == F.col(f"{p}_l")))
+    columns = [*(c for c in docs.columns if c.lower() != "n_tokens"), F.col(size).alias("n_tokens")]
+    at_cut = F.col(order) == F.col(f"{p}_cut")
+    sure = full.where((F.col(order) < F.col(f"{p}_cut")) | (at_cut & ~F.col(f"{p}_split"))).select(*columns)
+    if edge.where(f"{p}_split").isEmpty():
         return sure
-    at = full.where((F.col("_mx_order") == F.col("_mx_cut")) & F.col("_mx_split")).withColumn("_mx_rank", F.row_number().over(Window.partitionBy("_mx_source", "_mx_len").orderBy("doc_id")))
-    return sure.unionByName(at.where("_mx_rank <= _mx_keep").select(*columns))
+    at = full.where(at_cut & F.col(f"{p}_split")).withColumn(f"{p}_rank", F.row_number().over(Window.partitionBy(source, size).orderBy("doc_id")))
+    return sure.unionByName(at.where(F.col(f"{p}_rank") <= F.col(f"{p}_keep")).select(*columns))
 
 
 def selected(docs: DataFrame, weights: Mapping | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:

@@ -1,4 +1,6 @@
 import itertools
+import random
+import re
 
 import duckdb
 import pytest
@@ -37,6 +39,33 @@ def test_fit_meets_budgets_of_long_documents():
     assert take == {10_000: 12_345}
 
 
+def test_fit_equals_the_whole_knapsack_in_random_cases():
+    r = random.Random(4)
+    for _ in range(1500):
+        counts = {r.randint(3_000, 20_000): r.randint(1, 5) for _ in range(r.randint(1, 8))}
+        budget = r.randint(1, sum(s * n for s, n in counts.items()) - 1)
+        take = mixing.fit(counts, budget)
+        assert all(0 <= k <= counts[s] for s, k in take.items())
+        assert sum(s * k for s, k in take.items()) == sum(s * k for s, k in mixing.subset_sum(counts, budget).items()), (counts, budget)
+
+
+def test_mix_with_clashing_names_takes_what_fit_says(spark, documents):
+    odd = documents.withColumn("_mx_source", F.lit("x")).withColumn("_MX_len", F.lit(5)).withColumn("N_tokens", F.lit("y")).withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("s"), F.col("doc_id") % 2)))
+    got = mixing.mix(odd, total=15_000)
+    assert got.columns == [*odd.columns[:-1], "n_tokens"]
+    rows = [(r.source, len((r.text or "").split())) for r in odd.select("source", "text").collect()]
+    by = {}
+    for s, n in rows:
+        by.setdefault(s, {}).setdefault(n, 0)
+        by[s][n] += 1
+    want = mixing.budgets({s: sum(k * n for k, n in c.items()) for s, c in by.items()}, total=15_000)
+    taken = {}
+    for r in got.collect():
+        assert (r._mx_source, r._MX_len) == ("x", 5)
+        taken[r.source, r.n_tokens] = taken.get((r.source, r.n_tokens), 0) + 1
+    assert taken == {(s, k): n for s, c in by.items() for k, n in mixing.fit(c, want[s]).items() if n}
+
+
 def test_mix_hits_targets(documents):
     d = documents.withColumn("source", F.when(F.col("doc_id") % 4 == 0, "a").otherwise("b"))
     got = mixing.selected(d, {"a": 1.0, "b": 1.0}, 10_000)
@@ -135,8 +164,6 @@ def naive_tiles(a, b, least):
 
 
 def test_tiles_against_the_definition():
-    import random
-
     for seed in range(60):
         r = random.Random(seed)
         a = [r.choice("abcd") for _ in range(r.randint(3, 40))]
@@ -169,3 +196,56 @@ def test_tiling_odd_rows(odd, empty, spark):
         assert tiling.filter_docs(odd, b, limit=limit).count() == odd.count() - 3
         assert tiling.find(empty, b, limit=limit).count() == 0
         assert tiling.find(odd, bench(spark, []), limit=limit).count() == 0
+
+
+def naive_find(docs, items, seed=tiling.SEED, coverage=tiling.COVERAGE):
+    out = []
+    for d, t in docs:
+        for k, x in items:
+            a, b = re.findall(r"\w+", (x or "").lower()), re.findall(r"\w+", (t or "").lower())
+            if a and b:
+                got = sum(n for _, _, n in naive_tiles(a, b, min(seed, len(a)))) / len(a)
+                if got >= coverage:
+                    out.append((d, k, round(got, 9)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [1 << 26, -1])
+def test_both_paths_equal_a_naive_tiler_in_many_scripts(spark, limit):
+    items = [
+        (1, "हिन्दी"),
+        (2, "भारत में बहुत सारी भाषाएँ बोली जाती हैं और लिखी जाती हैं"),
+        (3, "ภาษาไทย ที่ นี่"),
+        (4, "İstanbul'da IŞIK ışıl ışıl İĞNE gibi"),
+        (5, "le café crème coûte cher à l'hôtel près d'ici"),
+        (6, "e\u0301te\u0301 a\u0300 la mer"),
+        (7, " ".join(f"q{i % 23}" for i in range(90))),
+        (7, "ab cd"),
+        (8, None),
+        (9, "  "),
+    ]
+    long = " ".join(f"z{i}" for i in range(3000))
+    texts = [
+        "यह हिन्दी है",
+        "कल भारत में बहुत सारी भाषाएँ बोली जाती हैं वहाँ और लिखी जाती हैं",
+        "ภาษาไทย ที่ นี่ ดี",
+        "istanbul'da ışık ışıl ışıl iğne gibi",
+        "İSTANBUL'DA IŞIK IŞIL IŞIL İĞNE GİBİ",
+        "LE CAFÉ CRÈME COÛTE CHER, à l'hôtel près d'ici",
+        "e\u0301te\u0301 A\u0300 la mer",
+        "été à la mer",
+        long + " " + " ".join(f"q{i % 23}" for i in range(45, 90)) + " " + long + " ab cd",
+        " ".join(f"q{i % 23}" for i in range(30)) + " x " + " ".join(f"q{i % 23}" for i in range(30, 60)),
+        None,
+        "",
+        "ab cd",
+    ]
+    docs = [*enumerate(texts), (None, "ab cd"), (12, "ab cd")]
+    df = spark.createDataFrame([(d, t, 77, "a", "b") for d, t in docs], "doc_id long, text string, rid long, _RID string, coverage string")
+    b = spark.createDataFrame([(k, t, 5) for k, t in items], "item_id long, text string, iid int")
+    got = sorted(((r.doc_id, r.item_id, round(r.coverage, 9)) for r in tiling.find(df, b, limit=limit).collect()), key=str)
+    want = sorted(naive_find([x for x in docs if x[0] is not None], items) + [(None, 7, 1.0)], key=str)
+    assert got == want
+    kept = tiling.filter_docs(df, b, limit=limit)
+    assert kept.columns == df.columns and {(r.rid, r._RID) for r in kept.collect()} <= {(77, "a")}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d is not None and d not in {x[0] for x in want})
