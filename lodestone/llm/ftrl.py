@@ -12,8 +12,9 @@ in a hash order of doc_id. Scoring covers every document, whole texts.
 Defined results: null or empty texts have no feature and score sigmoid(bias) exactly as any
 text without evidence does, a null doc_id is scored as any other. Labels that are null, clash
 (one doc_id with both) or name no document are left out of training. With no usable label or
-just one class, everything scores 1.0 and is kept. Extra columns pass through filter_docs;
-classify returns doc_id, quality_score, keep only, one row for each input row.
+just one class, everything scores 1.0 and is kept. Texts are scored whole, however long; a score equal to
+the threshold is kept; repeated rows each get their row; an empty table gives no rows. Extra columns, whatever their
+names, pass through filter_docs; classify returns doc_id, quality_score, keep only, one row for each input row.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ to every document, whole texts.
 Defined results: null and blank texts have all statistics 0 and are judged by the list like
 others; with no usable label or one class only, the list is empty and all are kept. Null
 doc_ids and repeated rows each get their row. Extra columns are ignored. Labels that are null or
-clash are left out. Ties between conditions go to the first statistic, then to the least threshold.
+clash are left out. Texts count whole, however long. Ties between conditions go to the first statistic, then to the least threshold.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

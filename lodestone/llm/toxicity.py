@@ -13,8 +13,8 @@ documents (PER_CLASS a class at most), and calibrated on the other part by pool-
 
 Defined results: null and empty texts have no feature and toxic is False for them; null doc_ids
 and repeated rows each get their row; with no usable label or one class only, a document is toxic
-iff it has a hit of SEEDS (probability 1 or 0). Extra columns are ignored. Ties in splits go to the
-first feature, then to the least threshold.
+iff it has a hit of SEEDS (probability 1 or 0). Texts count whole, however long; an empty table gives no rows.
+Extra columns are ignored. Ties in splits go to the first feature, then to the least threshold.
 """
 
 from __future__ import annotations
