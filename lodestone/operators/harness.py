@@ -16,7 +16,7 @@ SKILLS, CI = ".agents/skills/", ".github/workflows/"
 GATES: Mapping[str, tuple[str, ...]] = {"S0": (), "S1": ("Makefile",), "S2": ("Makefile", "pyproject.toml", ".pre-commit-config.yaml"), "S3": ("Makefile", "pyproject.toml", ".pre-commit-config.yaml", ".github/workflows", ".secrets.baseline", MANIFEST)}
 REQUIRED: Mapping[str, tuple[str, ...]] = {"S0": (MANIFEST,), "S1": (MANIFEST, "CLAUDE.md", ".pre-commit-config.yaml"), "S2": (MANIFEST, "CLAUDE.md", ".pre-commit-config.yaml", ".github/workflows/verify.yml", ".secrets.baseline"), "S3": (MANIFEST, "CLAUDE.md", ".pre-commit-config.yaml", ".github/workflows/verify.yml", ".secrets.baseline", ".github/workflows/governance.yml")}
 RELAXING = ("ignore_missing_secrets", "skip_hc", "disable_hc", "no_secrets_scan", "allow_all")
-MARKER = "local-agent-harness:auto"
+MARKER = "managed-section:auto"
 
 
 def _there(*names: str) -> Column:
@@ -81,7 +81,7 @@ def drift(files: DataFrame) -> DataFrame:
     return out.select(*_FINDING)
 
 
-def required_drift(files: DataFrame, stage: DataFrame) -> DataFrame:
+def required_drift(files: DataFrame, stage: DataFrame, marker: str = MARKER) -> DataFrame:
     """(repo_id, artefact, drift_class) of what a repository's stage (repo_id, stage) requires: missing, relaxed, stale or clean."""
     need = F.coalesce(*(F.when(F.col("stage") == s, F.array(*map(F.lit, a))) for s, a in REQUIRED.items()), F.array(F.lit(MANIFEST)))
     asked = stage.select("repo_id", F.explode(need).alias("artefact"))
@@ -89,7 +89,7 @@ def required_drift(files: DataFrame, stage: DataFrame) -> DataFrame:
     relaxed = F.lit(False)
     for p in RELAXING:
         relaxed = relaxed | F.col("content").contains(p)
-    kind = F.when(F.col("content").isNull(), "missing").when(relaxed, "relaxed").when((F.col("artefact") == MANIFEST) & ~F.col("content").contains(MARKER), "stale").otherwise("clean")
+    kind = F.when(F.col("content").isNull(), "missing").when(relaxed, "relaxed").when((F.col("artefact") == MANIFEST) & ~F.col("content").contains(marker), "stale").otherwise("clean")
     return asked.join(have, ["repo_id", "artefact"], "left").select("repo_id", "artefact", kind.alias("drift_class"))
 
 

@@ -47,7 +47,7 @@ _GATES = "gt AS (SELECT * FROM (VALUES ('S1','Makefile'),('S2','Makefile'),('S2'
 query("agg42_harness_stage", "AGG-42", "repo_files", f"WITH {_SIGNALS} SELECT repo_id, stage FROM g")(lambda f: hs.stages(f))
 query("fun23_harness_drift", "FUN-23", "repo_files", f"WITH {_DRIFT} SELECT repo_id, artefact, status, evidence FROM d")(lambda f: hs.drift(f).select("repo_id", "artefact", "status", _joined("evidence")))
 query("fun24_required_drift", "FUN-24", "repo_files", f"""WITH {_SIGNALS}, q AS (SELECT * FROM (VALUES (0,'AGENTS.md'),(1,'CLAUDE.md'),(1,'.pre-commit-config.yaml'),(2,'.github/workflows/verify.yml'),(2,'.secrets.baseline'),(3,'.github/workflows/governance.yml')) t(least, artefact))
-SELECT g.repo_id, q.artefact, CASE WHEN content IS NULL THEN 'missing' WHEN regexp_matches(content, 'ignore_missing_secrets|skip_hc|disable_hc|no_secrets_scan|allow_all') THEN 'relaxed' WHEN q.artefact = 'AGENTS.md' AND NOT contains(content, 'local-agent-harness:auto') THEN 'stale' ELSE 'clean' END AS drift_class
+SELECT g.repo_id, q.artefact, CASE WHEN content IS NULL THEN 'missing' WHEN regexp_matches(content, 'ignore_missing_secrets|skip_hc|disable_hc|no_secrets_scan|allow_all') THEN 'relaxed' WHEN q.artefact = 'AGENTS.md' AND NOT contains(content, 'managed-section:auto') THEN 'stale' ELSE 'clean' END AS drift_class
 FROM g JOIN q ON CAST(substr(stage, 2, 1) AS INT) >= least LEFT JOIN repo_files f ON f.repo_id = g.repo_id AND f.path = q.artefact""")(lambda f: hs.required_drift(f, hs.stages(f)))
 query("agg43_harness_controls", "AGG-43 FUN-24", "repo_files readiness_scores", f"""WITH {_SIGNALS}, {_DRIFT}, {_GATES}
 SELECT repo_id, CASE WHEN status = 'stale' THEN 'drift' ELSE 'manifest_relaxation' END AS category, CASE WHEN status = 'stale' THEN 'warning' ELSE 'error' END AS severity, artefact AS subject FROM d WHERE status IN ('stale', 'relaxed') OR (status = 'missing' AND artefact = 'AGENTS.md')
