@@ -1,38 +1,35 @@
-"""N-gram Jaccard join by chosen paths.
-
-Texts are sets of word n-grams. A record holds SLOTS minhashes, each a token of its set that
-was sampled with randomness all records share. Every run starts at the root; at each step a
-path picks BRANCH slots (by a hash of the path), and a record goes on to the children named by
-its sampled tokens there, so two sets meet in a child iff they share the sampled token. A child
-of at most BRUTE records is compared pairwise. In a larger one, records whose mean similarity
-to the bucket is near the threshold or above are compared with the whole bucket and leave; the
-rest is split again, for as long as buckets are large. Those that leave are what a split would not
-part; a bucket that still sheds nothing STALLS times running is compared pairwise. Buckets of the
-first step are gathered by a shuffle, and what is left of one of more than LOCAL records by another;
-the others are split where they are, as all records of a child lie in its parent.
-Pairs that pass on the sketch are then checked on their whole sets.
-
-A pair with Jaccard >= threshold t survives a step with probability 1 - (1 - t * q)^BRANCH at least,
-q being that of the next; the q that this leaves unchanged holds for any depth, and runs() repeats
-until 1 - (1 - q)^runs reaches the target recall.
-
-Defined results: rows with a null doc_id, null text or no word are in no pair. Rows of one doc_id and
-text are one text; texts of equal sets are one record, named by its least doc_id; each
-further doc_id of that set is paired with that one at similarity 1.0, so every pair of the full join
-is a pair of records times their copies. One doc_id with several texts has a record for each,
-so a pair of doc_ids may come more than once, and texts of one doc_id are compared (joined) though
-jaccard_join doesn't pair a doc_id with itself. Texts count whole, however long. Extra columns are
-ignored. An empty table gives no rows.
+"""Exact n-gram Jaccard join by shared prefixes.
+
+Texts are sets of word n-grams; texts of equal sets are one record. The n-grams have one order: by
+their count in a sample of texts, then by hash. Two sets of sizes x and y with Jaccard >= t share at
+least o = t / (1 + t) * (x + y) n-grams, so the first x - o + k of one and the first y - o + k of the other share at
+least k = min(SHARED, o). Each record posts the longest such prefix. A list (the records that post one
+n-gram) counts its pairs; those that reach k over all lists are candidates. In lists of more than brute records, those that
+meet the first record of their list in SHARED lists are tied to it, and records that ties connect need no pairs, so
+a cluster's don't grow as its square. Candidates and ties connect records to groups that every link lies in, and
+within a group all sets are compared, in blocks of about TOKENS n-grams. The sample only sets the order, any of
+which is right. Nothing is left to chance but equal 64-bit hashes of words, n-grams or sets.
+
+Memory: a task holds the postings of a part of the n-grams (about ENTRIES, and one list at least) or two blocks; links are counted
+where they are found and only a spanning forest of them is kept, so no table grows as their number.
+
+Defined results: a document is a doc_id and a text; repeated rows are one. classes() has a row for each, also for those
+without a word, which are alone; rows with a null doc_id or text are in no class and op5 gives each a row with 0 links. A class is what
+links connect, named by its least document; links counts the other documents of Jaccard >= threshold,
+equal sets and other texts of the doc_id among them. jaccard_join names a set by its least doc_id, pairs each further
+doc_id of the set with that one at 1.0, and doesn't pair a doc_id with itself; one doc_id with several texts may come
+in a pair more than once. Texts count whole, however long. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import WORD, WordHash, broadcast_if_small, by_key, keyed, mix, ngrams, spans, word_hashes
@@ -41,26 +38,24 @@ from lodestone.session import materialise, release, ship
 NGRAM = 3
 THRESHOLD = 0.6
 RECALL = 0.99
-SLOTS = 64
 BRANCH = 2
-BRUTE = 64
-#: Records of a bucket that may be split on without a shuffle.
-LOCAL = 20_000
-#: Splits running that leave a bucket as large as it was before it is compared pairwise.
-STALLS = 8
-#: Standard deviations of the sketch's estimate by which a pair may miss the threshold and still be checked.
-SLACK = 3.0
-#: Records that one pairwise comparison holds at once, on each side.
-BLOCK = 512
-
-#: A slot of a sketch as it is kept: bits of its minhash.
-SKETCH = np.uint16
-
-_SALT = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Records of a list whose pairs are all counted.
+BRUTE = 32
+#: N-grams that a candidate pair shares in its prefixes.
+SHARED = 4
+#: Least and most texts whose n-grams are counted for the order, and between them the share of all texts, one in so many.
+SAMPLE, SAMPLE_MOST, SAMPLE_SHARE = 20_000, 200_000, 12
+#: Postings of a part, about, and n-grams that a task gathers before it sends their postings on.
+ENTRIES, HELD = 1_000_000, 500_000
+#: N-grams of a block, each record counting as RECORD more; and texts whose sets are made at once.
+TOKENS, RECORD, TEXTS = 500_000, 400, 500
+#: Incidence columns multiplied at once.
+COLUMNS = 2048
+_EPS = 1e-6
 
 
 def survival(threshold: float, branch: int) -> float:
-    """The greatest q with q = 1 - (1 - threshold * q)^branch: a pair at the threshold shares a path of any length."""
+    """The greatest q with q = 1 - (1 - threshold * q)^branch: a pair at the threshold shares a sampled path of any length."""
     q = 1.0
     for _ in range(10_000):
         q = 1 - (1 - threshold * q) ** branch
@@ -68,246 +63,382 @@ def survival(threshold: float, branch: int) -> float:
 
 
 def runs(threshold: float = THRESHOLD, recall: float = RECALL, branch: int = BRANCH) -> int:
-    """Runs after which a pair at the threshold has been met with probability recall, however deep its buckets are split."""
+    """Runs that a join by sampled paths would need for a recall; the join below doesn't sample."""
     q = survival(threshold, branch)
     if q < 0.01:
         raise ValueError(f"branch {branch} is too small for threshold {threshold}: paths die out")
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - q))) if q < 1 else 1
 
 
-def minhash(s: np.ndarray) -> np.ndarray:
-    """SLOTS minhashes of a set of uint64 n-grams; long sets go in blocks."""
-    out = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 1024):
-        with np.errstate(over="ignore"):
-            x = (s[i : i + 1024, None] ^ _SALT) * np.uint64(0xFF51AFD7ED558CCD)
-            x ^= x >> np.uint64(29)
-        np.minimum(out, x.min(0), out=out)
-    return out
+class _Words(WordHash):
+    """As WordHash, of 64 independent bits, and smaller."""
 
+    LIMIT = 200_000
 
-def _slots(path: np.ndarray, branch: int) -> np.ndarray:
-    """For each path the slots that its children sample, all different."""
-    with np.errstate(over="ignore"):
-        x = mix(path[:, None] + np.arange(SLOTS, dtype=np.uint64)[None] * np.uint64(0xA0761D6478BD642F))
-    return np.argpartition(x, branch, axis=1)[:, :branch] if branch < SLOTS else np.argsort(x, axis=1)
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        h = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
 
 
-def children(path: np.ndarray, sketch: np.ndarray, branch: int) -> np.ndarray:
-    """(records, branch) child paths: hash of path, slot and the token sampled there."""
-    slot = _slots(path, branch)
-    token = np.take_along_axis(sketch, slot, 1).astype(np.uint64)
+def _set(text: str, n: int, cache: WordHash) -> np.ndarray:
+    """The sorted n-grams of a text."""
+    words = WORD.findall(text.lower())
+    return np.unique(ngrams(word_hashes(words, cache), n)) if words else np.zeros(0, np.uint64)
+
+
+def _key(s: np.ndarray) -> int:
     with np.errstate(over="ignore"):
-        return mix(mix(path[:, None] + slot.astype(np.uint64)) ^ (token * np.uint64(0xE7037ED1A0B428DB)))
+        return int(mix(np.array([np.add.reduce(mix(s)) ^ np.uint64(len(s) << 40)], np.uint64))[0])
+
+
+def _least(threshold: float, sizes: np.ndarray) -> np.ndarray:
+    """N-grams that two sets of so many together share at the threshold."""
+    return np.maximum(1, np.ceil(threshold / (1 + threshold) * sizes - _EPS)).astype(np.int64)
+
+
+def prefix(threshold: float, size: np.ndarray) -> np.ndarray:
+    """N-grams that a record posts: its longest prefix for any partner, which is that for the smallest one."""
+    o = np.maximum(1, np.ceil(threshold * size - _EPS)).astype(np.int64)
+    return np.minimum(size, size - o + np.minimum(SHARED, o))
 
 
 def _planes(s: np.ndarray) -> bytes:
-    """A sorted set by planes of bytes, of which the high ones compress well."""
-    return s.view(np.uint8).reshape(-1, 4).T.tobytes()
+    """uint32 by planes of bytes, of which the high ones compress well."""
+    return s.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _unplaned(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _parts(token: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a 32-bit token."""
+    return ((token.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
 
+def _token(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(16)).astype(np.uint32)
 
-def _sets(n: int, roots: np.ndarray, branch: int):
+
+def _sampled(n: int, parts: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
+        cache = _Words()
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            t = np.sort(np.concatenate(held))
+            at = np.searchsorted(_parts(t, parts), np.arange(parts + 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([t[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["part", "tokens"])
+
+        for b in batches:
+            for text in b.column(0):
+                held.append(_token(_set(text.as_py(), n, cache)))
+                size += len(held[-1])
+                if size > HELD:
+                    yield rows()
+                    held, size = [], 0
+        if held:
+            yield rows()
+
+    return fn
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of a part that occur twice or more, and how often."""
+    for t in by_key(batches, "part"):
+        for lo, hi in spans(t.column("part").combine_chunks().to_numpy()):
+            token, count = np.unique(np.frombuffer(b"".join(t.column("tokens").slice(lo, hi - lo).to_pylist()), np.uint32), return_counts=True)
+            token, count = token[count > 1], count[count > 1]
+            yield pa.RecordBatch.from_arrays([pa.array([token.tobytes()], pa.binary()), pa.array([np.minimum(count, 65_535).astype(np.uint16).tobytes()], pa.binary())], ["tokens", "counts"])
+
+
+def sampled(documents: int) -> int:
+    return min(SAMPLE_MOST, max(SAMPLE, documents // SAMPLE_SHARE))
+
+
+def _order(clean: DataFrame, n: int, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens that occur in several texts of the sample, and in how many."""
+    parts = 16
+    few = clean.where(F.pmod(F.xxhash64("body"), F.lit(max(1, documents // sampled(documents)))) == 0).select("text")
+    rows = keyed(few.mapInArrow(_sampled(n, parts), "part int, tokens binary"), "part", _frequent, "tokens binary, counts binary", parts).collect()
+    token, count = (np.frombuffer(b"".join(bytes(r[k]) for r in rows), d) for k, d in ((0, np.uint32), (1, np.uint16)))
+    at = np.argsort(token)
+    return token[at], count[at]
+
+
+_POSTED = "part int, doc_id long, body long, key long, size int, tokens binary, keys binary, places binary, sizes binary"
+
+
+def _post(n: int, threshold: float, parts: int, order):
+    """A row for each document (tokens null), and the postings of a few thousand of them packed in a row for each part."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Words()
+        token, count = order.value
+        names = [x.split()[0] for x in _POSTED.split(", ")]
+        docs: list[tuple[int, int, int, int]] = []
+        sets: list[np.ndarray] = []
+        held = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            doc, body, key, size = (np.array(c, d) for c, d in zip(zip(*docs), (np.int64, np.int64, np.uint64, np.int64)))
+            part = (key % np.uint64(parts)).astype(np.int32)
+            none = pa.nulls(len(doc), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(doc), pa.array(body), pa.array(key.view(np.int64)), pa.array(size.astype(np.int32)), none, none, none, none], names)
+            s = np.concatenate(sets)
+            if not len(s):
+                return
+            rank = np.zeros(len(s), np.uint64)
+            if len(token):
+                t = _token(s)
+                at = np.minimum(np.searchsorted(token, t), len(token) - 1)
+                rank = np.where(token[at] == t, count[at], 0).astype(np.uint64)
+            s = (rank << np.uint64(48)) | (s >> np.uint64(16))
+            end = np.cumsum(size)
+            for a, b in zip((end - size).tolist(), end.tolist()):
+                s[a:b].sort()
+            place = np.arange(len(s)) - np.repeat(end - size, size)
+            own = np.repeat(np.arange(len(size)), size)
+            keep = place < prefix(threshold, size)[own]
+            t, place, own = s[keep].astype(np.uint32), place[keep], own[keep]
+            part = _parts(t, parts)
+            at = np.argsort(part.astype(np.uint16) if parts < 65_536 else part, kind="stable")
+            t, place, own, part = t[at], place[at], own[at], part[at]
+            cut = np.searchsorted(part, np.arange(parts + 1))
+            of = np.flatnonzero(cut[1:] > cut[:-1])
+            slices = [slice(cut[p], cut[p + 1]) for p in of]
+            nul = pa.nulls(len(of), pa.int64())
+            packed = [[t[x].tobytes() for x in slices], [key[own[x]].tobytes() for x in slices], [_planes(place[x]) for x in slices], [_planes(size[own[x]]) for x in slices]]
+            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), nul, nul, nul, pa.nulls(len(of), pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], names)
+
         for b in batches:
-            ids, hashes, keys, paths, sketches, sets = [], [], [], [], [], []
             for doc_id, body, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                words = WORD.findall(text.as_py().lower())
-                if not words:
-                    continue
-                full = np.unique(ngrams(word_hashes(words, cache), n))
-                m = minhash(full)
+                s = _set(text.as_py(), n, cache)
                 with np.errstate(over="ignore"):
-                    key = (int(np.add.reduce(mix(full))) ^ (len(full) << 40)) & 0xFFFFFFFFFFFFFFFF
-                ids.append(doc_id)
-                hashes.append(body)
-                keys.append(key.to_bytes(8, "little") + int(m[0]).to_bytes(8, "little"))
-                paths.append(np.unique(children(roots, np.broadcast_to(m, (len(roots), SLOTS)), branch).view(np.int64)))
-                sketches.append((m >> np.uint64(16)).astype(SKETCH).tobytes())
-                sets.append(_planes(np.unique(full.astype(np.uint32))))
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())],
-                    ["doc_id", "body", "skey", "paths", "sketch", "tokens"],
-                )
+                    # A text without a word is a record of its own.
+                    key = _key(s) if len(s) else int(mix(mix(np.array([doc_id], np.int64).view(np.uint64)) ^ np.array([body], np.int64).view(np.uint64))[0])
+                docs.append((doc_id, body, key, len(s)))
+                sets.append(s)
+                held += len(s) + 8
+                if held > HELD:
+                    yield from rows()
+                    docs, sets, held = [], [], 0
+        if docs:
+            yield from rows()
+
+    return fn
+
+
+def _passing(place: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a shared n-gram lies in the prefixes of the two, and the n-grams that they need."""
+    o = _least(threshold, size[i] + size[j])
+    k = np.minimum(SHARED, o)
+    return (place[i] < size[i] - o + k) & (place[j] < size[j] - o + k), k
+
+
+def _counted(rec: np.ndarray, n: int, pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Of pairs (i, j, need) of postings: pairs a < b of the n records, how often they come and what they need."""
+    if not pairs:
+        return (np.zeros(0, np.int64),) * 4
+    i, j, need = (np.concatenate(x) for x in zip(*pairs))
+    code, where, count = np.unique(np.minimum(rec[i], rec[j]) * n + np.maximum(rec[i], rec[j]), return_index=True, return_counts=True)
+    return code // n, code % n, count, need[where]
+
+
+def listed(token: np.ndarray, key: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: float, brute: int) -> tuple[tuple, tuple]:
+    """Of postings: pairs a < b of records, the n-grams they share in their prefixes and those they need; and
+    the long lists as (key, list, place, size)."""
+    at = np.lexsort((place, key, size, token))
+    token, key, place, size = token[at], key[at], place[at], size[at]
+    # Copies of a set post the same.
+    new = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])]
+    token, key, place, size = token[new], key[new], place[new], size[new]
+    # A list ends where the next size is too large for any partner before.
+    edge = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (size[:-1] < threshold * size[1:] - _EPS), True])
+    length = np.diff(edge)
+    rest = np.repeat(edge[1:], length) - np.arange(len(token)) - 1
+    long = np.repeat(length > brute, length)
+    ids, rec = np.unique(key, return_inverse=True)
+    pairs = []
+    i = np.flatnonzero(~long & (rest > 0))
+    d = 1
+    while len(i):
+        ok, need = _passing(place, size, i, i + d, threshold)
+        ok &= rec[i] != rec[i + d]
+        pairs.append((i[ok], i[ok] + d, need[ok]))
+        d += 1
+        i = i[rest[i] >= d]
+    a, b, count, need = _counted(rec, len(ids), pairs)
+    name = token.astype(np.int64) << 31 | np.repeat(size[edge[:-1]], length)
+    return (ids[a], ids[b], count, need), (key[long], name[long], place[long], size[long])
+
+
+def _cross(threshold: float):
+    """Rows of long lists: the pairs of records that ties don't connect."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(key: np.ndarray, pairs: list) -> pa.RecordBatch:
+            ids, rec = np.unique(key, return_inverse=True)
+            a, b, count, need = _counted(rec, len(ids), pairs)
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(count.astype(np.int32)), pa.array(need.astype(np.int32))], ["a", "b", "n", "need"])
+
+        for t in by_key(batches, "list"):
+            name, key, place, size, tied = (t.column(c).combine_chunks().to_numpy() for c in ("list", "key", "place", "size", "tied"))
+            place, size = place.astype(np.int64), size.astype(np.int64)
+            pairs, held = [], 0
+            for lo, hi in spans(name):
+                own = tied[lo:hi]
+                kinds, inv, count = np.unique(own, return_inverse=True, return_counts=True)
+                most = kinds[np.argmax(count)]
+                # Each pair once: the records out of the largest tie with all that follow in an order that puts them first.
+                out = own != most
+                order = np.argsort(~out, kind="stable")
+                for x in range(int(out.sum())):
+                    i, j = lo + order[x], lo + order[x + 1 :]
+                    j = j[tied[j] != tied[i]]
+                    ok, need = _passing(place, size, np.full(len(j), i), j, threshold)
+                    pairs.append((np.full(int(ok.sum()), i), j[ok], need[ok]))
+                    held += len(pairs[-1][0])
+                    if held > ENTRIES:
+                        yield rows(key, pairs)
+                        pairs, held = [], 0
+            if held:
+                yield rows(key, pairs)
 
     return fn
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (path, rec) whose path is not theirs alone."""
-    for t in by_key(batches, "path"):
-        path = t.column("path").combine_chunks().to_numpy()
-        same = path[1:] == path[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        if keep.any():
-            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
-
-
-def _table(found: list[tuple], kids: list[tuple]) -> pa.RecordBatch:
-    """kind 0: a candidate pair of a path; kind 1: a record and the child path it goes on to."""
-    path, a, b, sketch = [], [], [], []
-    for p, x, y in found:
-        path.append(np.full(len(x), p, np.int64))
-        a.append(x)
-        b.append(y)
-        sketch += [None] * len(x)
-    for p, x, s in kids:
-        path.append(np.full(len(x), p, np.int64))
-        a.append(x)
-        b.append(np.full(len(x), -1, np.int64))
-        sketch += map(bytes, s)
-    kind = np.r_[np.zeros(sum(len(x) for _, x, _ in found), np.int8), np.ones(sum(len(x) for _, x, _ in kids), np.int8)]
-    cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(cat(path)), pa.array(cat(a)), pa.array(cat(b)), pa.array(sketch, pa.binary())], ["kind", "path", "a", "b", "sketch"])
-
-
-def similar(s: np.ndarray, least: float, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of sketches with at least that share of equal slots; rows: only pairs with one of these."""
-    out_i, out_j = [], []
-    need = math.ceil(least * SLOTS)
-    n = len(s)
-    of = np.arange(n) if rows is None else rows
-    into = np.zeros(n, bool)
-    into[of] = True
-    for i in of.tolist():
-        eq = np.count_nonzero(s == s[i], axis=1)
-        j = np.flatnonzero(eq >= need)
-        j = j[(j > i) | ((j < i) & ~into[j])]
-        if len(j):
-            out_i.append(np.minimum(j, i))
-            out_j.append(np.maximum(j, i))
-    z = np.zeros(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (z, z)
-
-
-def _near(s: np.ndarray, least: float) -> np.ndarray:
-    """Whether the mean similarity of each sketch to the others is least or above."""
-    mean = np.zeros(len(s))
-    for k in range(SLOTS):
-        _, inv, c = np.unique(s[:, k], return_inverse=True, return_counts=True)
-        mean += c[inv] - 1
-    return mean / (SLOTS * (len(s) - 1)) >= least
-
-
-def split(path: int, s: np.ndarray, least: float, brute: int, branch: int, local: int = LOCAL) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Index pairs i < j that some bucket under path compares and the sketches let pass, each once; and the child
-    buckets (path, records) of those larger than local, which go on elsewhere."""
-    n = len(s)
-    pairs, away = [], []
-    todo = [(path, np.arange(n), 0)]
-    while todo:
-        path, at, stalls = todo.pop()
-        own = s[at]
-        rows = None
-        if len(at) > brute and stalls < STALLS:
-            near = _near(own, least)
-            rows, go = np.flatnonzero(near), at[~near]
-            if len(go) > 1:
-                c = children(np.full(len(go), path, np.int64).view(np.uint64), s[go], branch).view(np.int64)
-                for k in range(branch):
-                    order = np.argsort(c[:, k], kind="stable")
-                    for lo, hi in spans(c[order, k]):
-                        if hi - lo > 1:
-                            below = (int(c[order[lo], k]), np.sort(go[order[lo:hi]]))
-                            if len(go) > local:
-                                away.append(below)
-                            else:
-                                todo.append((*below, stalls + 1 if hi - lo == len(at) else 0))
-        i, j = similar(own, least, rows)
-        if len(i):
-            pairs.append(at[i] * n + at[j])
-    code = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    return code // n, code % n, away
-
-
-def _buckets(threshold: float, brute: int, branch: int, local: int):
-    least = max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SLOTS))
+#: kind 0: a pair and how many n-grams it shares here and needs; 1: a posting (record a, place n) of the long list b; 2: a document (doc_id a, text b), its key,
+#: the documents of that set and the least of them.
+_FOUND = "kind byte, a long, b long, n int, need int, key long, size int, doc long, body long"
+
 
+def _lists(threshold: float, brute: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, "path"):
-            path = t.column("path").combine_chunks().to_numpy()
-            rec = t.column("rec").combine_chunks().to_numpy()
-            raw = t.column("sketch").combine_chunks()
-            all_s = np.frombuffer(b"".join(raw.to_pylist()), SKETCH).reshape(-1, SLOTS)
-            found, kids, held = [], [], 0
-            for lo, hi in spans(path):
-                if hi - lo < 2:
+        names = [x.split()[0] for x in _FOUND.split(", ")]
+
+        def out(kind: int, a, b, n=None, need=None, key=None, size=None, doc=None, body=None) -> pa.RecordBatch:
+            ints = [pa.nulls(len(a), pa.int32()) if x is None else pa.array(x.astype(np.int32)) for x in (n, need, size)]
+            longs = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x) for x in (key, doc, body)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), ints[0], ints[1], longs[0], ints[2], longs[1], longs[2]], names)
+
+        for t in by_key(batches, "part"):
+            for lo, hi in spans(t.column("part").combine_chunks().to_numpy()):
+                part = t.slice(lo, hi - lo)
+                bare = part.filter(part.column("tokens").is_null())
+                if len(bare):
+                    doc, body, key, size = (bare.column(c).combine_chunks().to_numpy() for c in ("doc_id", "body", "key", "size"))
+                    at = np.lexsort((body, doc, key))
+                    doc, body, key, size = doc[at], body[at], key[at], size[at]
+                    new = np.r_[True, (doc[1:] != doc[:-1]) | (body[1:] != body[:-1]) | (key[1:] != key[:-1])]
+                    doc, body, key, size = doc[new], body[new], key[new], size[new]
+                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    copies = np.diff(np.r_[first, len(key)])
+                    of = np.repeat(first, copies)
+                    yield out(2, doc, body, np.repeat(copies, copies), None, key, size, doc[of], body[of])
+                part = part.filter(part.column("tokens").is_valid())
+                if not len(part):
                     continue
-                r, s = rec[lo:hi], all_s[lo:hi]
-                i, j, away = split(int(path[lo]), s, least, brute, branch, local)
-                if len(i):
-                    found.append((path[lo], np.minimum(r[i], r[j]), np.maximum(r[i], r[j])))
-                    held += len(i)
-                kids += [(p, r[at], s[at]) for p, at in away]
-                held += sum(len(at) for _, at in away)
-                if held > 200_000:
-                    yield _table(found, kids)
-                    found, kids, held = [], [], 0
-            if found or kids:
-                yield _table(found, kids)
+                token, key = (np.frombuffer(b"".join(part.column(c).to_pylist()), d) for c, d in (("tokens", np.uint32), ("keys", np.int64)))
+                place, size = (np.concatenate([_unplaned(x) for x in part.column(c).to_pylist()]) for c in ("places", "sizes"))
+                # Most n-grams occur once.
+                at = np.argsort(token, kind="stable")
+                same = token[at[1:]] == token[at[:-1]]
+                at = at[np.r_[False, same] | np.r_[same, False]]
+                if not len(at):
+                    continue
+                (a, b, n, need), (x, name, where, sizes) = listed(token[at], key[at], place[at], size[at], threshold, brute)
+                if len(a):
+                    yield out(0, a, b, n, need)
+                if len(x):
+                    yield out(1, x, name, where, size=sizes)
 
     return fn
 
 
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """(len(a), len(b)) sizes of the intersections of sorted sets, as a product of incidence matrices."""
-    every = np.concatenate(a + b)
-    vocab, inv = np.unique(every, return_inverse=True)
-    lens = [len(x) for x in a + b]
-    row = np.repeat(np.arange(len(lens)), lens)
-    out = np.zeros((len(a), len(b)), np.float32)
-    order = np.argsort(inv, kind="stable")
-    inv, row = inv[order], row[order]
-    for lo in range(0, len(vocab), 8192):
-        x, y = np.searchsorted(inv, (lo, lo + 8192))
-        m = np.zeros((len(lens), 8192), np.float32)
-        m[row[x:y], inv[x:y] - lo] = 1
-        out += m[: len(a)] @ m[len(a) :].T
-    return out
+def _with_sets(n: int):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Words()
+        for b in (whole.slice(k, TEXTS) for whole in batches for k in range(0, whole.num_rows, TEXTS)):
+            at = b.schema.get_field_index("text")
+            sets = pa.array([_set(x.as_py(), n, cache).tobytes() for x in b.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if k != at), sets], [*(x for x in b.schema.names if x != "text"), "tokens"])
+
+    return fn
 
 
-_PAIRS = "a long, b long, doc_a long, doc_b long, body_a long, body_b long, jaccard double"
+def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of the first split of some sets with the others, or of all with all where split is 0."""
+    every = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, row = every[order], row[order]
+    new = np.r_[True, every[1:] != every[:-1]]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    row, column = row[shared], np.cumsum(new[shared]) - 1
+    a, b = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+    out = np.zeros((split or len(sets), len(sets) - split), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, (lo, lo + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[x:y], column[x:y] - lo] = 1
+        out += m[a] @ m[b].T
+    return out
 
 
-def _verify(threshold: float):
-    """Rows of a path: its records with their sets (b null), and its candidate pairs."""
+def _compare(threshold: float, pairs: bool):
+    """Rows of a job, two blocks of a group or one with itself: the pairs, or each record's links and one that links connect it with."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, "path"):
-            path, a, b, doc, body = (t.column(c).combine_chunks().to_numpy() for c in ("path", "a", "b", "doc_id", "body"))
-            tokens = t.column("tokens").combine_chunks()
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for lo, hi in spans(path):
-                own = np.flatnonzero(b[lo:hi] < 0) + lo
-                pairs = np.flatnonzero(b[lo:hi] >= 0) + lo
-                ids, first = np.unique(a[own], return_index=True)
-                own = own[first]
-                sets = [_unplaned(tokens[int(k)].as_py()) for k in own]
-                size = np.array([len(x) for x in sets], np.float64)
-                i, j = np.searchsorted(ids, a[pairs]), np.searchsorted(ids, b[pairs])
-                if len(ids) <= 2 or len(pairs) < len(ids):
-                    both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.float64)
-                else:
-                    both = np.zeros(len(pairs))
-                    for x in range(0, len(ids), BLOCK):
-                        for y in range(x, len(ids), BLOCK):
-                            at = np.flatnonzero((i >= x) & (i < x + BLOCK) & (j >= y) & (j < y + BLOCK))
-                            if len(at):
-                                both[at] = _overlaps(sets[x : x + BLOCK], sets[y : y + BLOCK])[i[at] - x, j[at] - y]
-                sim = both / (size[i] + size[j] - both)
-                ok = sim >= threshold
-                i, j = own[i[ok]], own[j[ok]]
-                swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (body[i] > body[j]))
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                for column, x in zip(out, (a[i], a[j], doc[i], doc[j], body[i], body[j], sim[ok])):
-                    column.append(x)
+        for t in by_key(batches, "job"):
+            job, key, weight, block, low, high = (t.column(c).combine_chunks().to_numpy() for c in ("job", "key", "copies", "block", "low", "high"))
+            comp = t.column("rep").combine_chunks().to_numpy()
+            tokens = t.column("tokens")
+            out: list[list[np.ndarray]] = [[], [], []]
+            for lo, hi in spans(job):
+                # Equal job hashes of several jobs are told apart.
+                at = np.lexsort((key[lo:hi], block[lo:hi], high[lo:hi], low[lo:hi], comp[lo:hi])) + lo
+                new = np.r_[True, (comp[at[1:]] != comp[at[:-1]]) | (low[at[1:]] != low[at[:-1]]) | (high[at[1:]] != high[at[:-1]])]
+                for s in np.split(at, np.flatnonzero(new)[1:]):
+                    # A document that came in several rows is one.
+                    s = s[np.r_[True, key[s[1:]] != key[s[:-1]]]]
+                    cross = low[s[0]] != high[s[0]]
+                    split = int((block[s] == low[s[0]]).sum()) if cross else 0
+                    if len(s) < 2 or cross and split in (0, len(s)):
+                        continue
+                    sets = [np.frombuffer(tokens[int(k)].as_py(), np.uint64) for k in s]
+                    size = np.array([len(x) for x in sets], np.float64)
+                    a, b = (np.arange(split), np.arange(split, len(s))) if cross else (np.arange(len(s)), np.arange(len(s)))
+                    if size[a].max() < threshold * size[b].min() - _EPS:
+                        continue
+                    both = overlaps(sets, split).astype(np.float64)
+                    sim = both / (size[a][:, None] + size[b][None] - both)
+                    link = sim >= threshold
+                    if not cross:
+                        np.fill_diagonal(link, False)
+                    if pairs:
+                        i, j = np.nonzero(link if cross else np.triu(link))
+                        found = key[s[a[i]]], key[s[b[j]]], sim[i, j]
+                    else:
+                        links = np.zeros(len(s), np.int64)
+                        links[a] = link @ weight[s[b]].astype(np.float64)
+                        if cross:
+                            links[b] = weight[s[a]].astype(np.float64) @ link
+                        label, old = np.arange(len(s)), None
+                        while old is None or (label != old).any():
+                            old = label
+                            label = label.copy()
+                            label[a] = np.minimum(label[a], np.where(link, label[b][None], len(s)).min(1))
+                            label[b] = np.minimum(label[b], np.where(link, label[a][:, None], len(s)).min(0))
+                        some = np.flatnonzero(links)
+                        found = key[s[some]], key[s[label[some]]], links[some]
+                    for column, x in zip(out, found):
+                        column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], [x.split()[0] for x in _PAIRS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "b", "jaccard" if pairs else "links"])
 
     return fn
 
@@ -317,68 +448,79 @@ def body_hash(column: str = "text") -> Column:
     return F.xxhash64(F.col(column).cast("string"))
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, branch: int = BRANCH, brute: int = BRUTE, local: int = LOCAL, seed: int = 7) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs of texts: (a, b) numbers of their rows, (doc_a, body_a) < (doc_b, body_b) their doc_ids and hashes, jaccard.
+def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, brute: int = BRUTE, pairs: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The documents (doc_id, body, key of the set, copies: documents of the set, doc and first: the least of them), and the links of records.
 
-    Texts of equal sets come once, as pairs with the least of them. Also the tables that can be released once the pairs are written.
+    The latter as pairs (a, b, jaccard), or (a, b, links), a record's links in a job and one of its class. Also the tables that can be released once these are read.
     """
     spark = ship(docs.sparkSession)
-    with np.errstate(over="ignore"):
-        roots = mix(np.arange(1, runs(threshold, recall, branch) + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body_hash().alias("body"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    made = clean.mapInArrow(_sets(n, roots, branch), "doc_id long, body long, skey binary, paths array<long>, sketch binary, tokens binary")
-    sets = materialise(made.withColumn("rec", F.monotonically_increasing_id()), "sets")
-
-    # Of equal sets one is the record; the others are told from it by their numbers, in no later step.
-    names = sets.select("skey", "rec", "doc_id", "body")
-    named = names.groupBy("skey").agg(F.min(F.struct("doc_id", "body", "rec")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("skey", "first")
-    others = materialise(names.join(named, "skey").where("rec <> first.rec"), "copies")
-    equal = others.where("doc_id <> first.doc_id or body <> first.body").dropDuplicates(["skey", "doc_id", "body"])
-    equal = equal.select(F.col("first.rec").alias("a"), F.col("rec").alias("b"), F.col("first.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("first.body").alias("body_a"), F.col("body").alias("body_b"), F.lit(1.0).alias("jaccard"))
-    records = sets.join(broadcast_if_small(others.select("rec"), 24), "rec", "left_anti")
-
-    # Records alone on a path carry no sketch through a shuffle.
-    start = records.select("rec", F.explode("paths").alias("path")).select("path", "rec")
-    rows = materialise(keyed(start, "path", _shared, "path long, rec long"), "shared")
+    documents, chars = clean.agg(F.count("*"), F.sum(F.length("text"))).first()
+    parts = max(12, math.ceil((chars or 0) / 14 / ENTRIES))
+    order = spark.sparkContext.broadcast(_order(clean, n, documents))
+    out = materialise(keyed(clean.mapInArrow(_post(n, threshold, parts, order), _POSTED), "part", _lists(threshold, brute), _FOUND, parts), "found")
+    order.unpersist()
+    release(spark)
+    names = out.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("body"), "key", "size", F.col("n").alias("copies"), "doc", F.col("body").alias("first"))
+    long = out.where("kind = 1").select(F.col("b").alias("list"), F.col("a").alias("key"), F.col("n").alias("place"), "size")
+    first = long.withColumn("first", F.min("key").over(Window.partitionBy("list"))).where("key <> first")
+    ties = materialise(first.groupBy("first", "key").count().where(F.col("count") >= SHARED).select(F.col("first").alias("a"), F.col("key").alias("b")), "ties")
+    tied = groups(ties.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))).select(F.col("doc_id").alias("key"), F.col("rep").alias("tied"))
+    marked = long.join(broadcast_if_small(tied, 24), "key", "left").withColumn("tied", F.coalesce("tied", "key"))
+    met = out.where("kind = 0").select("a", "b", "n", "need").unionByName(keyed(marked, "list", _cross(threshold), "a long, b long, n int, need int"))
+    near = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b")
+    group = materialise(groups(near.unionByName(ties).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))).select(F.col("doc_id").alias("key"), "rep"), "groups")
     release(spark)
-    some = broadcast_if_small(rows.select("rec").distinct(), 24)
-    level = rows.join(sets.select("rec", "sketch").join(some, "rec", "left_semi"), "rec").select("path", "rec", "sketch")
-    found: DataFrame | None = None
-    done = [rows]
-    while found is None or not level.isEmpty():
-        out = materialise(keyed(level, "path", _buckets(threshold, brute, branch, local), "kind byte, path long, a long, b long, sketch binary"), "level")
-        release(spark)
-        done.append(out)
-        pairs = out.where("kind = 0").select("path", "a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        level = out.where("kind = 1").select("path", F.col("a").alias("rec"), "sketch")
-    once = materialise(found.groupBy("a", "b").agg(F.min("path").alias("path")), "candidates")
-    release(spark, *done)
-    need = once.select("path", F.explode(F.array("a", "b")).alias("a")).distinct()
-    # Only sets that some pair asks for go through a shuffle.
-    asked = broadcast_if_small(need.select(F.col("a").alias("rec")).distinct(), 24)
-    bodies = sets.select("rec", "doc_id", "body", "tokens").join(asked, "rec", "left_semi").withColumnRenamed("rec", "a")
-    with_sets = need.join(bodies, "a").select("path", "a", F.lit(-1).cast("long").alias("b"), "doc_id", "body", "tokens")
-    none = F.lit(0).cast("long")
-    pairs = once.select("path", "a", "b", none.alias("doc_id"), none.alias("body"), F.lit(None).cast("binary").alias("tokens"))
-    return keyed(with_sets.unionByName(pairs), "path", _verify(threshold), _PAIRS).unionByName(equal), [sets, others, once]
-
-
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, branch: int = BRANCH, brute: int = BRUTE, local: int = LOCAL, seed: int = 7) -> DataFrame:
-    """Pairs (doc_a < doc_b, jaccard) of documents whose n-gram sets have a Jaccard of at least threshold."""
-    return joined(docs, threshold, n, recall, branch, brute, local, seed)[0].where("doc_a <> doc_b").select("doc_a", "doc_b", "jaccard")
+
+    of = Window.partitionBy("rep")
+    before = F.sum(F.col("size") + RECORD).over(of.orderBy("size", "key").rowsBetween(Window.unboundedPreceding, -1))
+    one = names.where("doc_id = doc and body = first").join(broadcast_if_small(group, 24), "key")
+    placed = one.withColumn("block", (F.coalesce(before, F.lit(0)) / TOKENS).cast("int"))
+    members = materialise(placed.withColumn("blocks", F.max("block").over(of) + 1).select("doc_id", "body", "key", "copies", "rep", "block", "blocks"), "members")
+    made = clean.join(broadcast_if_small(members, 40), ["doc_id", "body"])
+    made = made.mapInArrow(_with_sets(n), "doc_id long, body long, key long, copies int, rep long, block int, blocks int, tokens binary")
+    jobs = made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "block", "key", "copies", "tokens")
+    jobs = jobs.withColumn("job", F.xxhash64("rep", "low", "high")).select("job", "rep", "low", "high", "block", "key", "copies", "tokens")
+    links = materialise(keyed(jobs, "job", _compare(threshold, pairs), "a long, b long, jaccard double" if pairs else "a long, b long, links long"), "links")
+    release(spark, members, group)
+    return names, links, [out, links]
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, brute: int = BRUTE) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, body, class_id, class_body, links) of every document. Also the tables that can be released once this is written."""
+    names, links, done = joined(docs, threshold, n, brute)
+    label = groups(links.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).distinct()).select(F.col("doc_id").alias("key"), "rep")
+    count = links.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("others"))
+    least = names.where("doc_id = doc and body = first").join(broadcast_if_small(label, 24), "key").select("key", "rep", "doc", "first")
+    name = least.groupBy("rep").agg(F.min(F.struct("doc", "first")).alias("least"))
+    linked = materialise(least.select("key", "rep").join(name, "rep").join(count, "key").select("key", "least", "others"), "classes")
+    out = names.join(broadcast_if_small(linked, 40), "key", "left")
+    return out.select("doc_id", "body", F.coalesce("least.doc", "doc").alias("class_id"), F.coalesce("least.first", "first").alias("class_body"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links")), [*done, linked]
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, brute: int = BRUTE) -> DataFrame:
+    """A row for each document: doc_id, class_id (the least doc_id that links connect it with) and links, the other documents whose n-gram sets have a Jaccard of at least threshold with its."""
+    out, _ = classes(docs, threshold, n, brute)
+    doc_id = F.col("doc_id").cast("long")
+    alone = docs.where("doc_id is null or text is null").select(doc_id.alias("doc_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return out.select("doc_id", "class_id", "links").unionByName(alone)
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, brute: int = BRUTE) -> DataFrame:
+    """Pairs (doc_a < doc_b, jaccard) of documents whose n-gram sets have a Jaccard of at least threshold. They grow as the square of a class; links() doesn't."""
+    names, pairs, _ = joined(docs, threshold, n, brute, True)
+    first = names.where("doc_id = doc and body = first").select("key", "doc")
+    ends = pairs.join(first.toDF("a", "doc_a"), "a").join(first.toDF("b", "doc_b"), "b")
+    other = names.where("doc_id <> doc").select(F.col("doc").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return ends.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard").where("doc_a <> doc_b").unionByName(other)
 
 
 def copies(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, body): the texts that have a text of lesser (doc_id, body) in their group of near duplicates."""
-    made, done = joined(docs, **how)
-    pairs = materialise(made.select("a", "b", "doc_a", "doc_b", "body_a", "body_b"), "texts")
+    """(doc_id, body): the texts that have a text of lesser (doc_id, body) in their class."""
+    out, done = classes(docs, **how)
+    lost = materialise(out.where("doc_id <> class_id or body <> class_body").select("doc_id", "body"), "lost")
     release(docs.sparkSession, *done)
-    label = groups(pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))).select(F.col("doc_id").alias("rec"), "rep")
-    ends = [pairs.select(F.col(x).alias("rec"), F.col(f"doc_{x}").alias("doc_id"), F.col(f"body_{x}").alias("body")) for x in "ab"]
-    texts = label.join(ends[0].unionByName(ends[1]).dropDuplicates(["rec"]), "rec")
-    first = texts.groupBy("rep").agg(F.min(F.struct("doc_id", "body")).alias("first"))
-    return texts.join(first, "rep").where("doc_id <> first.doc_id or body <> first.body").select("doc_id", "body")
+    return lost
 
 
 def groups(pairs: DataFrame) -> DataFrame:

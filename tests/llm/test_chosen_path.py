@@ -46,3 +46,13 @@ def test_odd_rows(odd, empty):
 
 def test_runs_rise_with_recall_and_fall_with_threshold():
     assert cp.runs(0.6, 0.99) >= cp.runs(0.6, 0.9) >= cp.runs(0.9, 0.9) >= 1
+
+
+def test_no_pair_at_the_threshold_is_left_out(make):
+    """Each pair shares 9 of 15 n-grams; of 2,000, a join that meets pairs by chance misses some."""
+    texts = []
+    for i in range(2_000):
+        w = [f"w{i}_{k}" for k in range(14)]
+        texts += [" ".join(w), " ".join(w[:7] + ["x"] + w[8:])]
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in cp.jaccard_join(make(texts)).collect()}
+    assert got == {(i, i + 1): 0.6 for i in range(0, 4_000, 2)}
