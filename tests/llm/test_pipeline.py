@@ -73,3 +73,19 @@ def test_stages_with_extra_columns(spark, sf, documents, odd):
 def test_stages_on_an_empty_table(spark, sf, empty):
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_near_duplicates_of_a_large_group_writes_no_table_of_its_pairs(spark, sf, make, monkeypatch):
+    n, counts = 600, {}
+    base = [f"w{i}" for i in range(60)]
+    docs = make([" ".join(base[: k % 60] + [f"x{k}"] + base[k % 60 + 1 :]) for k in range(n)])
+    write = chosen_path.materialise
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        counts[name] = max(out.count(), counts.get(name, 0))
+        return out
+
+    monkeypatch.setattr(chosen_path, "materialise", counted)
+    assert [r.doc_id for r in cp.near_duplicates(spark, docs, sf).collect()] == [0]
+    assert max(counts.values()) < 40 * n
