@@ -10,8 +10,9 @@ a cluster's don't grow as its square. Candidates and ties connect records to gro
 within a group all sets are compared, in blocks of about TOKENS n-grams. The sample only sets the order, any of
 which is right. Nothing is left to chance but equal 64-bit hashes of words, n-grams or sets.
 
-Memory: a task holds the postings of a part of the n-grams (about ENTRIES, and one list at least) or two blocks; links are counted
-where they are found and only a spanning forest of them is kept, so no table grows as their number.
+Memory: a task holds the order (RANKED n-grams at most), the postings of a part of the n-grams (about ENTRIES, and one list at least)
+with about PAIRS of their pairs at a time, or two blocks; links are counted where they are found and only a spanning forest of them
+is kept, so no table grows as their number.
 
 Defined results: a document is a doc_id and a text; repeated rows are one. classes() has a row for each, also for those
 without a word, which are alone; rows with a null doc_id or text are in no class and op5 gives each a row with 0 links. A class is what
@@ -45,8 +46,12 @@ BRUTE = 32
 SHARED = 4
 #: Least and most texts whose n-grams are counted for the order, and between them the share of all texts, one in so many.
 SAMPLE, SAMPLE_MOST, SAMPLE_SHARE = 20_000, 200_000, 12
+#: N-grams of the order, those of the highest counts; the others come first, by hash.
+RANKED = 4_000_000
 #: Postings of a part, about, and n-grams that a task gathers before it sends their postings on.
-ENTRIES, HELD = 1_000_000, 500_000
+ENTRIES, HELD = 500_000, 500_000
+#: Pairs of postings counted at once, and counted pairs that are held before they are sent on.
+PAIRS = 500_000
 #: N-grams of a block, each record counting as RECORD more; and texts whose sets are made at once.
 TOKENS, RECORD, TEXTS = 500_000, 400, 500
 #: Incidence columns multiplied at once.
@@ -110,7 +115,7 @@ def _planes(s: np.ndarray) -> bytes:
 
 
 def _unplaned(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int32)
 
 
 def _parts(token: np.ndarray, parts: int) -> np.ndarray:
@@ -145,13 +150,20 @@ def _sampled(n: int, parts: int):
     return fn
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens of a part that occur twice or more, and how often."""
-    for t in by_key(batches, "part"):
-        for lo, hi in spans(t.column("part").combine_chunks().to_numpy()):
-            token, count = np.unique(np.frombuffer(b"".join(t.column("tokens").slice(lo, hi - lo).to_pylist()), np.uint32), return_counts=True)
-            token, count = token[count > 1], count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.array([token.tobytes()], pa.binary()), pa.array([np.minimum(count, 65_535).astype(np.uint16).tobytes()], pa.binary())], ["tokens", "counts"])
+def _frequent(most: int):
+    """The tokens of a part that occur twice or more, and how often; where those are over most, the most frequent, ties by token."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, "part"):
+            for lo, hi in spans(t.column("part").combine_chunks().to_numpy()):
+                token, count = np.unique(np.frombuffer(b"".join(t.column("tokens").slice(lo, hi - lo).to_pylist()), np.uint32), return_counts=True)
+                token, count = token[count > 1], np.minimum(count[count > 1], 65_535).astype(np.uint16)
+                if len(token) > most:
+                    at = np.sort(np.argsort(65_535 - count, kind="stable")[:most])
+                    token, count = token[at], count[at]
+                yield pa.RecordBatch.from_arrays([pa.array([token.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], ["tokens", "counts"])
+
+    return fn
 
 
 def sampled(documents: int) -> int:
@@ -159,10 +171,10 @@ def sampled(documents: int) -> int:
 
 
 def _order(clean: DataFrame, n: int, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted tokens that occur in several texts of the sample, and in how many."""
+    """Sorted tokens that occur in several texts of the sample, and in how many; RANKED at most, as each task holds them."""
     parts = 16
     few = clean.where(F.pmod(F.xxhash64("body"), F.lit(max(1, documents // sampled(documents)))) == 0).select("text")
-    rows = keyed(few.mapInArrow(_sampled(n, parts), "part int, tokens binary"), "part", _frequent, "tokens binary, counts binary", parts).collect()
+    rows = keyed(few.mapInArrow(_sampled(n, parts), "part int, tokens binary"), "part", _frequent(RANKED // parts), "tokens binary, counts binary", parts).collect()
     token, count = (np.frombuffer(b"".join(bytes(r[k]) for r in rows), d) for k, d in ((0, np.uint32), (1, np.uint16)))
     at = np.argsort(token)
     return token[at], count[at]
@@ -238,18 +250,53 @@ def _passing(place: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray,
     return (place[i] < size[i] - o + k) & (place[j] < size[j] - o + k), k
 
 
-def _counted(rec: np.ndarray, n: int, pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Of pairs (i, j, need) of postings: pairs a < b of the n records, how often they come and what they need."""
-    if not pairs:
-        return (np.zeros(0, np.int64),) * 4
-    i, j, need = (np.concatenate(x) for x in zip(*pairs))
-    code, where, count = np.unique(np.minimum(rec[i], rec[j]) * n + np.maximum(rec[i], rec[j]), return_index=True, return_counts=True)
-    return code // n, code % n, count, need[where]
+def _counted(rec: np.ndarray, n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of pairs (i, j, need) of postings: pairs a < b of the n records, how often they come and what they need.
 
-
-def listed(token: np.ndarray, key: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: float, brute: int) -> tuple[tuple, tuple]:
-    """Of postings: pairs a < b of records, the n-grams they share in their prefixes and those they need; and
-    the long lists as (key, list, place, size)."""
+    About PAIRS are counted at once, and sent on where as many different ones are held: a pair may then come again, and its counts add up.
+    """
+    none = np.zeros(0, np.int64)
+    done, fresh, held = (none, none, none), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code, count, need = (np.concatenate(x) for x in zip(done, *fresh))
+        at = np.argsort(code, kind="stable")
+        code = code[at]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        return code[first], np.add.reduceat(count[at], first), need[at[first]]
+
+    for i, j, need in pairs:
+        fresh.append((np.minimum(rec[i], rec[j]) * n + np.maximum(rec[i], rec[j]), np.ones(len(i), np.int64), need))
+        held += len(i)
+        if held >= PAIRS:
+            done, fresh, held = merged(), [], 0
+            if len(done[0]) >= PAIRS:
+                yield done[0] // n, done[0] % n, *done[1:]
+                done = none, none, none
+    if held:
+        done = merged()
+    if len(done[0]):
+        yield done[0] // n, done[0] % n, *done[1:]
+
+
+def _near(rec: np.ndarray, place: np.ndarray, size: np.ndarray, rest: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, need) of each posting i with the rest that follow it in its list, in turns of about PAIRS."""
+    starts = np.flatnonzero(rest > 0)
+    for lo, hi in spans(np.cumsum(rest[starts], dtype=np.int64) // PAIRS):
+        i, d = starts[lo:hi], 1
+        while len(i):
+            ok, need = _passing(place, size, i, i + d, threshold)
+            ok &= rec[i] != rec[i + d]
+            yield i[ok], i[ok] + d, need[ok]
+            d += 1
+            i = i[rest[i] >= d]
+
+
+def listed(token: np.ndarray, key: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: float, brute: int) -> tuple[Iterator[tuple], tuple]:
+    """Of postings: pairs a < b of records, the n-grams they share in their prefixes and those they need, in turns whose
+    counts add up; and the long lists as (key, list, place, size)."""
+    if not len(token):
+        return iter(()), (token, token, token, token)
     at = np.lexsort((place, key, size, token))
     token, key, place, size = token[at], key[at], place[at], size[at]
     # Copies of a set post the same.
@@ -258,54 +305,41 @@ def listed(token: np.ndarray, key: np.ndarray, place: np.ndarray, size: np.ndarr
     # A list ends where the next size is too large for any partner before.
     edge = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (size[:-1] < threshold * size[1:] - _EPS), True])
     length = np.diff(edge)
-    rest = np.repeat(edge[1:], length) - np.arange(len(token)) - 1
+    rest = (np.repeat(edge[1:], length) - np.arange(len(token)) - 1).astype(np.int32)
     long = np.repeat(length > brute, length)
+    rest[long] = 0
+    name = token[long].astype(np.int64) << 31 | np.repeat(size[edge[:-1]], length)[long]
+    lists = key[long], name, place[long], size[long]
     ids, rec = np.unique(key, return_inverse=True)
-    pairs = []
-    i = np.flatnonzero(~long & (rest > 0))
-    d = 1
-    while len(i):
-        ok, need = _passing(place, size, i, i + d, threshold)
-        ok &= rec[i] != rec[i + d]
-        pairs.append((i[ok], i[ok] + d, need[ok]))
-        d += 1
-        i = i[rest[i] >= d]
-    a, b, count, need = _counted(rec, len(ids), pairs)
-    name = token.astype(np.int64) << 31 | np.repeat(size[edge[:-1]], length)
-    return (ids[a], ids[b], count, need), (key[long], name[long], place[long], size[long])
+    return ((ids[a], ids[b], count, need) for a, b, count, need in _counted(rec, len(ids), _near(rec, place, size, rest, threshold))), lists
 
 
 def _cross(threshold: float):
     """Rows of long lists: the pairs of records that ties don't connect."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(key: np.ndarray, pairs: list) -> pa.RecordBatch:
-            ids, rec = np.unique(key, return_inverse=True)
-            a, b, count, need = _counted(rec, len(ids), pairs)
-            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(count.astype(np.int32)), pa.array(need.astype(np.int32))], ["a", "b", "n", "need"])
-
         for t in by_key(batches, "list"):
             name, key, place, size, tied = (t.column(c).combine_chunks().to_numpy() for c in ("list", "key", "place", "size", "tied"))
             place, size = place.astype(np.int64), size.astype(np.int64)
-            pairs, held = [], 0
-            for lo, hi in spans(name):
-                own = tied[lo:hi]
-                kinds, inv, count = np.unique(own, return_inverse=True, return_counts=True)
-                most = kinds[np.argmax(count)]
-                # Each pair once: the records out of the largest tie with all that follow in an order that puts them first.
-                out = own != most
-                order = np.argsort(~out, kind="stable")
-                for x in range(int(out.sum())):
-                    i, j = lo + order[x], lo + order[x + 1 :]
-                    j = j[tied[j] != tied[i]]
-                    ok, need = _passing(place, size, np.full(len(j), i), j, threshold)
-                    pairs.append((np.full(int(ok.sum()), i), j[ok], need[ok]))
-                    held += len(pairs[-1][0])
-                    if held > ENTRIES:
-                        yield rows(key, pairs)
-                        pairs, held = [], 0
-            if held:
-                yield rows(key, pairs)
+            ids, rec = np.unique(key, return_inverse=True)
+
+            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                for lo, hi in spans(name):
+                    own = tied[lo:hi]
+                    kinds, count = np.unique(own, return_counts=True)
+                    most = kinds[np.argmax(count)]
+                    # Each pair once: the records out of the largest tie with all that follow in an order that puts them first.
+                    out = own != most
+                    order = np.argsort(~out, kind="stable")
+                    for x in range(int(out.sum())):
+                        i, j = lo + order[x], lo + order[x + 1 :]
+                        j = j[tied[j] != tied[i]]
+                        ok, need = _passing(place, size, np.full(len(j), i), j, threshold)
+                        if ok.any():
+                            yield np.full(int(ok.sum()), i), j[ok], need[ok]
+
+            for a, b, count, need in _counted(rec, len(ids), pairs()):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(count.astype(np.int32)), pa.array(need.astype(np.int32))], ["a", "b", "n", "need"])
 
     return fn
 
@@ -315,6 +349,17 @@ def _cross(threshold: float):
 _FOUND = "kind byte, a long, b long, n int, need int, key long, size int, doc long, body long"
 
 
+def _unpacked(part: pa.Table) -> tuple[np.ndarray, ...]:
+    """token, key, place and size of the postings whose n-gram occurs in several; most occur once."""
+    token = np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.uint32)
+    at = np.argsort(token, kind="stable")
+    same = token[at[1:]] == token[at[:-1]]
+    at = at[np.r_[False, same] | np.r_[same, False]]
+    key = np.frombuffer(b"".join(part.column("keys").to_pylist()), np.int64)[at]
+    place, size = (np.concatenate([_unplaned(x) for x in part.column(c).to_pylist()])[at] for c in ("places", "sizes"))
+    return token[at], key, place, size
+
+
 def _lists(threshold: float, brute: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _FOUND.split(", ")]
@@ -341,16 +386,9 @@ def _lists(threshold: float, brute: int):
                 part = part.filter(part.column("tokens").is_valid())
                 if not len(part):
                     continue
-                token, key = (np.frombuffer(b"".join(part.column(c).to_pylist()), d) for c, d in (("tokens", np.uint32), ("keys", np.int64)))
-                place, size = (np.concatenate([_unplaned(x) for x in part.column(c).to_pylist()]) for c in ("places", "sizes"))
-                # Most n-grams occur once.
-                at = np.argsort(token, kind="stable")
-                same = token[at[1:]] == token[at[:-1]]
-                at = at[np.r_[False, same] | np.r_[same, False]]
-                if not len(at):
-                    continue
-                (a, b, n, need), (x, name, where, sizes) = listed(token[at], key[at], place[at], size[at], threshold, brute)
-                if len(a):
+                pairs, (x, name, where, sizes) = listed(*_unpacked(part), threshold, brute)
+                del part
+                for a, b, n, need in pairs:
                     yield out(0, a, b, n, need)
                 if len(x):
                     yield out(1, x, name, where, size=sizes)

@@ -1,5 +1,11 @@
 import itertools
 import re
+import tracemalloc
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 from lodestone.llm import chosen_path as cp
 from lodestone.llm.queries import QUERIES
@@ -100,3 +106,42 @@ def test_op5_has_a_row_for_each_document(spark, make, tmp_path):
     make([" ".join(base[: k % 60] + [f"x{k}"] + base[k % 60 + 1 :]) for k in range(n)]).write.parquet(f"{tmp_path}/documents.parquet")
     out = QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in out) == [(k, 0, n - 1) for k in range(n)]
+
+
+def test_pairs_of_a_part_are_counted_in_bounded_memory(monkeypatch):
+    """Lists of 30 records: 100,000 postings make 1,450,000 pairs, which a task doesn't hold together."""
+    monkeypatch.setattr(cp, "PAIRS", 50_000, raising=False)
+    rng = np.random.default_rng(0)
+    token = np.repeat(rng.permutation(100_000)[:3_334].astype(np.uint32), 30)
+    key = (rng.integers(0, 40, 3_334)[:, None] * 30 + np.arange(30)).astype(np.int64).ravel()
+    place, size = np.zeros(len(token), np.int64), np.full(len(token), 350, np.int64)
+    packed = [token.tobytes(), key.tobytes(), cp._planes(place), cp._planes(size)]
+    columns = [pa.array([0], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.int32()), *(pa.array([x], pa.binary()) for x in packed)]
+    batch = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in cp._POSTED.split(", ")])
+    want = Counter()
+    for own in key.reshape(-1, 30):
+        want.update(itertools.combinations(own.tolist(), 2))
+    got = Counter()
+    tracemalloc.start()
+    try:
+        for b in cp._lists(cp.THRESHOLD, 32)(iter([batch])):
+            b = b.filter(pa.compute.equal(b.column("kind"), 0))
+            for a, c, n in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("n").to_pylist()):
+                got[a, c] += n
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == want
+    assert peak < 40e6
+
+
+def test_pairs_that_come_in_several_turns_and_a_short_order_give_the_same_links(make, monkeypatch):
+    monkeypatch.setattr(cp, "PAIRS", 50, raising=False)
+    monkeypatch.setattr(cp, "RANKED", 64, raising=False)
+    texts = clusters()
+    docs = make(texts)
+    clean = docs.selectExpr("doc_id", "xxhash64(text) body", "text").where("doc_id is not null and text is not null")
+    token, count = cp._order(clean, cp.NGRAM, len(texts))
+    assert 0 < len(token) <= 64 and (token[1:] > token[:-1]).all() and count.min() > 1
+    for brute in (8, 400):
+        assert {tuple(r) for r in cp.links(docs, brute=brute).collect()} == expected([(None if t is Ellipsis else i, None if t is Ellipsis else t) for i, t in enumerate(texts)])
