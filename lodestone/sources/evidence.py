@@ -92,12 +92,14 @@ def read_traces(spark: SparkSession, path: str, schema: str = TRACE) -> DataFram
     return spark.read.schema(schema).json(path)
 
 
-def write_traces(events: DataFrame, path: str, order: str = "ts_ns", most: int = 10 << 20) -> None:
-    """JSON lines of each module within most bytes, in order; truncated tells of a cut."""
-    rows = events.withColumn("_json", F.to_json(F.struct(*events.columns)))
-    from lodestone.operators.ledger import byte_cap
-
-    byte_cap(rows, "module", order, "_json", most).drop("_json").write.json(path)
+def write_traces(events: DataFrame, path: str, order: str = "ts_ns", most: int | None = None) -> None:
+    """JSON lines by module and order, all of them; given most, of each module only those within most bytes. truncated tells of a cut."""
+    rows = events.withColumn("truncated", F.lit(False))
+    if most is not None:
+        from lodestone.operators.ledger import byte_cap
+
+        rows = byte_cap(events.withColumn("_json", F.to_json(F.struct(*events.columns))), "module", order, "_json", most).drop("_json")
+    rows.repartitionByRange("module", order).sortWithinPartitions("module", order).write.json(path)
 
 
 def in_scope(module: Column, path: Column, exclude: list[str], include: list[str], stdlib: list[str], third_party: bool = False, keep_stdlib: bool = False) -> Column:

@@ -74,3 +74,13 @@ def test_repository_files(spark, tmp_path):
 def test_scope(spark):
     d = spark.createDataFrame([("app.x", "app/x.py"), ("os.path", "os.py"), ("req", "/site-packages/req.py"), ("bad.y", "bad/y.py")], "m string, p string")
     assert [r.k for r in d.select(e.in_scope(F.col("m"), F.col("p"), ["bad"], ["app"], ["os"]).alias("k")).collect()] == [True, False, False, False]
+
+
+def test_traces_are_written_whole(spark, tmp_path):
+    rows = spark.range(30000).select(F.col("id").cast("string").alias("event_id"), F.lit("call").alias("event_type"), F.when(F.col("id") % 50 > 0, "m").alias("module"), F.repeat(F.lit("f"), 400).alias("function"), F.lit("a.py").alias("file_path"), F.lit(1).alias("line_number"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("exception"), F.col("id").alias("ts_ns"))
+    e.write_traces(rows, str(tmp_path / "whole"))
+    got = e.read_traces(spark, str(tmp_path / "whole"))
+    assert got.exceptAll(rows).count() == 0 and got.count() == 30000
+    e.write_traces(rows, str(tmp_path / "cut"), most=1 << 20)
+    cut = spark.read.json(str(tmp_path / "cut"))
+    assert 0 < cut.where("module = 'm' and truncated").count() < 2200 and cut.where("module is null and not truncated").count() == 600
