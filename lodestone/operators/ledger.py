@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import materialise
+
 
 def _by_seq():
     return Window.partitionBy("run_id").orderBy("seq")
@@ -150,9 +152,27 @@ def process_compliance(events: DataFrame, required: list[str]) -> DataFrame:
 
 
 def recover(cursors: DataFrame, log: DataFrame, as_of: Column, window_s: int) -> DataFrame:
-    """Per client and resource: resync without a cursor or when the oldest missed event is beyond the window, else the missed events' number."""
-    j = cursors.join(log, "resource", "left").withColumn("_m", F.col("ts") > F.col("last_ts"))
-    g = j.groupBy("client", "resource").agg(F.first("last_ts").alias("last_ts"), F.count("ts").alias("logged"), F.count_if("_m").alias("missed"), F.min(F.when(F.col("_m"), F.col("ts"))).alias("oldest"))
+    """Per client and resource: resync without a cursor or when the oldest missed event is beyond the window, else the missed events' number.
+
+    Cursors and distinct log times are sorted together by resource and time. What lies after a cursor is then the running sum
+    of its own partition and the totals of later ones, so no cursor meets the events one by one. Of several cursors of a client
+    and resource the latest stands.
+    """
+    points = log.where("resource is not null and ts is not null").groupBy("resource", "ts").agg(F.count("*").alias("n"))
+    marks = cursors.groupBy("client", "resource").agg(F.max("last_ts").alias("ts"))
+    points = points.select("resource", "ts", F.lit(0).alias("mark"), F.lit(None).cast(marks.schema["client"].dataType).alias("client"), "n")
+    both = points.unionByName(marks.select("resource", "ts", F.lit(1).alias("mark"), "client", F.lit(0).cast("long").alias("n")))
+    order = ["resource", "ts", "mark", "client"]
+    rows = materialise(both.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "recover")
+    event = F.when(F.col("mark") == 0, F.col("ts"))
+    parts = rows.groupBy("resource", "_p").agg(F.sum("n").alias("n"), F.min(event).alias("oldest"))
+    later = Window.partitionBy("resource").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    after = parts.select(F.col("resource").alias("_r"), F.col("_p").alias("_q"), F.sum("n").over(later).alias("_n"), F.min("oldest").over(later).alias("_oldest"))
+    own = Window.partitionBy("resource", "_p").orderBy(F.desc("ts"), F.desc("mark"), F.desc("client")).rowsBetween(Window.unboundedPreceding, 0)
+    g = rows.withColumn("_own", F.sum("n").over(own)).withColumn("oldest", F.min(event).over(own)).where("mark = 1")
+    g = g.join(after, F.col("resource").eqNullSafe(F.col("_r")) & (F.col("_p") == F.col("_q")), "left")
+    g = g.select("client", "resource", "ts", (F.col("_own") + F.coalesce("_n", F.lit(0))).alias("later"), F.coalesce("oldest", "_oldest").alias("oldest"))
     late = F.unix_timestamp(as_of) - F.unix_timestamp("oldest") > window_s
-    action = F.when(F.col("logged") == 0, "none").when(F.col("last_ts").isNull(), "resync").when(F.col("missed") == 0, "none").when(late, "resync").otherwise("replay")
-    return g.select("client", "resource", action.alias("action"), F.when(action == "replay", F.col("missed")).otherwise(0).alias("replayed"))
+    # Without a time a cursor comes before all events of its resource.
+    action = F.when(F.col("later") == 0, "none").when(F.col("ts").isNull(), "resync").when(late, "resync").otherwise("replay")
+    return g.select("client", "resource", action.alias("action"), F.when(action == "replay", F.col("later")).otherwise(0).alias("replayed"))
