@@ -22,24 +22,43 @@ def intents(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", "repo_id", question_class(F.col("text"))["best"].alias("class"), F.get(tokens, F.lit(0)).alias("start_symbol"), F.get(tokens, F.lit(1)).alias("target_symbol"), crossing.alias("cross_language"), F.array_distinct(tokens).alias("tokens"))
 
 
+def _least(keyed: DataFrame, most: int) -> DataFrame:
+    """(repo_id, key, ids): the most least distinct node_ids of each key of keyed (repo_id, key, node_id)."""
+    k = F.dense_rank().over(Window.partitionBy("repo_id", "key").orderBy("node_id"))
+    return keyed.withColumn("_k", k).where(F.col("_k") <= most).groupBy("repo_id", "key").agg(F.collect_set("node_id").alias("ids"))
+
+
 def evidence(asked: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
     """(question_id, node_id, confidence): nodes of the question's repository that its tokens name.
 
     A file question asks for paths that end in a token, every other one for a label or qualified name.
     Those are parser-grade; a label equal but for case and marks is heuristic and counts only where nothing
     is exact. most by confidence, then node_id.
+
+    No question takes more than most nodes of a token, so each distinct token is looked up once and has its least most nodes
+    before it meets the questions that name it.
     """
-    t = asked.select("question_id", "repo_id", "class", F.explode("tokens").alias("token"))
+    t = asked.select("question_id", "repo_id", (F.col("class") == "file_location").alias("file"), F.explode("tokens").alias("token"))
     squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     base = lambda c: F.substring_index(c, "/", -1)
-    n = nodes.select("node_id", F.col("repo_id").alias("r"), "label", "qualified_name", "file_path")
-    files = t.where("class = 'file_location'").withColumn("b", base("token")).join(n.withColumn("b", base("file_path")), "b").where((F.col("r") == F.col("repo_id")) & F.col("file_path").endswith(F.col("token"))).select("question_id", "node_id", F.lit("parser").alias("confidence"))
-    rest = t.where("class <> 'file_location'")
-    exact = rest.join(n.select("node_id", "r", F.explode(F.array_distinct(F.array_compact(F.array("label", "qualified_name")))).alias("token")), "token").where("r = repo_id").select("question_id", "node_id", F.lit("parser").alias("confidence"))
-    fuzzy = rest.withColumn("s", squash(F.col("token"))).where("s <> ''").join(n.select("node_id", "r", squash(F.col("label")).alias("s")), "s").where("r = repo_id").select("question_id", "node_id", F.lit("heuristic").alias("confidence"))
-    fuzzy = fuzzy.join(exact.select("question_id").distinct(), "question_id", "left_anti")
-    found = files.unionByName(exact).unionByName(fuzzy).distinct()
-    return first_per(found, ["question_id"], [F.desc(F.col("confidence") == "parser"), F.asc("node_id")], most)
+    t = t.withColumn("s", F.when(~F.col("file"), F.nullif(squash(F.col("token")), F.lit(""))))
+    own = lambda key, file: t.where("file" if file else "not file").select("repo_id", F.col(key).alias("key")).where("key is not null").distinct()
+    n = nodes.select("node_id", "repo_id", "label", "qualified_name", "file_path")
+    # A path ends in a token, and has its last part, where the token is one of the suffixes that hold that part.
+    paths = _least(n.where("file_path is not null").select("repo_id", F.col("file_path").alias("key"), "node_id"), most)
+    ends = F.sequence(F.lit(1), F.length("path") - F.length(base("path")) + 1)
+    suffixes = paths.select("repo_id", F.col("key").alias("path"), "ids").select("repo_id", F.explode(F.transform(ends, lambda i: F.substring("path", i, F.length("path")))).alias("key"), "ids")
+    files = _least(suffixes.join(own("token", True), ["repo_id", "key"], "left_semi").select("repo_id", "key", F.explode("ids").alias("node_id")), most)
+    names = n.select("repo_id", F.explode(F.array_distinct(F.array_compact(F.array("label", "qualified_name")))).alias("key"), "node_id")
+    exact = _least(names.join(own("token", False), ["repo_id", "key"], "left_semi"), most)
+    fuzzy = _least(n.select("repo_id", squash(F.col("label")).alias("key"), "node_id").join(own("s", False), ["repo_id", "key"], "left_semi"), most)
+    sure = files.withColumn("file", F.lit(True)).unionByName(exact.withColumn("file", F.lit(False)))
+    found = t.join(sure.select("repo_id", F.col("key").alias("token"), "file", F.col("ids").alias("sure")), ["repo_id", "file", "token"], "left")
+    found = found.join(fuzzy.select("repo_id", F.col("key").alias("s"), F.col("ids").alias("near")), ["repo_id", "s"], "left")
+    least = lambda c: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, most)
+    g = found.groupBy("question_id").agg(least("sure").alias("sure"), least("near").alias("near"))
+    parser = F.size("sure") > 0
+    return g.select("question_id", F.explode(F.when(parser, F.col("sure")).otherwise(F.col("near"))).alias("node_id"), F.when(parser, "parser").otherwise("heuristic").alias("confidence"))
 
 
 def traces(asked: DataFrame, found: DataFrame) -> DataFrame:

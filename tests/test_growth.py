@@ -5,6 +5,7 @@ import bisect
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import answers as an
 from lodestone.operators import ledger as lg
 
 
@@ -63,3 +64,39 @@ def test_recover_meets_each_event_once(spark, work):
     rows, did = work(lambda: lg.recover(c, log, as_of, window))
     assert {r.client: (r.resource, r.action, r.replayed) for r in rows} == want and len(rows) == 20000 and {v[1] for v in want.values()} == {"none", "resync", "replay"}
     assert did["joined"] <= 20000
+
+
+def brute_evidence(questions, nodes, most):
+    """Evidence of asked questions, one question and node at a time."""
+    plain = lambda x: "".join(c for c in x.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    out = set()
+    for q in questions:
+        sure, near = set(), set()
+        for n in nodes:
+            if n.repo_id != q.repo_id:
+                continue
+            for token in q.tokens:
+                if q["class"] == "file_location":
+                    if n.file_path is not None and n.file_path.endswith(token) and n.file_path.split("/")[-1] == token.split("/")[-1]:
+                        sure.add(n.node_id)
+                else:
+                    if token in (n.label, n.qualified_name):
+                        sure.add(n.node_id)
+                    if plain(token) and n.label is not None and plain(n.label) == plain(token):
+                        near.add(n.node_id)
+        out |= {(q.question_id, i, "parser" if sure else "heuristic") for i in sorted(sure or near)[:most]}
+    return out
+
+
+def test_evidence_looks_a_token_up_once(spark, work):
+    i = F.col("id")
+    paths = F.array(*map(F.lit, ("a.py", "src/a.py", "x/src/a.py", "rc/b.py", "src/b.py", "b.py/", "ba.py")))
+    nodes = spark.range(400).select(F.concat(F.lit("n"), i).alias("node_id"), F.when(i % 3 > 0, "r").otherwise("s").alias("repo_id"), F.when(i % 13 > 0, F.concat(F.lit("La-Bel"), i % 5)).alias("label"), F.concat(F.lit("q."), i % 9).alias("qualified_name"), F.when(i % 11 > 0, F.get(paths, (i % 7).cast("int"))).alias("file_path"))
+    nodes = nodes.unionByName(nodes.where("node_id < 'n2'"))
+    words = [["a.py"], ["rc/b.py", "a.py"], ["src/a.py"], ["/"], ["y.py", "/b.py"], ["b.py/"], ["La-Bel1"], ["labEL2", "q.3"], ["label4", "LABEL3"], ["--"], [], ["q.1", "La-Bel1"]]
+    asked = [(k, "rs"[k % 2], "file_location" if k % 24 < 12 else "symbol_location", words[k % 12]) for k in range(600)]
+    asked = spark.createDataFrame(asked, "question_id int, repo_id string, class string, tokens array<string>")
+    for most in (20, 3):
+        rows, did = work(lambda: an.evidence(asked, nodes, most))
+        assert {tuple(r) for r in rows} == brute_evidence(asked.collect(), nodes.collect(), most) and len(rows) == len({r[:2] for r in rows})
+        assert did["joined"] <= 2000
