@@ -100,3 +100,14 @@ def test_evidence_looks_a_token_up_once(spark, work):
         rows, did = work(lambda: an.evidence(asked, nodes, most))
         assert {tuple(r) for r in rows} == brute_evidence(asked.collect(), nodes.collect(), most) and len(rows) == len({r[:2] for r in rows})
         assert did["joined"] <= 2000
+
+
+def test_behaviour_traces_of_a_common_name(spark, work):
+    nodes = spark.range(1000).select(F.format_string("n%04d", 999 - F.col("id")).alias("node_id"), F.lit("r").alias("repo_id"), F.lit("run").alias("label"), F.lit("m.run").alias("qualified_name"), F.lit("m.py").alias("file_path"))
+    texts = ["How does `run` flow", "How does `m.run` work", "How does it happen", "How does `other` flow"]
+    q = spark.createDataFrame([(k, "r", texts[k % 4]) for k in range(400)], "question_id int, repo_id string, text string")
+    asked = an.intents(q)
+    rows, did = work(lambda: an.traces(asked, an.evidence(asked, nodes)))
+    want = {0: (["n0000"], "heuristic", None), 1: (["n0000"], "heuristic", None), 2: (None, "unknown", "NO_START_SYMBOL"), 3: (None, "unknown", "NO_START_NODE")}
+    assert {r.question_id: (r.path, r.confidence, r.diagnostic) for r in rows} == {k: want[k % 4] for k in range(400)}
+    assert did["joined"] <= 2000
