@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import materialise
+from lodestone.session import broadcast_up_to, materialise
 
 
 def _by_seq():
@@ -100,10 +100,17 @@ def tail_streak(events: DataFrame) -> DataFrame:
 
 
 def byte_cap(rows: DataFrame, by: str, order: str, text: str, most: int) -> DataFrame:
-    """The leading rows of each group whose running size stays within most bytes; truncated marks cut groups."""
-    run = F.sum(F.octet_length(F.col(text)) + 1).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum(F.octet_length(F.col(text)) + 1).over(Window.partitionBy(by))
-    return rows.withColumn("_r", run).withColumn("truncated", whole > most).where(F.col("_r") <= most).drop("_r")
+    """The leading rows of each group whose running size stays within most bytes, rows of equal order counted together; truncated marks cut groups.
+
+    Only sizes are shuffled and summed up. Of each group the first and last order kept then meet the rows where they are.
+    """
+    size = rows.groupBy(F.col(by).alias("_by"), F.struct(F.col(order).alias("o")).alias("_o")).agg(F.sum(F.octet_length(F.col(text)) + 1).alias("_n"))
+    run = size.withColumn("_r", F.sum("_n").over(Window.partitionBy("_by").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)))
+    fits = F.when(F.col("_r") <= most, F.col("_o"))
+    ends = run.groupBy("_by").agg((F.sum("_n") > most).alias("truncated"), F.min(fits).alias("_first"), F.max(fits).alias("_last")).where("_last is not null")
+    ends = broadcast_up_to(materialise(ends, "cap"), 256)
+    kept = rows.drop("truncated").withColumn("_o", F.struct(F.col(order).alias("o"))).join(ends, F.col(by).eqNullSafe(F.col("_by")))
+    return kept.where(F.col("_o").between(F.col("_first"), F.col("_last"))).drop("_by", "_o", "_first", "_last")
 
 
 def compare_runs(events: DataFrame, a: Column, b: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from lodestone.operators import ledger as lg
 
 @pytest.fixture
 def work(spark):
-    """A call of make() -> DataFrame with its rows and a dict: joined (most rows out of a join of the last plan), shuffled (rows), task (most rows one task read from a shuffle)."""
+    """A call of make() -> DataFrame with its rows and a dict: joined (most rows out of a join of the last plan), shuffled (rows), bytes (of them), task (most rows one task read from a shuffle)."""
 
     def joined(plan):
         name = plan.getClass().getSimpleName()
@@ -38,7 +38,7 @@ def work(spark):
         for s in own:
             tasks = store.taskList(s.stageId(), s.attemptId(), 10000)
             reads += [t.get().shuffleReadMetrics().recordsRead() for t in (tasks.apply(k).taskMetrics() for k in range(tasks.size())) if t.isDefined()]
-        return rows, {"joined": max(joined(df._jdf.queryExecution().executedPlan()), default=0), "shuffled": sum(s.shuffleWriteRecords() for s in own), "task": max(reads, default=0)}
+        return rows, {"joined": max(joined(df._jdf.queryExecution().executedPlan()), default=0), "shuffled": sum(s.shuffleWriteRecords() for s in own), "bytes": sum(s.shuffleWriteBytes() for s in own), "task": max(reads, default=0)}
 
     return measure
 
@@ -111,3 +111,27 @@ def test_behaviour_traces_of_a_common_name(spark, work):
     want = {0: (["n0000"], "heuristic", None), 1: (["n0000"], "heuristic", None), 2: (None, "unknown", "NO_START_SYMBOL"), 3: (None, "unknown", "NO_START_NODE")}
     assert {r.question_id: (r.path, r.confidence, r.diagnostic) for r in rows} == {k: want[k % 4] for k in range(400)}
     assert did["joined"] <= 2000
+
+
+def test_byte_cap_shuffles_no_rows(spark, work):
+    i = F.col("id")
+    d = spark.range(3000).select(i, F.when(i % 7 > 0, F.when(i % 7 > 5, "b").otherwise("a")).alias("g"), F.when(i % 1000 > 3, (i * 37 % 1500)).alias("at"), F.when(i % 5 > 0, F.repeat(F.lit("é"), (i % 90).cast("int"))).alias("text"), F.lit("old").alias("truncated"))
+    groups = {}
+    for r in d.collect():
+        groups.setdefault(r.g, {}).setdefault(-1 if r["at"] is None else r["at"], []).append(r)
+    for most in (0, 1, 200, 9000, 1 << 30):
+        want, size = set(), lambda r: None if r.text is None else 2 * len(r.text) + 1
+        for g, by in groups.items():
+            run, whole = None, sum(size(r) or 0 for rs in by.values() for r in rs)
+            for at in sorted(by):
+                for n in map(size, by[at]):
+                    run = run if n is None else (run or 0) + n
+                if run is not None and run <= most:
+                    want |= {(r.id, whole > most) for r in by[at]}
+        rows, did = work(lambda: lg.byte_cap(d, "g", "at", "text", most))
+        assert {(r.id, r.truncated) for r in rows} == want and len(rows) == len(want)
+    assert len(want) == 3000 and d.columns == rows[0].__fields__
+    wide = spark.range(3000).select("id", F.lit("a").alias("g"), F.repeat(F.uuid(), 3).alias("text")).persist()
+    _, did = work(lambda: lg.byte_cap(wide, "g", "id", "text", 5000))
+    assert did["bytes"] < 60000
+    wide.unpersist()
