@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import answers as an
 from lodestone.operators import ledger as lg
+from lodestone.operators import ranking as rk
 
 
 @pytest.fixture
@@ -135,3 +136,17 @@ def test_byte_cap_shuffles_no_rows(spark, work):
     _, did = work(lambda: lg.byte_cap(wide, "g", "id", "text", 5000))
     assert did["bytes"] < 60000
     wide.unpersist()
+
+
+def test_tiers_of_a_large_group(spark, work):
+    i = F.col("id")
+    d = spark.range(3000).select(i, F.when(i % 9 > 0, F.when(i % 9 > 1, "a").otherwise("b")).alias("g"), (i % 4).alias("h"))
+    tiers = [i % 8 == 7, i % 2 == 1, i > 100]
+    first = lambda k: next((n for n, c in enumerate((k % 8 == 7, k % 2 == 1, k > 100), 1) if c), None)
+    least = {}
+    for r in d.collect():
+        if first(r.id):
+            least[r.g, r.h] = min(first(r.id), least.get((r.g, r.h), 9))
+    rows, did = work(lambda: rk.tiered(d, tiers, ["g", "h"]))
+    assert {(r.id, r.tier) for r in rows} == {(r.id, first(r.id)) for r in d.collect() if first(r.id) and first(r.id) == least[r.g, r.h]}
+    assert rows[0].__fields__ == ["id", "g", "h", "tier"] and did["task"] < 200
