@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import broadcast_up_to, materialise, numbered
+
 _PLACES = {"repo", "repository", "package", "directory", "file", "module"}
 _SYMBOLS = {"class", "function", "method", "variable", "type"}
 _INTERFACES = {"interface", "idl_interface", "http_route", "websocket_event", "grpc_service", "protobuf_message"}
@@ -151,11 +153,11 @@ def chunk_by_module(nodes: DataFrame, most: int = 2000) -> DataFrame:
     """(repo_id, chunk, node_id): whole modules are packed greedily, in order, into chunks of most nodes.
 
     A module is the folder of a file. Modules above most are cut into pieces of that size. Only
-    one row a module is packed in Python; node rows follow by a join.
+    one row a piece is packed in Python; node rows follow by a join.
     """
     folder = F.coalesce(F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1), F.lit(""))
-    w = Window.partitionBy("repo_id", "module").orderBy("node_id")
-    own = nodes.select("repo_id", folder.alias("module"), "node_id").withColumn("piece", F.floor((F.row_number().over(w) - 1) / most))
+    own = numbered(nodes.select("repo_id", folder.alias("module"), "node_id"), "module", ["repo_id", "module"], ["node_id"], "_k")
+    own = own.select("repo_id", "module", "node_id", F.floor(F.col("_k") / most).alias("piece"))
     sizes = own.groupBy("repo_id", "module", "piece").agg(F.count("*").alias("n"))
 
     def pack(pdf):
@@ -169,4 +171,5 @@ def chunk_by_module(nodes: DataFrame, most: int = 2000) -> DataFrame:
         return pdf.assign(chunk=out)[["repo_id", "module", "piece", "chunk"]]
 
     packed = sizes.groupBy("repo_id").applyInPandas(pack, "repo_id string, module string, piece long, chunk long")
+    packed = broadcast_up_to(materialise(packed, "packed"), 192)
     return own.join(packed, ["repo_id", "module", "piece"]).select("repo_id", "chunk", "node_id")

@@ -1,13 +1,16 @@
 """Work that grows with the input: rows that joins give, rows shuffled and rows that one task reads, on tables with few large groups."""
 
 import bisect
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers as an
+from lodestone.operators import graph_store as gs
 from lodestone.operators import ledger as lg
 from lodestone.operators import ranking as rk
+from lodestone.sources import evidence as sv
 
 
 @pytest.fixture
@@ -44,6 +47,24 @@ def work(spark):
     return measure
 
 
+@pytest.fixture
+def spread(spark, work):
+    """work over eight partitions that are not put together where they are small."""
+
+    def measure(make):
+        conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+        old = {k: spark.conf.get(k) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            return work(make)
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+
+    return measure
+
+
 def test_recover_meets_each_event_once(spark, work):
     day = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {}, 0)"
     log = spark.range(40000).select(F.when(F.col("id") % 4 > 0, F.concat(F.lit("r"), F.col("id") % 2)).alias("resource"), F.expr(day.format("int(id div 7)")).alias("ts"))
@@ -150,3 +171,24 @@ def test_tiers_of_a_large_group(spark, work):
     rows, did = work(lambda: rk.tiered(d, tiers, ["g", "h"]))
     assert {(r.id, r.tier) for r in rows} == {(r.id, first(r.id)) for r in d.collect() if first(r.id) and first(r.id) == least[r.g, r.h]}
     assert rows[0].__fields__ == ["id", "g", "h", "tier"] and did["task"] < 200
+
+
+def test_chunks_of_a_large_module(spark, spread):
+    i = F.col("id")
+    n = spark.range(4000).select(F.when(i % 40 > 0, F.when(i % 40 > 3, "a").otherwise("b")).alias("repo_id"), F.concat(F.lit("n"), i * 7 % 4001).alias("node_id"), F.when(i % 9 > 0, F.when(i % 9 > 1, "m/x.py").otherwise(F.concat(F.lit("k"), i % 50, F.lit("/y.py")))).alias("file_path")).where("repo_id is not null")
+    want, at = set(), {}
+    by = {}
+    for r in n.collect():
+        by.setdefault(r.repo_id, {}).setdefault(r.file_path.rsplit("/", 1)[0] if r.file_path else "", []).append(r.node_id)
+    for repo, modules in by.items():
+        chunk, held = 0, 0
+        for m in sorted(modules):
+            ids = sorted(modules[m])
+            for k in range(0, len(ids), 30):
+                if held and held + len(ids[k : k + 30]) > 30:
+                    chunk, held = chunk + 1, 0
+                held += len(ids[k : k + 30])
+                want |= {(repo, chunk, i) for i in ids[k : k + 30]}
+    rows, did = spread(lambda: gs.chunk_by_module(n, 30))
+    assert {tuple(r) for r in rows} == want and len(rows) == 3900
+    assert did["task"] < 2500
