@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import numbered
+
 SARIF = """version string, runs array<struct<
  tool:struct<driver:struct<name:string,version:string,rules:array<struct<id:string,name:string,properties:struct<tags:array<string>>>>>>,
  originalUriBaseIds:map<string,struct<uri:string>>,
@@ -121,21 +126,62 @@ def export_ledger(records: DataFrame, path: str, sensitive: list[str], date_from
     out.drop(*sensitive).write.option("compression", "gzip").json(path)
 
 
+def _digests(size: int):
+    """(chunk, rows, sha256, first, text) of runs of lines of a chunk: the digest where the chunk is whole, else its text."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        first, count, held = 0, 0, []
+
+        def run():
+            text = "\n".join(held)
+            whole = count == size
+            return first // size, count, hashlib.sha256(text.encode()).hexdigest() if whole else None, first, None if whole else text
+
+        def table(rows):
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["chunk", "rows", "sha256", "first", "text"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, out = b.column(0).to_numpy(), []
+            # A run ends where a chunk does, or where the next file or part of one goes on elsewhere.
+            starts = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (at[1:] % size == 0)])
+            ends = np.r_[starts[1:], len(at)]
+            lines = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)].astype(np.int32)), b.column(1))
+            for lo, hi, text in zip(starts, ends, pc.binary_join(lines, "\n").to_pylist()):
+                if held and (at[lo] != first + count or at[lo] % size == 0):
+                    out.append(run())
+                    held = []
+                if not held:
+                    first, count = int(at[lo]), 0
+                held.append(text)
+                count += int(hi - lo)
+            if out:
+                yield table(out)
+        if held:
+            yield table([run()])
+
+    return fn
+
+
 def write_manifest(nodes: DataFrame, edges: DataFrame, path: str, size: int = 1000) -> DataFrame:
-    """Node and edge chunks of size rows as JSON, and (kind, chunk, rows, sha256) of each.
+    """Node and edge chunks of size rows as gzipped JSON lines, and (kind, chunk, rows, sha256) of each.
 
-    Rows are numbered without a single-task window: partitions are counted first, then offset.
+    Rows are numbered without a single-task window and shuffled once, to be sorted. A chunk lies in one task, or in
+    two where its end is: whole chunks are digested where they are, and only the text of the others is shuffled.
     """
     out = []
     for kind, df, key in (("nodes", nodes, "node_id"), ("edges", edges, "edge_id")):
-        from lodestone.session import materialise
-
-        ordered = materialise(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()), kind)
-        base = ordered.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        row = ordered.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(key))).join(F.broadcast(base.select("_p", "_base")), "_p")
-        chunks = row.withColumn("chunk", F.floor((F.col("_base") + F.col("_k") - 1) / size)).withColumn("json", F.to_json(F.struct(*df.columns))).select("chunk", "json", key)
-        chunks.select("chunk", "json").write.partitionBy("chunk").text(f"{path}/{kind}")
-        g = chunks.groupBy("chunk").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "json"))), lambda x: x["json"]), "\n"), 256).alias("sha256"))
+        json = F.to_json(F.struct(*df.columns))
+        rows = numbered(df, kind, [], [key, json], "_k").select(F.floor(F.col("_k") / size).alias("chunk"), "_k", json.alias("json"))
+        rows.select("chunk", "json").write.option("compression", "gzip").partitionBy("chunk").text(f"{path}/{kind}")
+        runs = rows.select("_k", "json").mapInArrow(_digests(size), "chunk long, rows long, sha256 string, first long, text string")
+        parts = F.when(F.col("text").isNotNull(), F.struct("first", "text"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["text"]), "\n")
+        g = runs.groupBy("chunk").agg(F.sum("rows").alias("rows"), F.coalesce(F.max("sha256"), F.sha2(text, 256)).alias("sha256"))
         out.append(g.withColumn("kind", F.lit(kind)))
     return out[0].unionByName(out[1])
 

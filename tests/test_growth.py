@@ -192,3 +192,19 @@ def test_chunks_of_a_large_module(spark, spread):
     rows, did = spread(lambda: gs.chunk_by_module(n, 30))
     assert {tuple(r) for r in rows} == want and len(rows) == 3900
     assert did["task"] < 2500
+
+
+def test_manifest_shuffles_rows_once(spark, spread, tmp_path):
+    i = F.col("id")
+    nodes = spark.range(1003).select(F.concat(F.lit("n"), i * 7 % 1009).alias("node_id"), F.when(i % 3 > 0, i).alias("x"))
+    edges = spark.range(5000).select(F.concat(F.lit("e"), i.cast("int").bitwiseAND(F.lit(2047))).alias("edge_id"), (i % 5).alias("w"), F.repeat(F.md5(i.cast("string")), 4).alias("pad"))
+    rows, did = spread(lambda: sv.write_manifest(nodes, edges, str(tmp_path / "m"), 100))
+    want = set()
+    for kind, df, key in (("nodes", nodes, "node_id"), ("edges", edges, "edge_id")):
+        lines = [r.j for r in df.select(key, F.to_json(F.struct(*df.columns)).alias("j")).orderBy(key, "j").collect()]
+        for k in range(0, len(lines), 100):
+            part = lines[k : k + 100]
+            want.add((kind, k // 100, len(part), hashlib.sha256("\n".join(part).encode()).hexdigest()))
+            assert sorted(r.value for r in spark.read.text(str(tmp_path / "m" / kind / f"chunk={k // 100}")).collect()) == sorted(part) if k % 1000 == 0 else True
+    assert {(r.kind, r.chunk, r.rows, r.sha256) for r in rows} == want and len(rows) == len(want)
+    assert did["shuffled"] < 6003 * 1.3
