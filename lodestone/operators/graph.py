@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import materialise
+from lodestone.session import broadcast_up_to, materialise
 
 
 def neighbours(edges: DataFrame, node: str, direction: str = "both", types: list[str] | None = None) -> DataFrame:
@@ -95,16 +95,22 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, starts: list[str], change:
     for group in rounds:
         frontier = spark.createDataFrame([(s, 0, [], [], 1.0, "") for s in group], schema)
         for hop in range(1, hops + 1):
-            lead = frontier.select(F.col("node_id").alias("at"), F.col("path").alias("p"), F.col("edge_types").alias("t"))
-            more = weak.join(lead.select("at"), "at").join(visited.withColumnRenamed("node_id", "to"), "to", "left_anti").select(F.col("at").alias("source_id"), F.col("to").alias("target_id"), "edge_type", "confidence")
+            # A frontier that is small travels to the edges, which then need no shuffle.
+            lead = broadcast_up_to(frontier.select(F.col("node_id").alias("at"), F.col("path").alias("p"), F.col("edge_types").alias("t")), 256 * (hop + 1))
+            near = broadcast_up_to(visited.withColumnRenamed("node_id", "to"), 64)
+            more = weak.join(lead.select("at"), "at").join(near, "to", "left_anti").select(F.col("at").alias("source_id"), F.col("to").alias("target_id"), "edge_type", "confidence")
             doubt = doubt.unionByName(more)
-            step = sure.join(lead, "at").join(visited.withColumnRenamed("node_id", "to"), "to", "left_anti")
+            step = sure.join(lead, "at").join(near, "to", "left_anti")
             step = step.select(F.col("to").alias("node_id"), F.lit(hop).alias("hop"), F.concat("p", F.array("at")).alias("path"), F.concat("t", F.array("edge_type")).alias("edge_types"), "confidence", "edge_type")
             w = Window.partitionBy("node_id").orderBy("path", F.desc("confidence"), "edge_type")
             frontier = materialise(step.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k"), "blast")
+            if frontier.isEmpty():
+                break
             found = found.unionByName(frontier)
             visited = visited.unionByName(frontier.select("node_id"))
-    confirmed = found.join(nodes.select("node_id", "node_type"), "node_id", "left").select("node_id", F.coalesce("node_type", F.lit("symbol")).alias("node_type"), "hop", "path", "edge_types", F.when(F.col("confidence") >= 0.9, "analyser").otherwise("heuristic").alias("grade"), impact_group(F.coalesce("node_type", F.lit("symbol")), F.col("edge_type"), F.col("hop")).alias("impact_group"))
+    ids = broadcast_up_to(found.select("node_id").distinct(), 64)
+    kinds = nodes.select("node_id", "node_type").join(ids, "node_id", "left_semi")
+    confirmed = found.join(kinds, "node_id", "left").select("node_id", F.coalesce("node_type", F.lit("symbol")).alias("node_type"), "hop", "path", "edge_types", F.when(F.col("confidence") >= 0.9, "analyser").otherwise("heuristic").alias("grade"), impact_group(F.coalesce("node_type", F.lit("symbol")), F.col("edge_type"), F.col("hop")).alias("impact_group"))
     return confirmed, doubt
 
 

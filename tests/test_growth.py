@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers as an
+from lodestone.operators import graph as gr
 from lodestone.operators import graph_store as gs
 from lodestone.operators import ledger as lg
 from lodestone.operators import ranking as rk
@@ -208,3 +209,20 @@ def test_manifest_shuffles_rows_once(spark, spread, tmp_path):
             assert sorted(r.value for r in spark.read.text(str(tmp_path / "m" / kind / f"chunk={k // 100}")).collect()) == sorted(part) if k % 1000 == 0 else True
     assert {(r.kind, r.chunk, r.rows, r.sha256) for r in rows} == want and len(rows) == len(want)
     assert did["shuffled"] < 6003 * 1.3
+
+
+def wide_graph(spark):
+    """5,000 edges off the few that start at a."""
+    i = F.col("id")
+    far = spark.range(5000).select(F.concat(F.lit("e"), i).alias("edge_id"), F.lit("calls").alias("edge_type"), F.concat(F.lit("x"), i % 900).alias("source_id"), F.concat(F.lit("y"), i % 700).alias("target_id"), F.lit(0.9).alias("confidence"))
+    near = [("ab", "a", "b", 0.9), ("ac", "a", "c", 0.8), ("bd", "b", "d", 0.9), ("cd", "c", "d", 0.9), ("cw", "c", "w", 0.1), ("de", "d", "e", 0.95), ("da", "d", "a", 0.9)]
+    near = spark.createDataFrame([(k, "calls", s, t, c) for k, s, t, c in near], far.schema)
+    return far.unionByName(near)
+
+
+def test_blast_radius_shuffles_no_far_edges(spark, work):
+    e = wide_graph(spark)
+    n = spark.range(3000).select(F.concat(F.lit("z"), "id").alias("node_id"), F.lit("class").alias("node_type")).unionByName(spark.createDataFrame([("d", "test"), ("e", "interface")], "node_id string, node_type string"))
+    rows, did = work(lambda: gr.blast_radius(e, n, ["a"])[0])
+    assert sorted((r.node_id, r.node_type, r.hop, r.path, r.grade, r.impact_group) for r in rows) == [("b", "symbol", 1, ["a"], "analyser", "direct_callers"), ("c", "symbol", 1, ["a"], "heuristic", "direct_callers"), ("d", "test", 2, ["a", "b"], "analyser", "tests"), ("e", "interface", 3, ["a", "b", "d"], "analyser", "interfaces")]
+    assert did["shuffled"] < 200
