@@ -226,3 +226,11 @@ def test_blast_radius_shuffles_no_far_edges(spark, work):
     rows, did = work(lambda: gr.blast_radius(e, n, ["a"])[0])
     assert sorted((r.node_id, r.node_type, r.hop, r.path, r.grade, r.impact_group) for r in rows) == [("b", "symbol", 1, ["a"], "analyser", "direct_callers"), ("c", "symbol", 1, ["a"], "heuristic", "direct_callers"), ("d", "test", 2, ["a", "b"], "analyser", "tests"), ("e", "interface", 3, ["a", "b", "d"], "analyser", "interfaces")]
     assert did["shuffled"] < 200
+
+
+def test_blast_report_shuffles_no_far_edges(spark, work):
+    e = wide_graph(spark)
+    n = spark.range(3000).select(F.concat(F.lit("z"), "id").alias("node_id"), F.lit("class").alias("node_type"))
+    rows, did = work(lambda: gr.blast_report(*gr.blast_radius(e, n, ["a"])))
+    assert sorted((r.impact_group, r.nodes, r.nearest, r.farthest, r.analyser) for r in rows) == [("ambiguous", 1, None, None, 0), ("direct_callers", 2, 1, 1, 1), ("downstream_behaviours", 2, 2, 3, 2)]
+    assert did["shuffled"] < 200
