@@ -118,19 +118,46 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int) ->
     """The least undirected path, (hops, nodes, edges) with the ids of both; no row if there is none within max_hops.
 
     Of paths as short the least by nodes, then by edges.
+
+    The search goes from both ends, each time from the one with fewer nodes at its rim, and keeps the links of each level.
+    Where the rims meet, the levels are cut to links of least paths from there outward, and only those get paths.
     """
     spark = edges.sparkSession
     links = edges.select("edge_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     links = links.unionByName(links.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    seen = frontier = spark.createDataFrame([(source, [source], [])], "node_id string, nodes array<string>, edges array<string>")
+    rims = {end: spark.createDataFrame([(end_id,)], "a string") for end, end_id in (("source", source), ("target", target))}
+    seen, size = dict(rims), {"source": 1, "target": 1}
+    levels: dict[str, list[DataFrame]] = {"source": [], "target": []}
+    met = rims["source"] if source == target else None
     for _ in range(max_hops):
-        if not frontier.where(F.col("node_id") == target).isEmpty():
+        if met is not None or not min(size.values()):
             break
-        step = links.join(frontier.withColumnRenamed("node_id", "a"), "a").join(seen.select(F.col("node_id").alias("b")), "b", "left_anti")
+        end = min(size, key=size.get)
+        other = "target" if end == "source" else "source"
+        # Levels are links (a, edge_id, b) from the rim outward from its end.
+        step = links.join(broadcast_up_to(rims[end], 64), "a").join(broadcast_up_to(seen[end].withColumnRenamed("a", "b"), 64), "b", "left_anti")
+        step = materialise(step.select("a", "edge_id", "b"), "level")
+        levels[end].append(step)
+        rims[end] = materialise(step.select(F.col("b").alias("a")).distinct(), "rim")
+        seen[end], size[end] = seen[end].unionByName(rims[end]), rims[end].count()
+        both = rims[end].join(rims[other], "a", "left_semi")
+        met = None if both.isEmpty() else both
+    paths = spark.createDataFrame([] if met is None else [(source, [source], [])], "at string, nodes array<string>, edges array<string>")
+
+    def towards(end: str) -> list[DataFrame]:
+        """Levels of an end, from it outward, cut to the links that lead to where the rims met."""
+        at, out = met, []
+        for level in reversed(levels[end]):
+            out.insert(0, level.join(at.select(F.col("a").alias("b")), "b", "left_semi").select("a", "edge_id", "b"))
+            at = out[0].select("a").distinct()
+        return out
+
+    there = [] if met is None else towards("source") + [x.select(F.col("b").alias("a"), "edge_id", F.col("a").alias("b")) for x in reversed(towards("target"))]
+    for level in there:
+        step = level.withColumnRenamed("a", "at").join(paths, "at")
         best = step.groupBy("b").agg(F.min(F.struct(F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"))).alias("p"))
-        frontier = materialise(best.select(F.col("b").alias("node_id"), "p.nodes", "p.edges"), "path")
-        seen = seen.unionByName(frontier)
-    return seen.where(F.col("node_id") == target).select((F.size("nodes") - 1).alias("hops"), "nodes", "edges")
+        paths = materialise(best.select(F.col("b").alias("at"), "p.nodes", "p.edges"), "path")
+    return paths.select((F.size("nodes") - 1).alias("hops"), "nodes", "edges")
 
 
 def cross_language(edges: DataFrame, starts: DataFrame, max_hops: int, floor: float = 0.5) -> DataFrame:

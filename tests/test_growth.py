@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +235,25 @@ def test_blast_report_shuffles_no_far_edges(spark, work):
     rows, did = work(lambda: gr.blast_report(*gr.blast_radius(e, n, ["a"])))
     assert sorted((r.impact_group, r.nodes, r.nearest, r.farthest, r.analyser) for r in rows) == [("ambiguous", 1, None, None, 0), ("direct_callers", 2, 1, 1, 1), ("downstream_behaviours", 2, 2, 3, 2)]
     assert did["shuffled"] < 200
+
+
+def brute_path(edges, source, target, most):
+    """The least path by looking at all of them, a hop at a time."""
+    links = [(a, b, k) for k, s, t in edges for a, b in ((s, t), (t, s))]
+    paths = [([source], [])]
+    for hops in range(most + 1):
+        ends = [p for p in paths if p[0][-1] == target]
+        if ends:
+            return [(hops, *min(ends))]
+        paths = [(n + [b], e + [k]) for n, e in paths for a, b, k in links if a == n[-1] and b not in n]
+    return []
+
+
+def test_shortest_path_from_both_ends(spark, work):
+    rng = random.Random(3)
+    for k in range(8):
+        e = [(f"e{i}", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for i in range(rng.randrange(6, 14))]
+        df = spark.createDataFrame(e, "edge_id string, source_id string, target_id string")
+        assert [tuple(r) for r in gr.shortest_path(df, "n0", "n1", 2 + k % 4).collect()] == brute_path(e, "n0", "n1", 2 + k % 4), e
+    rows, did = work(lambda: gr.shortest_path(wide_graph(spark), "a", "e", 4))
+    assert [tuple(r) for r in rows] == [(2, ["a", "d", "e"], ["da", "de"])] and did["shuffled"] < 100
