@@ -82,11 +82,21 @@ def endpoint_violations(edges: DataFrame, nodes: DataFrame, matrix: dict = ENDPO
     return both.where(~ok)
 
 
+def _absent(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id): the endpoints that no node has, each once. These are few as a rule and travel to the edges, which are then not shuffled."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).where("id is not null").distinct()
+    return broadcast_up_to(materialise(ends.join(nodes.select(F.col("node_id").alias("id")), "id", "left_anti"), "absent"), 64)
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an endpoint that no node has."""
-    ids = nodes.select("node_id")
-    lost = [edges.join(ids, edges[c] == ids["node_id"], "left_anti").withColumn("missing", F.lit(c)) for c in ("source_id", "target_id")]
-    return lost[0].unionByName(lost[1]).dropDuplicates(["edge_id"])
+    """Edges with an endpoint that no node has, one for each id; missing names it, the source where both are."""
+    absent = _absent(edges, nodes)
+    both = edges.drop("missing")
+    for c in ("source_id", "target_id"):
+        both = both.join(absent.select(F.col("id").alias(f"_{c}")), F.col(c) == F.col(f"_{c}"), "left")
+    lost = {c: F.col(c).isNull() | F.col(f"_{c}").isNotNull() for c in ("source_id", "target_id")}
+    missing = F.when(lost["source_id"], "source_id").when(lost["target_id"], "target_id")
+    return both.withColumn("missing", missing).where("missing is not null").drop("_source_id", "_target_id").dropDuplicates(["edge_id"])
 
 
 def self_loops(edges: DataFrame) -> DataFrame:
@@ -95,8 +105,12 @@ def self_loops(edges: DataFrame) -> DataFrame:
 
 def insert_edges(new: DataFrame, nodes: DataFrame) -> DataFrame:
     """New edges whose two endpoints exist, one for each id."""
-    ids = nodes.select("node_id")
-    return new.join(ids, F.col("source_id") == F.col("node_id"), "left_semi").join(ids, F.col("target_id") == F.col("node_id"), "left_semi").dropDuplicates(["edge_id"])
+    out = new.where("source_id is not null and target_id is not null")
+    # Either the nodes are few, or those that are absent as a rule.
+    known = nodes.select(F.col("node_id").alias("id"))
+    few = broadcast_up_to(known, 64)
+    ids, how = (few, "left_semi") if few is not known else (_absent(new, nodes), "left_anti")
+    return out.join(ids, F.col("source_id") == F.col("id"), how).join(ids, F.col("target_id") == F.col("id"), how).dropDuplicates(["edge_id"])
 
 
 def insert_absent(have: DataFrame, new: DataFrame, key: str) -> DataFrame:
