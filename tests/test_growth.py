@@ -284,3 +284,21 @@ def test_edges_with_absent_nodes_are_not_shuffled(spark, work, threshold):
         assert r.missing == ("source_id" if r.source_id not in have - {None} else "target_id")
     # Distinct endpoints of each task, the nodes and the rows that are returned.
     assert did["shuffled"] < 900 * 4 + 900 + len(bad) * 2
+
+
+def test_edges_with_known_nodes_are_not_shuffled(spark, work, monkeypatch):
+    e, n = endpoints(spark)
+    have = {r.node_id for r in n.collect()} - {None}
+    want = {r.edge_id for r in e.collect() if r.source_id in have and r.target_id in have}
+    spread = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # Nodes that may not travel, and nodes that may.
+    few = gs.broadcast_up_to
+    try:
+        for limit in (0, 64 << 20):
+            monkeypatch.setattr(gs, "broadcast_up_to", lambda df, width: few(df, width, limit if df.columns == ["id"] and not hasattr(df, "_lodestone_path") else 64 << 20))
+            rows, did = work(lambda: gs.insert_edges(e, n))
+            assert {r.edge_id for r in rows} == want and len(rows) == len(want)
+            assert did["shuffled"] < len(want) + 900 * 4 + 900
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", spread)
