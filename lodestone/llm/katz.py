@@ -389,12 +389,13 @@ def _counted(keys: pa.ChunkedArray, tf: pa.ChunkedArray, order: int) -> tuple[np
     return (np.concatenate(out, 1), np.concatenate(sums)) if out else (np.zeros((order, 0), np.uint32), np.zeros(0, np.int64))
 
 
-def _merge(order: int):
-    """The n-grams and counts of a bucket of postings, one packed row, and what it has of counts of counts."""
+def _merge(order: int, keep: bool = True):
+    """The n-grams and counts of a bucket of postings, one packed row, and what it has of counts of counts; only these without keep."""
 
     def fn(t: pa.Table) -> pa.Table:
         g = Grams(*_counted(t.column("keys"), t.column("tf"), order))
-        row = (t.column("bucket")[0].as_py(), pack_grams(g.columns()), pack(g.counts[-1].astype(np.uint64)), [x for of in g.of_counts() for x in of])
+        packed = (pack_grams(g.columns()), pack(g.counts[-1].astype(np.uint64))) if keep else (None, None)
+        row = (t.column("bucket")[0].as_py(), *packed, [x for of in g.of_counts() for x in of])
         return pa.table([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["bucket", "keys", "counts", "of"])
 
     return fn
@@ -530,8 +531,8 @@ def _numbered(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(F.broadcast(shift), "part").select("word", "count", (F.col("at") + F.col("shift")).alias("id")), rows
 
 
-def train(docs: DataFrame, vocab: int | None = None, order: int = ORDER) -> tuple[Model, DataFrame]:
-    """The model of docs, and the postings of docs, bucketed."""
+def train(docs: DataFrame, vocab: int | None = None, order: int = ORDER, keep: bool = True) -> tuple[Model, DataFrame]:
+    """The model of docs, and the postings of docs, bucketed. Without keep the n-grams are not written, as the postings hold them."""
     if order < 2:
         raise ValueError(f"order {order}: a history has one word at least")
     spark: SparkSession = ship(docs.sparkSession)
@@ -557,8 +558,8 @@ def train(docs: DataFrame, vocab: int | None = None, order: int = ORDER) -> tupl
     made, done = _postings_of(docs, unigrams, buckets, order)
     postings = bucketed(made, "postings", "bucket", max(2, buckets // 2))
     release(spark, *done)
-    merged = postings.where("bucket >= 0").select("bucket", "keys", "tf").groupBy("bucket").applyInArrow(_merge(order), "bucket int, keys binary, counts binary, of array<long>")
-    ngrams = materialise(merged, "ngrams", ["bucket"])
+    merged = postings.where("bucket >= 0").select("bucket", "keys", "tf").groupBy("bucket").applyInArrow(_merge(order, keep), "bucket int, keys binary, counts binary, of array<long>")
+    ngrams = materialise(merged, "ngrams", ["bucket"] if keep else None)
     n = np.sum([r["of"] for r in ngrams.select("of").collect()] or [[0] * ((order - 1) * (K + 1))], axis=0).reshape(order - 1, K + 1)
     d = [discounts({r: int(x) for r, x in enumerate(of, 1)}) for of in n]
     return Model(unigrams, ngrams, p1, d, buckets, order), postings
@@ -585,6 +586,6 @@ def score(model: Model, docs: DataFrame) -> DataFrame:
 
 def score_corpus(docs: DataFrame, vocab: int | None = None, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, log_prob, perplexity of every document under the model of all of them."""
-    model, postings = train(docs, vocab, order)
+    model, postings = train(docs, vocab, order, keep=False)
     sums = postings.where("bucket >= 0").select("bucket", "uid", "keys", "docs", "tf").groupBy("bucket").applyInArrow(_score(model.p1, model.d, order), _SUMS)
     return _total(postings, sums)

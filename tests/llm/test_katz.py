@@ -150,3 +150,15 @@ def test_every_word_is_kept(make):
     got = {r.doc_id: r.log_prob for r in katz.score_corpus(docs).collect()}
     for k in (0, 8, 41):
         assert "<unk>" not in seqs[k] and np.isclose(got[k], log_prob(p, seqs[k]))
+
+
+def test_scoring_the_corpus_writes_no_ngrams(spark, documents, monkeypatch):
+    made, write = {}, katz.materialise
+    monkeypatch.setattr(katz, "materialise", lambda df, name, *by: made.setdefault(name, []).append(write(df, name, *by)) or made[name][-1])
+    docs = documents.where("doc_id < 40")
+    own = {r.doc_id: r.log_prob for r in katz.score_corpus(docs).collect()}
+    assert made["ngrams"][0].where("keys is not null or counts is not null").count() == 0
+    model, _ = katz.train(docs)
+    assert made["ngrams"][1].where("keys is null or counts is null").count() == 0
+    other = {r.doc_id: r.log_prob for r in katz.score(model, docs).collect()}
+    assert own.keys() == other.keys() and all(abs(own[k] - other[k]) < 1e-6 for k in own)
